@@ -10,7 +10,16 @@ from pyspark.sql import functions as F
 from .chat import format_conversations, loss_text, read_back
 from .common import table
 from .mixing import mix_sources
+from .quality import fit_quality, rate_quality
 from .shards import assign_shards
+from .toxicity import fit_toxicity, score_toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(4)) == 2
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), usable=~held_out)
+    return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,9 +66,14 @@ FROM runs GROUP BY conv_id
 """
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rate_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", "copies", "rate")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_shards": op2_shards, "op4_chat": op4_chat, "op10_mixing": op10_mixing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_toxicity": op1_toxicity, "op2_shards": op2_shards, "op4_chat": op4_chat, "op5_quality": op5_quality, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {"op4_chat": OP4_SQL}
