@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode_decode
 from .chat import format_conversations, loss_text, read_back
 from .common import table
 from .mixing import mix_sources
 from .quality import fit_quality, rate_quality
 from .shards import assign_shards
+from .token_counts import count_tokens
 from .toxicity import fit_toxicity, score_toxicity
 
 
@@ -71,9 +73,17 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", "copies", "rate")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_toxicity": op1_toxicity, "op2_shards": op2_shards, "op4_chat": op4_chat, "op5_quality": op5_quality, "op10_mixing": op10_mixing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_toxicity": op1_toxicity, "op2_shards": op2_shards, "op3_token_counts": op3_token_counts, "op4_chat": op4_chat, "op5_quality": op5_quality, "op9_bpe": op9_bpe, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {"op4_chat": OP4_SQL}
