@@ -12,6 +12,7 @@ from .chat import format_conversations, loss_text, read_back
 from .common import table
 from .media import media_columns
 from .mixing import mix_sources
+from .near_dedup import near_duplicates
 from .quality import fit_quality, rate_quality
 from .shards import assign_shards
 from .token_counts import count_tokens
@@ -78,6 +79,28 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE words AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents
+), shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), i -> array_to_string(w[i:i + 2], ' '))
+      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words)
+), sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS MATERIALIZED (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS in_both FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  JOIN sizes m ON m.doc_id = a JOIN sizes n ON n.doc_id = b WHERE 100 * in_both >= 85 * (m.n + n.n - in_both)
+), reach AS (
+  SELECT doc_id, doc_id AS got FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.got
+), named AS (SELECT doc_id, min(got) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM named LEFT JOIN sizes USING (doc_id)
+"""
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
@@ -90,5 +113,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", "copies", "rate")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_toxicity": op1_toxicity, "op2_shards": op2_shards, "op3_token_counts": op3_token_counts, "op4_chat": op4_chat, "op5_quality": op5_quality, "op8_media": op8_media, "op9_bpe": op9_bpe, "op10_mixing": op10_mixing}
-ORACLES: dict[str, str] = {"op4_chat": OP4_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_toxicity": op1_toxicity, "op2_shards": op2_shards, "op3_token_counts": op3_token_counts, "op4_chat": op4_chat, "op5_quality": op5_quality, "op6_near_dedup": op6_near_dedup, "op8_media": op8_media, "op9_bpe": op9_bpe, "op10_mixing": op10_mixing}
+ORACLES: dict[str, str] = {"op4_chat": OP4_SQL, "op6_near_dedup": OP6_SQL}
