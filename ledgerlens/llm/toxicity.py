@@ -18,6 +18,8 @@ BITS = 22
 SAMPLE, FEATURES = 8000, 4096
 LEAST_ROWS = 3
 THRESHOLD = 0.3
+#: Bytes of text that an executor takes apart at once.
+SLICE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -65,7 +67,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", usabl
         wanted = np.ones(1 << bits, bool)
         sums = np.zeros((2, 1 << bits), np.int32)
         for batch in batches:
-            for part in byte_slices(batch):
+            for part in byte_slices(batch, SLICE):
                 y = part.column("y").to_numpy(zero_copy_only=False)
                 at, slots = distinct_slots(part.column("text").to_pylist(), wanted, orders, bits)
                 for k in (0, 1):
@@ -87,7 +89,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", usabl
         wanted = np.zeros(1 << bits, bool)
         wanted[slots] = True
         for batch in batches:
-            for part in byte_slices(batch):
+            for part in byte_slices(batch, SLICE):
                 at, found = distinct_slots(part.column("text").to_pylist(), wanted, orders, bits)
                 ends = np.searchsorted(at, np.arange(part.num_rows + 1))
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.searchsorted(slots, found).astype(np.int32)))
@@ -117,7 +119,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THR
         weights = held[0]
         wanted = weights != 0
         for batch in batches:
-            for part in byte_slices(batch):
+            for part in byte_slices(batch, SLICE):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 at, slots = distinct_slots(texts, wanted, model.orders, model.bits)
                 z = np.bincount(at, weights=weights[slots], minlength=len(texts)) + model.bias
