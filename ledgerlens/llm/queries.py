@@ -15,6 +15,7 @@ from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .quality import fit_quality, rate_quality
 from .shards import assign_shards
+from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -85,10 +86,11 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH RECURSIVE words AS MATERIALIZED (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents
 ), shingles AS MATERIALIZED (
   SELECT DISTINCT doc_id, s FROM (
-    SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), i -> array_to_string(w[i:i + 2], ' '))
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))
       WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words)
 ), sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 links AS MATERIALIZED (
@@ -101,6 +103,10 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 """
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
@@ -113,5 +119,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", "copies", "rate")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_toxicity": op1_toxicity, "op2_shards": op2_shards, "op3_token_counts": op3_token_counts, "op4_chat": op4_chat, "op5_quality": op5_quality, "op6_near_dedup": op6_near_dedup, "op8_media": op8_media, "op9_bpe": op9_bpe, "op10_mixing": op10_mixing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_toxicity": op1_toxicity, "op2_shards": op2_shards, "op3_token_counts": op3_token_counts, "op4_chat": op4_chat, "op5_quality": op5_quality, "op6_near_dedup": op6_near_dedup, "op7_suffix_dedup": op7_suffix_dedup, "op8_media": op8_media, "op9_bpe": op9_bpe, "op10_mixing": op10_mixing}
 ORACLES: dict[str, str] = {"op4_chat": OP4_SQL, "op6_near_dedup": OP6_SQL}
