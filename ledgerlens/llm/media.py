@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import batch_bytes, byte_slices, text_key
 
@@ -91,7 +92,9 @@ def stored(docs: DataFrame) -> DataFrame:
                 kind = pa.struct([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.binary()), ("chunks", pa.list_(pa.struct([("digest", pa.binary()), ("size", pa.int32()), ("body", pa.binary())])))])
                 yield pa.RecordBatch.from_arrays([part.column("k1"), part.column("k2"), pa.array(out, kind)], ["k1", "k2", "m"])
 
-    schema = "k1 long, k2 long, m struct<n_bytes: long, payload_bytes: long, payload_sha256: binary, chunks: array<struct<digest: binary, size: int, body: binary>>>"
+    m = T.StructType.fromDDL("n_bytes long, payload_bytes long, payload_sha256 binary, chunks array<struct<digest: binary, size: int, body: binary>>")
+    # Keys that can't be null get no filter from joins, so all uses of the texts share one shuffle.
+    schema = T.StructType([T.StructField("k1", T.LongType(), False), T.StructField("k2", T.LongType(), False), T.StructField("m", m)])
     # Copies of a text meet before the shuffle, and in one row behind it.
     return docs.select(*text_key(F.col("text")), "text").mapInArrow(store, schema).groupBy("k1", "k2").agg(F.first("m").alias("m"))
 
