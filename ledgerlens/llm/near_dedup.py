@@ -8,13 +8,14 @@
 3. Within a group, the intersections of all pairs of full sets are counted exactly, and true links are tied by stars.
    The components of those are the result.
 
-Buckets and groups of more than BLOCK classes are split into blocks, and pairs of blocks go to different tasks, so a
-task's memory and time are bounded and no pair is left out.  No step emits all pairs: a pair of blocks gives at most
-one row a class.
+Buckets and groups of more classes than a block holds are split into blocks, and pairs of blocks go to different tasks,
+so a task's memory and time are bounded and no pair is left out.  No step emits all pairs: a pair of blocks gives at
+most one row a class.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,14 +26,16 @@ from pyspark.sql import functions as F
 from .common import batch_bytes, byte_slices, materialize, mixed, prefix_sums, range_hashes, words_of
 from .components import connected_components
 
-BANDS, ROWS, BITS = 24, 4, 256
-#: Sketches must promise so much; the exact check follows.  Far enough below the threshold to lose no link to chance.
-PROMISE = 0.6
+ROWS, BITS = 4, 256
+#: The chance that a pair at the threshold shares no bucket.
+MISSED = 1e-7
+#: Sketches must promise a similarity so far below the threshold at least; the exact check follows.
+MARGIN = 0.25
 BLOCK, BLOCK_SETS = 2048, 512
 
 _RNG = np.random.default_rng(85)
-_A = _RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_B = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+_A = _RNG.integers(0, 1 << 31, 1024, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _RNG.integers(0, 1 << 32, 1024, dtype=np.uint32)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -72,14 +75,20 @@ def set_digests(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out[0], out[1]
 
 
-def bands_and_sketches(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket keys (n x BANDS) and odd sketches (n x BITS / 64) of non-empty sets."""
+def bands_for(percent: int) -> int:
+    """So many bands that a pair at the threshold misses all of them with a chance of MISSED at most."""
+    same = (percent / 100) ** ROWS
+    return 1 if same >= 1 else min(256, math.ceil(math.log(MISSED) / math.log1p(-same)))
+
+
+def bands_and_sketches(h: np.ndarray, offsets: np.ndarray, bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket keys (n x bands) and odd sketches (n x BITS / 8 bytes) of non-empty sets."""
     n, x = len(offsets) - 1, (h >> np.uint64(32)).astype(np.uint32)
-    keys = np.empty((n, BANDS), np.uint64)
+    keys = np.empty((n, bands), np.uint64)
     bits = np.zeros((n, BITS), np.uint8)
     rows = np.arange(n)
     key = np.zeros(n, np.uint64)
-    for k in range(BANDS * ROWS):
+    for k in range(bands * ROWS):
         low = np.minimum.reduceat(x * _A[k] + _B[k], offsets[:-1]).astype(np.uint64)
         sample = mixed(low ^ np.uint64((k + 1) << 32))
         bits[rows, (sample & np.uint64(BITS - 1)).astype(np.int64)] ^= 1
@@ -89,14 +98,14 @@ def bands_and_sketches(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return keys.view(np.int64), np.packbits(bits, axis=1)
 
 
-def promised(popcounts: np.ndarray) -> np.ndarray:
-    """The similarity that the population count of two sketches' XOR speaks for."""
-    part = np.minimum(2.0 * popcounts / BITS, 1 - 1 / BITS)
-    return 1 + BITS / 2 * np.log1p(-part) / (2 * BANDS * ROWS)
-
+def most_bits(percent: int) -> int:
+    """The largest population count of two sketches' XOR that promises a similarity of the threshold less MARGIN.
 
-#: The largest population count that still promises enough.
-MOST_BITS = int(np.flatnonzero(promised(np.arange(BITS + 1)) >= PROMISE).max())
+    d samples that only one of two documents has leave about BITS / 2 * (1 - exp(-2 d / BITS)) bits, and a similarity
+    of s leaves d = 2 (1 - s) samples of each.
+    """
+    differing = 2 * (1 - percent / 100 + MARGIN) * bands_for(percent) * ROWS
+    return int(BITS / 2 * (1 - math.exp(-2 * differing / BITS)))
 
 
 def stars(near: np.ndarray) -> np.ndarray:
@@ -111,14 +120,14 @@ def stars(near: np.ndarray) -> np.ndarray:
         labels = new
 
 
-def tie_sketches(sketches: np.ndarray) -> np.ndarray:
+def tie_sketches(sketches: np.ndarray, most: int) -> np.ndarray:
     x = sketches.view(np.uint64)
     near = np.empty((len(x), len(x)), bool)
     for i in range(0, len(x), 128):
         differ = np.zeros((min(128, len(x) - i), len(x)), np.uint16)
         for w in range(x.shape[1]):
             differ += np.bitwise_count(x[i : i + 128, w, None] ^ x[None, :, w])
-        near[i : i + 128] = differ <= MOST_BITS
+        near[i : i + 128] = differ <= most
     return stars(near)
 
 
@@ -170,34 +179,90 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
+def parts_of_groups(batches: Iterator[pa.RecordBatch], key: str, limit: int) -> Iterator[tuple[pa.Table, bool]]:
+    """Groups of a key that batches are sorted by; those with more than `limit` rows come in parts, marked as large."""
+    held, rows, large, current = [], 0, False, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column = batch.column(key).to_numpy(zero_copy_only=False)
+        cuts = np.concatenate([[0], np.flatnonzero(column[1:] != column[:-1]) + 1, [batch.num_rows]])
+        wanted = np.diff(cuts) > 1
+        wanted[[0, -1]] = True  # a row alone has no partner unless it is beside another batch
+        for i in np.flatnonzero(wanted).tolist():
+            start, stop = int(cuts[i]), int(cuts[i + 1])
+            if current is None or column[start] != current:
+                if rows > 1 or rows and large:
+                    yield pa.Table.from_batches(held), large
+                held, rows, large, current = [], 0, False, column[start]
+            held.append(batch.slice(start, stop - start))
+            rows += stop - start
+            if rows > limit:
+                yield pa.Table.from_batches(held), True
+                held, rows, large = [], 0, True
+    if rows > 1 or rows and large:
+        yield pa.Table.from_batches(held), large
+
+
 def tie(rows: DataFrame, key: str, block: int, payload: str, link: Callable[[pa.Table], np.ndarray]) -> DataFrame:
     """Edges (a, b) between nodes with equal keys, as link labels them; rows: (key, node, payload).
 
-    Keys with more than `block` nodes are dealt as pairs of blocks.  There is one such key for each `block` rows at most.
+    The rows are dealt by key once.  Keys with more than `block` rows are put aside and dealt again as pairs of blocks.
     """
-    large = rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > block).select(key, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    dealt = rows.join(large, key, "left")
+    kind = rows.schema[key].dataType.simpleString()
+    names = ["a", "b", key, "node", payload]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+    def edges(groups):
+        a, b, held = [], [], 0
+        for group in groups:
+            nodes = group.column("node").to_numpy()
+            labels = link(group)
+            tied = np.flatnonzero(labels != np.arange(len(labels)))
+            a.append(nodes[labels[tied]])
+            b.append(nodes[tied])
+            held += len(tied)
+            if held >= 8192:
+                yield np.concatenate(a), np.concatenate(b)
+                a, b, held = [], [], 0
+        if held:
+            yield np.concatenate(a), np.concatenate(b)
+
+    def first(batches):
+        aside: list[pa.Table] = []
+
+        def small():
+            for group, large in parts_of_groups(batches, key, block):
+                if large:
+                    aside.append(group)
+                else:
+                    yield group
+
+        def put_aside():
+            for group in aside:
+                n = group.num_rows
+                for x in group.combine_chunks().to_batches():
+                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), x.column(key), x.column("node"), x.column(payload)], names)
+            aside.clear()
+
+        for a, b in edges(small()):
+            n = len(a)
+            yield from put_aside()
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(n, t) for t in types[2:])], names)
+        yield from put_aside()
+
+    def second(batches):
+        for a, b in edges(g for g in grouped(batches, [key, "pair"]) if g.num_rows > 1):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names[:2])
+
+    once = materialize(rows.repartition(key).sortWithinPartitions(key, "node").mapInArrow(first, f"a long, b long, {key} {kind}, node long, {payload} binary"))
+    large = once.filter("node is not null").select(key, "node", payload)
+    sizes = large.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(mine, o) * F.col("blocks") + F.greatest(mine, o))
-    dealt = dealt.select(key, F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1))).otherwise(others)).alias("pair"), "node", payload)
-    dealt = dealt.repartition(key, "pair").sortWithinPartitions(key, "pair", "node")
-
-    def run(batches):
-        a, b = [], []
-        for group in grouped(batches, [key, "pair"]):
-            if group.num_rows > 1:
-                nodes = group.column("node").to_numpy()
-                labels = link(group)
-                tied = np.flatnonzero(labels != np.arange(len(labels)))
-                a.append(nodes[labels[tied]])
-                b.append(nodes[tied])
-                if len(a) >= 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-                    a, b = [], []
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(mine, o) * F.col("blocks") + F.greatest(mine, o))
+    dealt = large.join(sizes, key).select(key, F.explode(pairs).alias("pair"), "node", payload)
+    again = dealt.repartition(key, "pair").sortWithinPartitions(key, "pair", "node").mapInArrow(second, "a long, b long")
+    return once.filter("node is null").select("a", "b").unionByName(again)
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -213,6 +278,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
     nothing and are kept.  Equal texts are always linked.  Repeated rows of one doc_id all get a row.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    bands, most = bands_for(percent), most_bits(percent)
 
     def describe(batches):
         for batch in batches:
@@ -221,18 +287,18 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
                 n = np.diff(offsets)
                 some = np.flatnonzero(n)
                 k1, k2 = set_digests(h, offsets)
-                keys, sketches = bands_and_sketches(h, np.append(offsets[some], len(h))) if len(some) else (np.zeros((0, BANDS), np.int64), np.zeros((0, BITS // 8), np.uint8))
-                bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((n > 0) * BANDS)]).astype(np.int32)), pa.array(keys.ravel()))
+                keys, sketches = bands_and_sketches(h, np.append(offsets[some], len(h)), bands) if len(some) else (np.zeros((0, bands), np.int64), np.zeros((0, BITS // 8), np.uint8))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((n > 0) * bands)]).astype(np.int32)), pa.array(keys.ravel()))
                 raw = iter(sketches)
                 sketch = pa.array([next(raw).tobytes() if x else None for x in n > 0], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(k1), pa.array(k2), bands, sketch], ["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(k1), pa.array(k2), lists, sketch], ["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"])
 
     described = materialize(docs.select("doc_id", "text").mapInArrow(describe, f"doc_id {kind}, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary"))
     classes = described.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("bands", "sketch")).alias("s"))
     classes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "doc_id", "s.bands", "s.sketch"))
 
     buckets = classes.select(F.explode("bands").alias("bucket"), "node", "sketch")
-    promises = tie(buckets, "bucket", BLOCK, "sketch", lambda g: tie_sketches(_matrix(g.column("sketch"), BITS // 8)))
+    promises = tie(buckets, "bucket", BLOCK, "sketch", lambda g: tie_sketches(_matrix(g.column("sketch"), BITS // 8), most))
     groups = connected_components(promises)
 
     members = materialize(groups.join(classes, "node").select("node", "component", "k1", "k2", "doc_id"))
@@ -247,7 +313,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
                 raw = pa.array([h[offsets[i] : offsets[i + 1]].tobytes() for i in own], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("component").take(pa.array(own)), part.column("node").take(pa.array(own)), raw], ["component", "node", "hashes"])
 
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("of")).select("text", "node", "component", "m1", "m2")
+    # The same plan at every size: texts of many groups are too much to broadcast.
+    texts = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("of")).select("text", "node", "component", "m1", "m2")
     full = materialize(texts.mapInArrow(sets, "component long, node long, hashes binary").dropDuplicates(["node"]))
     links = tie(full, "component", BLOCK_SETS, "hashes", lambda g: tie_sets([np.frombuffer(x, np.uint64) for x in g.column("hashes").to_pylist()], percent))
     linked = connected_components(links)
