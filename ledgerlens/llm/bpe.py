@@ -16,6 +16,7 @@ import json
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -25,11 +26,10 @@ from .common import byte_slices
 END = "</w>"
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 #: Bounds of the caches of a Python worker: entries, and code points of a cached piece.
-CACHED, CACHED_LENGTH = 150_000, 48
+CACHED, CACHED_LENGTH = 900_000, 48
 
 #: Fixed by the vocabulary file: how text is split into words after normalisation.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
-SPACES = regex.compile(r"\p{White_Space}+")
 
 
 def byte_symbols() -> list[str]:
@@ -64,14 +64,20 @@ class Vocabulary:
     def symbols(token: str) -> int:
         return len(token) - len(END) if token.endswith(END) and token != END else len(token)
 
-    def words(self, piece: str) -> Iterator[str]:
-        """Words, in byte symbols, of a piece of text without special tokens."""
-        if not piece.isascii():
-            piece = unicodedata.normalize("NFC", piece)
+    def words(self, piece: str) -> list[str]:
+        """Words, in byte symbols, of a piece of text without special tokens.  White space only parts words."""
+        if piece.isascii():
+            piece = piece.lower()
+            if piece.isalpha():
+                return [piece]
+            words = WORDS.findall(piece)
+            return words if piece.isprintable() else [self._shown(w) for w in words]
         # Lower case goes by single characters: no final sigma.
-        piece = SPACES.sub(" ", piece).replace("Σ", "σ").lower()
-        for word in WORDS.findall(piece):
-            yield word if word.isascii() and word.isprintable() else word.encode("utf-8").decode("latin-1").translate(self.latin)
+        piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
+        return [self._shown(w) for w in WORDS.findall(piece)]
+
+    def _shown(self, word: str) -> str:
+        return word.encode("utf-8").decode("latin-1").translate(self.latin)
 
     @functools.cached_property
     def lookahead(self) -> int:
@@ -91,26 +97,20 @@ class Vocabulary:
         return most + self.longest
 
     def merge(self, parts: list[str]) -> list[str]:
-        """The parts after all merges, lowest rank first, leftmost first."""
-        ranks = self.ranks
-        while len(parts) > 1:
-            best, pair = 1 << 60, None
-            for p in zip(parts, parts[1:]):
-                r = ranks.get(p)
-                if r is not None and r < best:
-                    best, pair = r, p
-            if pair is None:
-                return parts
-            left, right = pair
-            out, i, n = [], 0, len(parts)
-            while i < n:
-                if parts[i] == left and i + 1 < n and parts[i + 1] == right:
-                    out.append(left + right)
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+        """The parts after all merges, lowest rank first, leftmost first; only ranks beside a merge are looked up anew."""
+        rank, none = self.ranks.get, 1 << 60
+        ranks = [rank(p, none) for p in zip(parts, parts[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
+                break
+            i = ranks.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), none)
         return parts
 
     def stream(self, symbols: str) -> Iterator[str]:
@@ -125,7 +125,7 @@ class Vocabulary:
         for s in symbols:
             if len(held) > window:
                 done = 0
-                for token in self.merge(held):
+                for token in self.merge(held[:]):
                     if done + len(token) > len(held) - ahead:
                         break
                     done += len(token)
@@ -148,40 +148,43 @@ def vocabulary(path: str | None = None) -> Vocabulary:
 
 
 class Encoder:
-    """Encodes texts through a bounded cache: pieces between spaces are encoded on their own, as no word crosses a space."""
+    """Encodes texts through bounded caches: pieces between spaces stand alone, as no word crosses a space.
+
+    Ids are held as text, joined by spaces, with the decoded text beside them.
+    """
 
     def __init__(self, vocab: Vocabulary) -> None:
-        self.vocab, self.pieces, self.of_word = vocab, {"": ((), "")}, {}
+        self.vocab, self.decoder, self.pieces, self.of_word = vocab, Decoder(vocab), {"": ("", "")}, {}
 
-    def _word(self, word: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> str:
         got = self.of_word.get(word)
         if got is None:
             ids = self.vocab.ids
-            got = tuple(ids[t] for t in self.vocab.stream(word))
+            got = " ".join([str(ids[t]) for t in self.vocab.stream(word)])
             if len(word) <= CACHED_LENGTH:
                 if len(self.of_word) >= CACHED:
                     self.of_word.clear()
                 self.of_word[word] = got
         return got
 
-    def _piece(self, piece: str) -> tuple[tuple[int, ...], str]:
+    def _piece(self, piece: str) -> tuple[str, str]:
         vocab, ids = self.vocab, []
         for i, part in enumerate(vocab.splitter.split(piece) if vocab.splitter and "<" in piece else [piece]):
             if i % 2:
-                ids.append(vocab.special[part])
+                ids.append(str(vocab.special[part]))
             else:
-                for word in vocab.words(part):
-                    ids.extend(self._word(word))
-        return tuple(ids), " ".join(map(str, ids))
+                ids += [self._word(word) for word in vocab.words(part)]
+        joined = " ".join(ids)
+        return joined, self.decoder.whole(map(int, joined.split()))
 
-    def pieces_of(self, text: str) -> list[tuple[tuple[int, ...], str]]:
+    def pieces_of(self, text: str) -> list[tuple[str, str]]:
         pieces = text.replace("\n", " ").split(" ")
         known = self.pieces
         missing = set(pieces).difference(known)
         if not missing:
             return [known[p] for p in pieces]
         if len(known) + len(missing) > CACHED:
-            known = self.pieces = {"": ((), "")}
+            known = self.pieces = {"": ("", "")}
             missing = set(pieces) - {""}
         once = {}
         for p in missing:
@@ -189,7 +192,7 @@ class Encoder:
         return [known[p] if p in known else once[p] for p in pieces]
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self.pieces_of(text) for i in ids]
+        return [int(i) for ids, _ in self.pieces_of(text) for i in ids.split()]
 
 
 class Decoder:
@@ -213,6 +216,9 @@ class Decoder:
         self.first = True
         return self.machine.decode(b"", final=True)
 
+    def whole(self, ids: Iterable[int]) -> str:
+        return self.feed(ids) + self.end()
+
 
 def encode_decode(docs: DataFrame, path: str | None = None, keep: list[str] | None = None, with_ids: bool = False, with_decoded: bool = False) -> DataFrame:
     """(doc_id, text) to (doc_id, n_tokens, ids_sha256, decoded_sha256), whole texts, special tokens only as the text has them.
@@ -225,34 +231,20 @@ def encode_decode(docs: DataFrame, path: str | None = None, keep: list[str] | No
 
     def run(batches):
         if not state:
-            vocab = vocabulary(path)
-            decoder = Decoder(vocab)
-            state.extend([Encoder(vocab), decoder, {}])
-        encoder, decoder, decoded = state
+            state.append(Encoder(vocabulary(path)))
+        encoder = state[0]
         for batch in batches:
             for part in byte_slices(batch):
                 counts, id_hashes, text_hashes, all_ids, texts = [], [], [], [], []
                 for text in part.column("text").to_pylist():
-                    pieces = encoder.pieces_of(text or "")
-                    shown = []
-                    for ids, joined in pieces:
-                        if joined:
-                            t = decoded.get(joined)
-                            if t is None:
-                                decoder.first = True
-                                t = decoder.feed(ids)
-                                t += decoder.end()
-                                if len(joined) <= 6 * CACHED_LENGTH:
-                                    if len(decoded) >= CACHED:
-                                        decoded.clear()
-                                    decoded[joined] = t
-                            shown.append(t)
-                    counts.append(sum([len(ids) for ids, _ in pieces]))
-                    id_hashes.append(hashlib.sha256(" ".join([j for _, j in pieces if j]).encode()).hexdigest())
-                    back = " ".join(shown)
+                    pieces = [p for p in encoder.pieces_of(text or "") if p[0]]
+                    joined = " ".join([p[0] for p in pieces])
+                    back = " ".join([p[1] for p in pieces])
+                    counts.append(joined.count(" ") + 1 if joined else 0)
+                    id_hashes.append(hashlib.sha256(joined.encode()).hexdigest())
                     text_hashes.append(hashlib.sha256(back.encode("utf-8")).hexdigest())
                     if with_ids:
-                        all_ids.append([i for ids, _ in pieces for i in ids])
+                        all_ids.append(np.array(joined.split(), dtype=np.int32))
                     if with_decoded:
                         texts.append(back)
                 arrays = [part.column(k) for k in keep] + [pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string())]
