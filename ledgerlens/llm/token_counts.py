@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from .bpe import CACHED_LENGTH, END, Vocabulary, vocabulary
 from .common import byte_slices
 
-CACHED = 300_000
+CACHED = 1_200_000
 
 
 class PrefixCounter:
@@ -52,7 +52,7 @@ class PrefixCounter:
         key = (left, right)
         got = self.fitting.get(key)
         if got is None:
-            if len(self.fitting) >= CACHED:
+            if len(self.fitting) >= CACHED // 2:
                 self.fitting.clear()
             got = self.fitting[key] = self._apart(left, right)
         return got
@@ -80,18 +80,37 @@ class PrefixCounter:
     def _word(self, word: str) -> int:
         got = self.of_word.get(word)
         if got is None:
-            last, counts = [""], [0]
-            for i in range(1, len(word)):
-                j, token = self._step(word, i, last, "")
-                last.append(token)
-                counts.append(counts[j] + 1)
-            got = counts[self._step(word, len(word), last, END)[0]] + 1
+            got = self._walk(word)
             if len(word) <= CACHED_LENGTH:
                 if len(self.of_word) >= CACHED:
                     self.of_word.clear()
                 self.of_word[word] = got
         return got
 
+    def _walk(self, word: str) -> int:
+        """The last of prefix_counts, without the closed counts before it.
+
+        Only one token fits, so the order of trying is free: mostly the token before has grown, or a new one starts.
+        """
+        tokens, known, longest, n = self.tokens, self.fitting.get, self.vocab.longest, len(word)
+        last, counts, j = [""], [0], 0
+        for i in range(1, n + 1):
+            end = END if i == n else ""
+            token = word[j:i] + end
+            if token not in tokens or i - j > longest or j and not (known((last[j], token)) or self._fits(last[j], token)):
+                grown, j = j, i - 1
+                token = word[j:i] + end
+                if grown == j or not (known((last[j], token)) or self._fits(last[j], token)):
+                    for j in range(i - longest if i > longest else 0, i - 1):
+                        token = word[j:i] + end
+                        if j != grown and token in tokens and (not j or known((last[j], token)) or self._fits(last[j], token)):
+                            break
+                    else:
+                        raise AssertionError(f"no token ends at {i}")
+            last.append(token)
+            counts.append(counts[j] + 1)
+        return counts[n]
+
     def _piece(self, piece: str) -> int:
         vocab = self.vocab
         parts = vocab.splitter.split(piece) if vocab.splitter and "<" in piece else [piece]
