@@ -1,3 +1,3 @@
 """Operators; importing them registers their queries."""
 
-from . import clean, fifo, paths, windows  # noqa: F401
+from . import clean, fifo, graph, paths, risk, serving, windows  # noqa: F401

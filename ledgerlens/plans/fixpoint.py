@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the folder that spark.checkpoint.dir names; a folder of our own only where it is unset."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerlens-"))
-    return df.checkpoint()
+    """df written to the folder that spark.checkpoint.dir names and read again; a folder of our own only where it is unset.
+
+    A table, as checkpoint() carries the constraints of all rounds before along in its plan.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="ledgerlens-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: str, most: int = 100) -> DataFrame:
