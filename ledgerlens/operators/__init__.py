@@ -1,3 +1,4 @@
 """Operators; importing them registers their queries."""
 
-from . import clean, fifo, graph, paths, risk, serving, windows  # noqa: F401
+from ..streaming import windows as _streams  # noqa: F401
+from . import clean, fifo, graph, paths, risk, serving, statements, windows  # noqa: F401

@@ -5,6 +5,8 @@ The queries run on the ledger with its columns made messy by rules on the row's
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +37,9 @@ def raw(spark, sf_dir) -> DataFrame:
     return rows.select("*", *(F.expr(v).alias(k) for k, v in RAW.items()))
 
 
-def scalar(name: str, columns: dict[str, Column], sql: dict[str, str], extra: str = "") -> None:
-    register(name, lambda s, d: raw(s, d).select("leg_id", *(c.alias(k) for k, c in columns.items())), f"WITH {RAW_SQL}{extra} SELECT leg_id, {', '.join(f'{v} AS {k}' for k, v in sql.items())} FROM {'x' if extra else 'raw'}")
+def scalar(name: str, columns: Callable[[], dict[str, Column]], sql: dict[str, str], extra: str = "") -> None:
+    """Columns are made when the query runs: importing needs no session."""
+    register(name, lambda s, d: raw(s, d).select("leg_id", *(c.alias(k) for k, c in columns().items())), f"WITH {RAW_SQL}{extra} SELECT leg_id, {', '.join(f'{v} AS {k}' for k, v in sql.items())} FROM {'x' if extra else 'raw'}")
 
 
 _X = r""",
@@ -58,69 +61,94 @@ a AS (SELECT *, trim(amount_raw) AS t, lower(regexp_extract(trim(amount_raw), '^
 b AS (SELECT *, s0 LIKE '-%' AS minus, CASE WHEN s0 LIKE '-%' THEN substr(s0, 2) ELSE s0 END AS s1 FROM a),
 c AS (SELECT *, s1 LIKE '(%)' AS bracket, CASE WHEN s1 LIKE '(%)' THEN substr(s1, 2, length(s1) - 2) ELSE s1 END AS s2 FROM b),
 x AS (SELECT *, lower(regexp_extract(s2, '(cr|dr)\s*$', 1, 'i')) AS last, t IN ('', '-', '--', 'nil', 'n/a', 'nan') AS blank, abs(coalesce(TRY_CAST(regexp_replace(regexp_replace(s2, '[₹$£€]|INR|Rs\.?', '', 'gi'), '[^\d.]', '', 'g') AS DOUBLE), 0)) AS v FROM c)"""
-_unsigned = money.parse_unsigned(F.col("amount_raw"))
-scalar("fn_parse_amount_ingest", {"amount": _unsigned["amount"], "sign": _unsigned["sign"]}, {"amount": "CASE WHEN blank THEN 0.0 ELSE v END", "sign": "CASE WHEN blank THEN '' WHEN first = 'cr' THEN '+' WHEN first = 'dr' OR minus OR bracket THEN '-' WHEN last = 'cr' THEN '+' WHEN last = 'dr' THEN '-' ELSE '' END"}, _Y)
-scalar("fn_clean_money", {"amount": F.coalesce(F.regexp_replace(F.regexp_replace("amount_raw", "[₹, ]", ""), r"[^\d.\-]", "").try_cast("double"), F.lit(0.0))}, {"amount": r"coalesce(TRY_CAST(regexp_replace(regexp_replace(amount_raw, '[₹, ]', '', 'g'), '[^\d.\-]', '', 'g') AS DOUBLE), 0.0)"})
-scalar("fn_norm_narration", {"narration": text.normal_narration(F.col("narration_raw"))}, {"narration": r"upper(trim(regexp_replace(regexp_replace(regexp_replace(narration_raw, '[/\-]', ' ', 'g'), '[|\\<>{}\[\]~`°]', ' ', 'g'), '\s+', ' ', 'g')))"})
-scalar("fn_norm_account", {"account": text.normal_account(F.col("account_raw"))}, {"account": r"regexp_replace(regexp_replace(account_raw, '[(_]+\d+[)_]+$', ''), '\s+', '', 'g')"})
+scalar("fn_parse_amount_ingest", lambda: {x: money.parse_unsigned(F.col("amount_raw"))[x] for x in ("amount", "sign")}, {"amount": "CASE WHEN blank THEN 0.0 ELSE v END", "sign": "CASE WHEN blank THEN '' WHEN first = 'cr' THEN '+' WHEN first = 'dr' OR minus OR bracket THEN '-' WHEN last = 'cr' THEN '+' WHEN last = 'dr' THEN '-' ELSE '' END"}, _Y)
+scalar("fn_clean_money", lambda: {"amount": F.coalesce(F.regexp_replace(F.regexp_replace("amount_raw", "[₹, ]", ""), r"[^\d.\-]", "").try_cast("double"), F.lit(0.0))}, {"amount": r"coalesce(TRY_CAST(regexp_replace(regexp_replace(amount_raw, '[₹, ]', '', 'g'), '[^\d.\-]', '', 'g') AS DOUBLE), 0.0)"})
+scalar("fn_norm_narration", lambda: {"narration": text.normal_narration(F.col("narration_raw"))}, {"narration": r"upper(trim(regexp_replace(regexp_replace(regexp_replace(narration_raw, '[/\-]', ' ', 'g'), '[|\\<>{}\[\]~`°]', ' ', 'g'), '\s+', ' ', 'g')))"})
+scalar("fn_norm_account", lambda: {"account": text.normal_account(F.col("account_raw"))}, {"account": r"regexp_replace(regexp_replace(account_raw, '[(_]+\d+[)_]+$', ''), '\s+', '', 'g')"})
 _names = ", ".join(f"'{k}': '{v}'" for k, v in text.CHANNEL_NAMES.items())
-scalar("fn_norm_channel", {"channel": text.normal_channel(F.col("channel_raw"))}, {"channel": f"coalesce(MAP {{{_names}}}[upper(trim(channel_raw))], upper(trim(channel_raw)))"})
+scalar("fn_norm_channel", lambda: {"channel": text.normal_channel(F.col("channel_raw"))}, {"channel": f"coalesce(MAP {{{_names}}}[upper(trim(channel_raw))], upper(trim(channel_raw)))"})
 _infer = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(narration_raw), {w!r})' for w in words)} THEN '{name}'" for name, words in text.CHANNEL_WORDS) + " ELSE 'OTHER' END"
-scalar("fn_infer_channel", {"channel": text.infer_channel(F.col("narration_raw"))}, {"channel": _infer})
+scalar("fn_infer_channel", lambda: {"channel": text.infer_channel(F.col("narration_raw"))}, {"channel": _infer})
 _words = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
-scalar("fn_tokenize", {"tokens": F.array_join(text.tokens(F.col("narration_raw")), ",")}, {"tokens": rf"array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(narration_raw), '\b([a-z0-9]{{3,}})\b', 1), lambda w: w NOT IN ({_words})))), ',')"})
-scalar("fn_cp_ifsc", {"ifsc": F.regexp_extract("narration_raw", r"\b([A-Z]{4}0[A-Z0-9]{6})\b", 1), "valid": F.col("ifsc_raw").rlike("^[A-Z]{4}0[A-Z0-9]{6}$")}, {"ifsc": r"regexp_extract(narration_raw, '\b([A-Z]{4}0[A-Z0-9]{6})\b', 1)", "valid": "regexp_matches(ifsc_raw, '^[A-Z]{4}0[A-Z0-9]{6}$')"})
+scalar("fn_tokenize", lambda: {"tokens": F.array_join(text.tokens(F.col("narration_raw")), ",")}, {"tokens": rf"array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(narration_raw), '\b([a-z0-9]{{3,}})\b', 1), lambda w: w NOT IN ({_words})))), ',')"})
+scalar("fn_cp_ifsc", lambda: {"ifsc": F.regexp_extract("narration_raw", r"\b([A-Z]{4}0[A-Z0-9]{6})\b", 1), "valid": F.col("ifsc_raw").rlike("^[A-Z]{4}0[A-Z0-9]{6}$")}, {"ifsc": r"regexp_extract(narration_raw, '\b([A-Z]{4}0[A-Z0-9]{6})\b', 1)", "valid": "regexp_matches(ifsc_raw, '^[A-Z]{4}0[A-Z0-9]{6}$')"})
 _no_names = ", ".join(f"'{w}'" for w in text.NO_NAMES)
 scalar(
     "fn_pseudo_cp",
-    {"party": text.pseudo_party(F.col("narration_raw"))},
+    lambda: {"party": text.pseudo_party(F.col("narration_raw"))},
     {"party": f"CASE WHEN t = '' THEN 'UNKNOWN' ELSE coalesce(list_filter(parts[2:1000], lambda p: p NOT IN ({_no_names}) AND regexp_full_match(p, '[A-Z .]{{3,40}}'))[1], nullif(substr(CASE WHEN len(parts) > 2 THEN array_to_string(parts[3:1000], '-') ELSE t END, 1, 30), ''), 'UNKNOWN') END"},
     ", x AS (SELECT *, list_filter(list_transform(regexp_split_to_array(t, '[-/]'), lambda p: trim(p)), lambda p: p <> '') AS parts FROM (SELECT *, upper(trim(narration_raw)) AS t FROM raw) q)",
 )
 _merchant = " OR ".join(f"contains(upper(trim(narration_raw)), '{w}')" for w in text.MERCHANTS + text.UTILITIES)
-scalar("fn_is_merchant", {"merchant": text.is_merchant(F.col("narration_raw"))}, {"merchant": f"trim(narration_raw) IN ('', 'NAN', 'NONE') OR {_merchant}"})
+scalar("fn_is_merchant", lambda: {"merchant": text.is_merchant(F.col("narration_raw"))}, {"merchant": f"trim(narration_raw) IN ('', 'NAN', 'NONE') OR {_merchant}"})
 _day = "CASE CAST(rid % 5 AS INT) WHEN 0 THEN concat(substr(date, 9, 2), '/', substr(date, 6, 2), '/', substr(date, 1, 4)) WHEN 1 THEN concat(substr(date, 9, 2), '-', substr(date, 6, 2), '-', substr(date, 3, 2)) WHEN 2 THEN date WHEN 3 THEN concat(' ', date, ' ') ELSE concat('1999', substr(date, 5)) END"
 register(
     "fn_parse_date_clean",
     lambda s, d: raw(s, d).select("leg_id", F.coalesce(text.parse_date(F.expr(_day)), F.lit("")).alias("iso")),
     f"WITH {RAW_SQL} SELECT leg_id, CASE WHEN rid % 5 = 4 THEN '' ELSE date END AS iso FROM raw",
 )
-_hour = F.coalesce(F.split("time_raw", ":")[0].try_cast("int"), F.lit(12))
-scalar("fn_hour", {"hour": _hour}, {"hour": "coalesce(TRY_CAST(split_part(time_raw, ':', 1) AS INT), 12)"})
-_h, _w = F.hour("ts"), F.weekday("ts")
+scalar("fn_hour", lambda: {"hour": F.coalesce(F.split("time_raw", ":")[0].try_cast("int"), F.lit(12))}, {"hour": "coalesce(TRY_CAST(split_part(time_raw, ':', 1) AS INT), 12)"})
+
+
+def temporal() -> dict[str, Column]:
+    h, w = F.hour("ts"), F.weekday("ts")
+    return {"hour": h, "dow": w, "dom": F.dayofmonth("ts"), "month": F.month("ts"), "weekend": w >= 5, "night": (h >= 22) | (h <= 5), "odd": (h >= 23) | (h <= 4), "hour_sin": F.round(F.sin(h * 2 * F.pi() / 24), 6) + 0.0, "dow_cos": F.round(F.cos(w * 2 * F.pi() / 7), 6)}
+
+
 scalar(
     "fn_temporal",
-    {"hour": _h, "dow": _w, "dom": F.dayofmonth("ts"), "month": F.month("ts"), "weekend": _w >= 5, "night": (_h >= 22) | (_h <= 5), "odd": (_h >= 23) | (_h <= 4), "hour_sin": F.round(F.sin(_h * 2 * F.pi() / 24), 6) + 0.0, "dow_cos": F.round(F.cos(_w * 2 * F.pi() / 7), 6)},
+    temporal,
     {"hour": "CAST(hour(ts) AS INT)", "dow": "CAST(isodow(ts) - 1 AS INT)", "dom": "CAST(day(ts) AS INT)", "month": "CAST(month(ts) AS INT)", "weekend": "isodow(ts) >= 6", "night": "hour(ts) >= 22 OR hour(ts) <= 5", "odd": "hour(ts) >= 23 OR hour(ts) <= 4", "hour_sin": "round(sin(hour(ts) * 2 * pi() / 24), 6)", "dow_cos": "round(cos((isodow(ts) - 1) * 2 * pi() / 7), 6)"},
 )
-_amount = F.col("debit") + F.col("credit")
-_edges = [1000, 5000, 10000, 50000, 100000, 500000]
-_bucket, _bucket_sql = F.when(_amount <= _edges[0], 0), "CASE WHEN debit + credit <= 1000 THEN 0"
-for _k, _e in enumerate(_edges[1:], 1):
-    _bucket, _bucket_sql = _bucket.when(_amount <= _e, _k), f"{_bucket_sql} WHEN debit + credit <= {_e} THEN {_k}"
-scalar("fn_bucket", {"bucket": _bucket.otherwise(6)}, {"bucket": f"{_bucket_sql} ELSE 6 END"})
-_near = [(9000, 10000), (49000, 50000), (99000, 100000), (199000, 200000)]
-_band = F.lit(False)
-for _lo, _hi in _near:
-    _band = _band | ((_amount >= _lo) & (_amount < _hi))
-scalar("fn_structuring", {"near_threshold": _band, **{f"round_{k}": _amount % k == 0 for k in (1000, 5000, 10000)}}, {"near_threshold": " OR ".join(f"(debit + credit >= {a} AND debit + credit < {b})" for a, b in _near), **{f"round_{k}": f"(debit + credit) % {k} = 0" for k in (1000, 5000, 10000)}})
+_EDGES = [1000, 5000, 10000, 50000, 100000, 500000]
+_NEAR = [(9000, 10000), (49000, 50000), (99000, 100000), (199000, 200000)]
+
+
+def amount() -> Column:
+    return F.col("debit") + F.col("credit")
+
+
+def bucket() -> Column:
+    case = F.when(amount() <= _EDGES[0], 0)
+    for k, edge in enumerate(_EDGES[1:], 1):
+        case = case.when(amount() <= edge, k)
+    return case.otherwise(6)
+
+
+def near_threshold() -> Column:
+    hit = F.lit(False)
+    for low, high in _NEAR:
+        hit = hit | ((amount() >= low) & (amount() < high))
+    return hit
+
+
+scalar("fn_bucket", lambda: {"bucket": bucket()}, {"bucket": "CASE " + " ".join(f"WHEN debit + credit <= {e} THEN {k}" for k, e in enumerate(_EDGES)) + " ELSE 6 END"})
+scalar(
+    "fn_structuring",
+    lambda: {"near_threshold": near_threshold(), **{f"round_{k}": amount() % k == 0 for k in (1000, 5000, 10000)}},
+    {"near_threshold": " OR ".join(f"(debit + credit >= {a} AND debit + credit < {b})" for a, b in _NEAR), **{f"round_{k}": f"(debit + credit) % {k} = 0" for k in (1000, 5000, 10000)}},
+)
 _groups = {"is_transfer": "TRANSFER|NEFT|RTGS|IMPS|TRF", "is_cash": "CASH|ATM|WITHDRAW|WDL", "is_salary": "SALARY|SAL|PAYROLL", "is_upi": "UPI|PHONEPE|GPAY|PAYTM|BHIM"}
-scalar("fn_narr_flags", {k: F.upper("narration_raw").rlike(v) for k, v in _groups.items()}, {k: f"regexp_matches(upper(narration_raw), '{v}')" for k, v in _groups.items()})
-_codes = F.create_map(*[F.lit(x) for kv in text.CHANNEL_CODES.items() for x in kv])
-scalar("fn_channel_enc", {"code": F.coalesce(F.try_element_at(_codes, F.upper(F.trim("channel"))), F.lit(0))}, {"code": "CASE channel " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in text.CHANNEL_CODES.items()) + " ELSE 0 END"})
+scalar("fn_narr_flags", lambda: {k: F.upper("narration_raw").rlike(v) for k, v in _groups.items()}, {k: f"regexp_matches(upper(narration_raw), '{v}')" for k, v in _groups.items()})
+scalar("fn_channel_enc", lambda: {"code": F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in text.CHANNEL_CODES.items() for x in kv]), F.upper(F.trim("channel"))), F.lit(0))}, {"code": "CASE channel " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in text.CHANNEL_CODES.items()) + " ELSE 0 END"})
 
 # ------------------------------------------------------------------------------------------------ flags
-_d, _c = F.coalesce("debit_raw", F.lit(0)), F.coalesce("credit_raw", F.lit(0))
-_FLAGS = {
-    "MISSING_AMOUNT_FILLED": F.col("debit_raw").isNull() != F.col("credit_raw").isNull(),
-    "BOTH_AMOUNTS_MISSING": F.col("debit_raw").isNull() & F.col("credit_raw").isNull(),
-    "INVALID_TRANSACTION": (_d > 0) & (_c > 0),
-    "ZERO_DEBIT_AND_CREDIT": (_d == 0) & (_c == 0),
-    "MISSING_NARRATION_FILLED": F.trim("narration_raw") == "",
-    "EMPTY_OR_SHORT_NARRATION": F.length(F.trim("narration_raw")) < 3,
-    "MISSING_UTR": F.trim("utr_raw") == "",
-    "MISSING_TIME_DEFAULTED": F.trim("time_raw") == "",
-}
+def flags() -> dict[str, Column]:
+    d, c = F.coalesce("debit_raw", F.lit(0)), F.coalesce("credit_raw", F.lit(0))
+    return {
+        "MISSING_AMOUNT_FILLED": F.col("debit_raw").isNull() != F.col("credit_raw").isNull(),
+        "BOTH_AMOUNTS_MISSING": F.col("debit_raw").isNull() & F.col("credit_raw").isNull(),
+        "INVALID_TRANSACTION": (d > 0) & (c > 0),
+        "ZERO_DEBIT_AND_CREDIT": (d == 0) & (c == 0),
+        "MISSING_NARRATION_FILLED": F.trim("narration_raw") == "",
+        "EMPTY_OR_SHORT_NARRATION": F.length(F.trim("narration_raw")) < 3,
+        "MISSING_UTR": F.trim("utr_raw") == "",
+        "MISSING_TIME_DEFAULTED": F.trim("time_raw") == "",
+        "MALFORMED_IFSC": (F.col("ifsc_raw") != "") & ~F.col("ifsc_raw").rlike("^[A-Z]{4}0[A-Z0-9]{6}$"),
+        "SELF_TRANSFER": F.col("cp") == F.col("account_id"),
+    }
+
+
 _FLAGS_SQL = {
     "MISSING_AMOUNT_FILLED": "(debit_raw IS NULL) <> (credit_raw IS NULL)",
     "BOTH_AMOUNTS_MISSING": "debit_raw IS NULL AND credit_raw IS NULL",
@@ -137,9 +165,7 @@ PENALTIES = {"INVALID_TRANSACTION": 15, "ZERO_DEBIT_AND_CREDIT": 10, "MISSING_NA
 
 def clean_flags(rows: DataFrame) -> DataFrame:
     """Adds clean_flags, an array of the flags that hold, in a fixed order."""
-    ifsc = (F.col("ifsc_raw") != "") & ~F.col("ifsc_raw").rlike("^[A-Z]{4}0[A-Z0-9]{6}$")
-    flags = {**_FLAGS, "MALFORMED_IFSC": ifsc, "SELF_TRANSFER": F.col("cp") == F.col("account_id")}
-    return rows.withColumn("clean_flags", F.array_compact(F.array(*(F.when(hit, name) for name, hit in flags.items()))))
+    return rows.withColumn("clean_flags", F.array_compact(F.array(*(F.when(hit, name) for name, hit in flags().items()))))
 
 
 _ALL_FLAGS_SQL = {**_FLAGS_SQL, "MALFORMED_IFSC": "ifsc_raw <> '' AND NOT regexp_matches(ifsc_raw, '^[A-Z]{4}0[A-Z0-9]{6}$')", "SELF_TRANSFER": "cp = account_id"}
@@ -158,13 +184,18 @@ def quality(rows: DataFrame) -> DataFrame:
 
 _BAND_SQL = "CASE WHEN quality_score >= 80 THEN 'HIGH' WHEN quality_score >= 50 THEN 'MEDIUM' ELSE 'LOW' END"
 register("ag_quality", lambda s, d: quality(clean_flags(raw(s, d))).select("leg_id", "quality_score", "quality_band"), f"WITH {RAW_SQL}, q AS (SELECT leg_id, {_SCORE_SQL} AS quality_score FROM raw) SELECT *, {_BAND_SQL} AS quality_band FROM q")
-register("ag_quality_bands", lambda s, d: quality(clean_flags(raw(s, d))).groupBy("quality_band").agg(F.count("*").alias("n"), F.round(F.avg("quality_score"), 4).alias("avg_score")), f"WITH {RAW_SQL}, q AS (SELECT leg_id, {_SCORE_SQL} AS quality_score FROM raw) SELECT {_BAND_SQL} AS quality_band, count(*) AS n, round(avg(quality_score), 4) AS avg_score FROM q GROUP BY 1")
+register("ag_quality_bands", lambda s, d: quality(clean_flags(raw(s, d))).groupBy("quality_band").agg(F.count("*").alias("n"), F.round(F.avg("quality_score"), 9).alias("avg_score")), f"WITH {RAW_SQL}, q AS (SELECT leg_id, {_SCORE_SQL} AS quality_score FROM raw) SELECT {_BAND_SQL} AS quality_band, count(*) AS n, round(avg(quality_score), 9) AS avg_score FROM q GROUP BY 1")
 register("im_actions", lambda s, d: clean_flags(raw(s, d)).select("leg_id", "account_id", F.explode("clean_flags").alias("action_type")), f"WITH {RAW_SQL} SELECT leg_id, account_id, unnest({_FLAG_LIST_SQL}) AS action_type FROM raw")
 register("flt_any_flag", lambda s, d: clean_flags(raw(s, d)).filter(F.size("clean_flags") > 0).select("leg_id", F.size("clean_flags").cast("long").alias("n_flags")), f"WITH {RAW_SQL}, q AS (SELECT leg_id, len({_FLAG_LIST_SQL}) AS n_flags FROM raw) SELECT * FROM q WHERE n_flags > 0")
 for _name, _flag in (("flt_invalid_txn", "INVALID_TRANSACTION"), ("flt_zero", "ZERO_DEBIT_AND_CREDIT"), ("flt_short_narr", "EMPTY_OR_SHORT_NARRATION"), ("flt_bad_ifsc", "MALFORMED_IFSC")):
     register(_name, lambda s, d, f=_flag: clean_flags(raw(s, d)).filter(F.array_contains("clean_flags", f)).select("leg_id", "account_id"), f"WITH {RAW_SQL} SELECT leg_id, account_id FROM raw WHERE {_ALL_FLAGS_SQL[_flag]}")
-_failed = F.array_compact(F.array(*(F.when(F.upper("narration_raw").rlike(rf"\b{w}\b"), f"FAILED_{w}") for w in text.FAILED_WORDS)))
-register("flt_failed", lambda s, d: raw(s, d).select("leg_id", F.explode(_failed).alias("flag")), f"WITH {RAW_SQL} " + " UNION ALL ".join(rf"SELECT leg_id, 'FAILED_{w}' AS flag FROM raw WHERE regexp_matches(upper(narration_raw), '\b{w}\b')" for w in text.FAILED_WORDS))
+
+
+def failed() -> Column:
+    return F.array_compact(F.array(*(F.when(F.upper("narration_raw").rlike(rf"\b{w}\b"), f"FAILED_{w}") for w in text.FAILED_WORDS)))
+
+
+register("flt_failed", lambda s, d: raw(s, d).select("leg_id", F.explode(failed()).alias("flag")), f"WITH {RAW_SQL} " + " UNION ALL ".join(rf"SELECT leg_id, 'FAILED_{w}' AS flag FROM raw WHERE regexp_matches(upper(narration_raw), '\b{w}\b')" for w in text.FAILED_WORDS))
 
 # ------------------------------------------------------------------------------------------------ duplicates
 _COPIES_SQL = """,

@@ -52,9 +52,8 @@ x AS (SELECT *, d - l AS f, l - coalesce(lag(l) OVER (PARTITION BY account_id OR
 fifo AS (SELECT cr.account_id, cr.leg_id AS credit_id, db.leg_id AS debit_id, least(cr.c, db.f) - greatest(cr.c - cr.credit, db.f - (db.debit - db.prior)) AS allocated
   FROM x cr JOIN x db ON cr.account_id = db.account_id AND cr.credit > 0 AND db.debit > 0 AND least(cr.c, db.f) > greatest(cr.c - cr.credit, db.f - (db.debit - db.prior))
   UNION ALL SELECT account_id, NULL, leg_id, prior FROM x WHERE prior > 0)"""
-_AS_DOUBLE = F.col("allocated").cast("double").alias("allocated")
 
-register("wn_fifo", lambda s, d: fifo_allocate(legs(s, d)).select("account_id", F.coalesce("credit_id", F.lit(-1)).alias("credit_id"), "debit_id", _AS_DOUBLE), f"{_FIFO_SQL} SELECT account_id, coalesce(credit_id, -1) AS credit_id, debit_id, CAST(allocated AS DOUBLE) AS allocated FROM fifo")
+register("wn_fifo", lambda s, d: fifo_allocate(legs(s, d)).select("account_id", F.coalesce("credit_id", F.lit(-1)).alias("credit_id"), "debit_id", F.col("allocated").cast("double").alias("allocated")), f"{_FIFO_SQL} SELECT account_id, coalesce(credit_id, -1) AS credit_id, debit_id, CAST(allocated AS DOUBLE) AS allocated FROM fifo")
 
 
 def funded_by(ledger: DataFrame) -> DataFrame:

@@ -77,8 +77,13 @@ register(
     lambda s, d: _deg(s, d).select(F.col("id").alias("account_id"), F.col("inflow").cast("double").alias("inflow"), F.col("outflow").cast("double").alias("outflow"), (F.col("inflow") - F.col("outflow")).alias("net")).orderBy(F.desc("net"), "account_id").limit(50).withColumn("net", F.col("net").cast("double")),
     f"{_DEG} SELECT id AS account_id, CAST(inflow AS DOUBLE) AS inflow, CAST(outflow AS DOUBLE) AS outflow, CAST(inflow - outflow AS DOUBLE) AS net FROM deg ORDER BY inflow - outflow DESC, id LIMIT 50",
 )
-_role = F.when((F.col("in_degree") == 0) & (F.col("out_degree") == 0), "isolated").when(F.col("in_degree") == 0, "source").when((F.col("out_degree") == 0) | (F.col("inflow") > F.col("outflow") * F.lit(1.3).cast("decimal(2,1)")), "destination").otherwise("intermediary")
-register("gr_roles", lambda s, d: _deg(s, d).select(F.col("id").alias("account_id"), _role.alias("role")), f"{_DEG} SELECT id AS account_id, CASE WHEN in_degree = 0 AND out_degree = 0 THEN 'isolated' WHEN in_degree = 0 THEN 'source' WHEN out_degree = 0 OR inflow > outflow * 1.3 THEN 'destination' ELSE 'intermediary' END AS role FROM deg")
+
+
+def role():
+    return F.when((F.col("in_degree") == 0) & (F.col("out_degree") == 0), "isolated").when(F.col("in_degree") == 0, "source").when((F.col("out_degree") == 0) | (F.col("inflow") > F.col("outflow") * F.lit(1.3).cast("decimal(2,1)")), "destination").otherwise("intermediary")
+
+
+register("gr_roles", lambda s, d: _deg(s, d).select(F.col("id").alias("account_id"), role().alias("role")), f"{_DEG} SELECT id AS account_id, CASE WHEN in_degree = 0 AND out_degree = 0 THEN 'isolated' WHEN in_degree = 0 THEN 'source' WHEN out_degree = 0 OR inflow > outflow * 1.3 THEN 'destination' ELSE 'intermediary' END AS role FROM deg")
 
 
 def reach(pairs: DataFrame, seeds: DataFrame, hops: int, direction: str = "both") -> DataFrame:

@@ -43,8 +43,8 @@ _PROFILE = f"""WITH {LEGS_SQL}, x AS (SELECT *, CAST(debit + credit AS DOUBLE) A
 profile AS (SELECT account_id, round(avg(x), 9) AS avg_amount, round(coalesce(stddev_samp(x), 1.0), 4) AS std_amount, quantile_cont(x, 0.5) AS median_amount, max(x) AS max_amount, count(*) AS txn_count, round(count(*) FILTER (credit > 0) / count(*), 6) AS credit_ratio,
   round(count(*) FILTER (hour(ts) >= 22 OR hour(ts) <= 5) / count(*), 6) AS night_ratio, count(DISTINCT cp) AS n_counterparties, CAST(greatest(1, floor((epoch(max(ts)) - epoch(min(ts))) / 86400)) AS BIGINT) AS active_days FROM x GROUP BY 1)"""
 register("ag_account_profile", lambda s, d: profiles(legs(s, d)), f"{_PROFILE} SELECT * FROM profile")
-register("ag_global_stats", lambda s, d: legs(s, d).select((F.col("debit") + F.col("credit")).cast("double").alias("x")).agg(F.round(F.avg("x"), 4).alias("mean"), F.round(F.stddev_samp("x"), 4).alias("std"), F.percentile("x", F.lit(0.5)).alias("median")), f"WITH {LEGS_SQL}, x AS (SELECT CAST(debit + credit AS DOUBLE) AS x FROM legs) SELECT round(avg(x), 4) AS mean, round(stddev_samp(x), 4) AS std, quantile_cont(x, 0.5) AS median FROM x")
-register("ag_hour_stats", lambda s, d: legs(s, d).groupBy(F.hour("ts").alias("hour")).agg(F.round(F.avg((F.col("debit") + F.col("credit")).cast("double")), 4).alias("mean"), F.count("*").alias("n")), f"WITH {LEGS_SQL} SELECT CAST(hour(ts) AS INT) AS hour, round(avg(CAST(debit + credit AS DOUBLE)), 4) AS mean, count(*) AS n FROM legs GROUP BY 1")
+register("ag_global_stats", lambda s, d: legs(s, d).select((F.col("debit") + F.col("credit")).cast("double").alias("x")).agg(F.round(F.avg("x"), 9).alias("mean"), F.round(F.stddev_samp("x"), 4).alias("std"), F.percentile("x", F.lit(0.5)).alias("median")), f"WITH {LEGS_SQL}, x AS (SELECT CAST(debit + credit AS DOUBLE) AS x FROM legs) SELECT round(avg(x), 9) AS mean, round(stddev_samp(x), 4) AS std, quantile_cont(x, 0.5) AS median FROM x")
+register("ag_hour_stats", lambda s, d: legs(s, d).groupBy(F.hour("ts").alias("hour")).agg(F.round(F.avg((F.col("debit") + F.col("credit")).cast("double")), 9).alias("mean"), F.count("*").alias("n")), f"WITH {LEGS_SQL} SELECT CAST(hour(ts) AS INT) AS hour, round(avg(CAST(debit + credit AS DOUBLE)), 9) AS mean, count(*) AS n FROM legs GROUP BY 1")
 
 
 def segments(ledger: DataFrame, volume: float = 500_000.0, txns: float = 60.0, average: float = 5_000.0) -> DataFrame:

@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 from ..catalog import register
 from ..sources.ledger_view import LEGS_SQL, legs, table
 
-_CARD = [F.count("*").alias("txn_count"), F.sum("debit").cast("double").alias("total_debit"), F.sum("credit").cast("double").alias("total_credit"), F.count_distinct("cp").alias("counterparties")]
+
+
+def card() -> list:
+    return [F.count("*").alias("txn_count"), F.sum("debit").cast("double").alias("total_debit"), F.sum("credit").cast("double").alias("total_credit"), F.count_distinct("cp").alias("counterparties")]
+
+
 _CARD_SQL = "count(*) AS txn_count, CAST(sum(debit) AS DOUBLE) AS total_debit, CAST(sum(credit) AS DOUBLE) AS total_credit, count(DISTINCT cp) AS counterparties"
 
 register(
@@ -20,7 +25,7 @@ register(
     lambda s, d: legs(s, d).orderBy(F.desc("date"), F.desc("time"), "leg_id").offset(100).limit(50).select("leg_id", "account_id", "date", "time"),
     f"WITH {LEGS_SQL} SELECT leg_id, account_id, date, time FROM legs ORDER BY date DESC, time DESC, leg_id LIMIT 50 OFFSET 100",
 )
-register("ag_account_card", lambda s, d: legs(s, d).groupBy("account_id").agg(*_CARD), f"WITH {LEGS_SQL} SELECT account_id, {_CARD_SQL} FROM legs GROUP BY 1")
+register("ag_account_card", lambda s, d: legs(s, d).groupBy("account_id").agg(*card()), f"WITH {LEGS_SQL} SELECT account_id, {_CARD_SQL} FROM legs GROUP BY 1")
 register("ag_txn_stats", lambda s, d: legs(s, d).groupBy("channel").agg(F.count("*").alias("n"), F.sum(F.col("debit") + F.col("credit")).cast("double").alias("volume")), f"WITH {LEGS_SQL} SELECT channel, count(*) AS n, CAST(sum(debit + credit) AS DOUBLE) AS volume FROM legs GROUP BY 1")
 register(
     "ag_dashboard",

@@ -12,8 +12,14 @@ from ..catalog import register
 from ..schema import BALANCE, FAN, MONEY, ODD, OUTLIER, SMURF, VELOCITY, day, epoch, joined
 from ..sources.ledger_view import BALANCED_SQL, LEGS_SQL, balanced, legs
 
-BY_ACCOUNT = Window.partitionBy("account_id")
-IN_ORDER = BY_ACCOUNT.orderBy("ts", "leg_id")
+
+
+def by_account():
+    return Window.partitionBy("account_id")
+
+
+def in_order():
+    return by_account().orderBy("ts", "leg_id")
 
 
 def floors(rows: DataFrame, amount: str, quantile: float) -> DataFrame:
@@ -21,8 +27,8 @@ def floors(rows: DataFrame, amount: str, quantile: float) -> DataFrame:
     return rows.filter(F.col(amount) > 0).groupBy("account_id").agg(F.percentile(F.col(amount).cast("double"), F.lit(quantile)).alias("floor"))
 
 
-def ahead(seconds: int) -> Window:
-    return BY_ACCOUNT.orderBy("t").rangeBetween(0, seconds)
+def ahead(seconds: int):
+    return by_account().orderBy("t").rangeBetween(0, seconds)
 
 
 def fan(ledger: DataFrame, direction: str) -> DataFrame:
@@ -35,7 +41,7 @@ def fan(ledger: DataFrame, direction: str) -> DataFrame:
     large = rows.join(floors(rows, amount, rule["quantile"]), "account_id").filter(F.col(amount).cast("double") >= F.col("floor"))
     frame = ahead(rule["hours"] * 3600)
     seen = large.select("account_id", "ts", "leg_id", "floor", F.collect_set("cp").over(frame).alias("parties"), F.sum(amount).over(frame).alias("total"), F.max("ts").over(frame).alias("end"), F.count("*").over(frame).alias("txn_count"))
-    first = seen.filter(F.size("parties") >= rule["parties"]).withColumn("k", F.row_number().over(IN_ORDER)).filter("k = 1")
+    first = seen.filter(F.size("parties") >= rule["parties"]).withColumn("k", F.row_number().over(in_order())).filter("k = 1")
     n = F.size("parties")
     return first.select("account_id", F.slice(F.array_sort("parties"), 1, 50).alias("parties"), n.cast("long").alias("n_parties"), F.col("total").cast("double").alias("total"), F.col("ts").alias("window_start"), F.col("end").alias("window_end"), "txn_count", "floor", F.when(n >= 8, "CRITICAL").otherwise("HIGH").alias("severity"))
 
@@ -73,7 +79,7 @@ def smurfing(ledger: DataFrame) -> DataFrame:
     frame = ahead(SMURF["days"] * 86400)
     seen = band.select("account_id", "ts", "leg_id", "low", "high", F.collect_set("cp").over(frame).alias("to"), F.sum("debit").over(frame).alias("total"), F.max("ts").over(frame).alias("end"), F.count("*").over(frame).alias("txn_count"))
     hits = seen.filter((F.col("txn_count") >= SMURF["txns"]) & (F.size("to") >= SMURF["destinations"]))
-    first = hits.withColumn("k", F.row_number().over(IN_ORDER)).filter("k = 1")
+    first = hits.withColumn("k", F.row_number().over(in_order())).filter("k = 1")
     return first.select(F.col("account_id").alias("account"), "txn_count", F.col("total").cast("double").alias("total_amount"), F.round("low", 6).alias("amount_band_low"), F.round("high", 6).alias("amount_band_high"), F.size("to").cast("long").alias("unique_destinations"), F.slice(F.array_sort("to"), 1, 25).alias("destinations"), F.col("ts").alias("window_start"), F.col("end").alias("window_end"), F.when(F.col("txn_count") >= 6, "HIGH").otherwise("MEDIUM").alias("severity"))
 
 
@@ -129,7 +135,7 @@ def velocity(ledger: DataFrame) -> DataFrame:
     timed = ledger.filter("time <> '00:00:00'").withColumn("t", epoch(F.col("ts")))
     span = VELOCITY["minutes"] * 60
     anchored = timed.withColumn("starts", (F.count("*").over(ahead(span)) >= VELOCITY["txns"]).cast("int"))
-    return anchored.withColumn("is_velocity_flag", F.max("starts").over(BY_ACCOUNT.orderBy("t").rangeBetween(-span, 0)) == 1).drop("starts", "t")
+    return anchored.withColumn("is_velocity_flag", F.max("starts").over(by_account().orderBy("t").rangeBetween(-span, 0)) == 1).drop("starts", "t")
 
 
 register(
@@ -144,11 +150,11 @@ SELECT leg_id, account_id, date, time FROM (SELECT *, max(CASE WHEN n >= 3 THEN
 
 def balance_breaks(ledger: DataFrame) -> DataFrame:
     """Differences between a balance and what the row before leads to, by size; accounts whose balance stands still are left out."""
-    before = F.lag("balance").over(IN_ORDER)
+    before = F.lag("balance").over(in_order())
     moved = F.col("credit") - F.col("debit")
     pairs = ledger.withColumn("before", before).filter("before is not null and balance is not null").withColumn("diff", F.abs(F.col("before") + F.col("credit") - F.col("debit") - F.col("balance")))
-    moves = F.count_if(moved != 0).over(BY_ACCOUNT)
-    stuck = F.count_if((moved != 0) & (F.abs(F.col("balance") - F.col("before")) <= BALANCE["tolerance"])).over(BY_ACCOUNT)
+    moves = F.count_if(moved != 0).over(by_account())
+    stuck = F.count_if((moved != 0) & (F.abs(F.col("balance") - F.col("before")) <= BALANCE["tolerance"])).over(by_account())
     flat = (moves >= BALANCE["flat_txns"]) & (stuck / moves >= BALANCE["flat_ratio"])
     kind = F.when(F.col("diff") <= BALANCE["tolerance"], "OK").when(F.col("diff") <= BALANCE["minor"], "MINOR").otherwise("MAJOR")
     return pairs.withColumn("flat", flat).filter(~F.coalesce("flat", F.lit(False))).withColumn("kind", kind).drop("flat")
@@ -201,8 +207,8 @@ SELECT leg_id, account_id, side, CAST(amount AS DOUBLE) AS amount, round(q3 + 3.
 def gaps(ledger: DataFrame) -> DataFrame:
     """Minutes since the account's row before (99999 for the first), their logarithm, and debits soon after a credit."""
     t = epoch(F.col("ts"))
-    minutes = F.coalesce((t - F.lag(t).over(IN_ORDER)) / 60, F.lit(99999.0))
-    after_credit = F.lag("credit").over(IN_ORDER) > 0
+    minutes = F.coalesce((t - F.lag(t).over(in_order())) / 60, F.lit(99999.0))
+    after_credit = F.lag("credit").over(in_order()) > 0
     return ledger.select("leg_id", "account_id", "debit", "credit", "ts", minutes.alias("minutes"), after_credit.alias("after_credit")).withColumn("gap_log", F.log1p("minutes")).withColumn("rapid", (F.col("debit") > 0) & F.coalesce("after_credit", F.lit(False)) & (F.col("minutes") <= 120))
 
 
@@ -228,7 +234,7 @@ def velocity_sums(ledger: DataFrame, days: tuple[int, ...] = (1, 7, 30)) -> Data
     rest = Window.partitionBy("account_id", "t").orderBy("leg_id").rowsBetween(0, Window.unboundedFollowing)
     out = rows.withColumns({"own": F.sum("amount").over(rest), "own_n": F.count("*").over(rest)})
     for n in days:
-        frame = BY_ACCOUNT.orderBy("t").rangeBetween(-n * 86400, 0)
+        frame = by_account().orderBy("t").rangeBetween(-n * 86400, 0)
         out = out.withColumns({f"sum_{n}d": (F.sum("amount").over(frame) - F.col("own")).cast("double"), f"count_{n}d": F.count("*").over(frame) - F.col("own_n")})
     return out.select("leg_id", "account_id", *(f"{k}_{n}d" for n in days for k in ("sum", "count")))
 
@@ -244,7 +250,7 @@ register(
     "wn_zscore",
     lambda s, d: (
         legs(s, d).withColumn("amount", (F.col("debit") + F.col("credit")).cast("double"))
-        .withColumn("z", (F.col("amount") - F.avg("amount").over(BY_ACCOUNT)) / (F.coalesce(F.nullif(F.stddev_samp("amount").over(BY_ACCOUNT), F.lit("NaN").cast("double")), F.lit(1.0)) + 1e-9))
+        .withColumn("z", (F.col("amount") - F.avg("amount").over(by_account())) / (F.coalesce(F.nullif(F.stddev_samp("amount").over(by_account()), F.lit("NaN").cast("double")), F.lit(1.0)) + 1e-9))
         .withColumn("z", F.round(F.least(F.greatest("z", F.lit(-10.0)), F.lit(10.0)), 4))
         .select("leg_id", "account_id", F.when(F.col("z") == 0, 0.0).otherwise(F.col("z")).alias("amount_zscore"))
     ),
@@ -253,13 +259,13 @@ register(
 register(
     "wn_share",
     lambda s, d: (
-        legs(s, d).filter("debit > 0").groupBy("account_id", "cp").agg(F.sum("debit").alias("sent")).withColumn("of_all", F.sum("sent").over(BY_ACCOUNT))
+        legs(s, d).filter("debit > 0").groupBy("account_id", "cp").agg(F.sum("debit").alias("sent")).withColumn("of_all", F.sum("sent").over(by_account()))
         .select("account_id", F.col("cp").alias("counterparty_name"), F.col("sent").cast("double").alias("total_sent"), F.round(F.col("sent").cast("double") / F.col("of_all").cast("double"), 4).alias("sent_share"))
     ),
     f"WITH {LEGS_SQL}, s AS (SELECT account_id, cp, sum(debit) AS sent FROM legs WHERE debit > 0 GROUP BY 1, 2) SELECT account_id, cp AS counterparty_name, CAST(sent AS DOUBLE) AS total_sent, round(CAST(sent AS DOUBLE) / CAST(sum(sent) OVER (PARTITION BY account_id) AS DOUBLE), 4) AS sent_share FROM s",
 )
 register(
     "wn_rank",
-    lambda s, d: legs(s, d).filter("debit > 0").withColumn("place", F.row_number().over(BY_ACCOUNT.orderBy(F.desc("debit"), "leg_id"))).filter("place <= 3").select("account_id", "leg_id", "place"),
+    lambda s, d: legs(s, d).filter("debit > 0").withColumn("place", F.row_number().over(by_account().orderBy(F.desc("debit"), "leg_id"))).filter("place <= 3").select("account_id", "leg_id", "place"),
     f"WITH {LEGS_SQL} SELECT account_id, leg_id, place FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY debit DESC, leg_id) AS place FROM legs WHERE debit > 0) WHERE place <= 3",
 )

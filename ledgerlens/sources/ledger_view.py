@@ -31,7 +31,7 @@ def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select("rid", "src", ((F.col("src") + F.col("n") + off) % F.col("n")).alias("dst"), "amt", F.expr("timestampadd(MINUTE, cast((h div 12) % 129600 as int), timestamp'2024-01-01')").alias("ts"))
 
 
-def account(key) -> F.Column:
+def account(key):
     return F.concat(F.lit("A"), F.lpad(key.cast("string"), 7, "0"))
 
 
