@@ -10,7 +10,7 @@ from ..plans.fixpoint import checkpointed, fixpoint
 from ..schema import joined
 from ..sources.ledger_view import LEGS_SQL, legs
 
-#: Parties outside of the ledger in the queries: the reference's external counterparties.
+#: Accounts whose statements the queries leave out, so that they count as external parties.
 _OUTSIDE = "substr(cp, 8, 1) = '7'"
 
 
