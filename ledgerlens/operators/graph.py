@@ -136,19 +136,23 @@ def components(pairs: DataFrame) -> DataFrame:
     return fixpoint(start, step, "changed").select("id", "component")
 
 
-def _islands(s, d):
-    """A sparse part of the graph, which falls into many components."""
-    return account_graph(_edges(s, d).filter("leg_id % 200 = 0")).drop("leg_ids")
+def _pairs(s, d):
+    """Every pair of accounts with an edge, written once for the readers of a query."""
+    return checkpointed(account_graph(_edges(s, d)).drop("leg_ids"))
+
+
+def graph_summary(pairs: DataFrame) -> DataFrame:
+    return components(pairs).agg(F.count("*").alias("nodes"), F.count_distinct("component").alias("components")).crossJoin(pairs.agg(F.count("*").alias("edges"), F.sum("n").alias("transactions"))).withColumn("density", F.round(F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1)), 8))
 
 
 _ISLANDS = f"""{_EDGES.replace("pairs AS (SELECT src, dst, sum(amount) AS total, count(*) AS n FROM edges GROUP BY 1, 2)", "pairs AS (SELECT src, dst, sum(amount) AS total, count(*) AS n FROM edges WHERE leg_id % 200 = 0 GROUP BY 1, 2)")},
 both_ways AS MATERIALIZED (SELECT src AS a, dst AS b FROM pairs UNION SELECT dst, src FROM pairs),
 walk AS (SELECT a AS id, a AS got FROM both_ways UNION SELECT w.id, t.b FROM walk w JOIN both_ways t ON t.a = w.got),
 comp AS (SELECT id, min(got) AS component FROM walk GROUP BY 1)"""
-register("gr_wcc", lambda s, d: components(_islands(s, d)).withColumnRenamed("id", "account_id"), f"{_ISLANDS} SELECT id AS account_id, component FROM comp")
+register("gr_wcc", lambda s, d: components(_pairs(s, d)).withColumnRenamed("id", "account_id"), f"{_ISLANDS} SELECT id AS account_id, component FROM comp")
 register(
     "ag_graph_summary",
-    lambda s, d: (lambda p: components(p).agg(F.count("*").alias("nodes"), F.count_distinct("component").alias("components")).crossJoin(p.agg(F.count("*").alias("edges"), F.sum("n").alias("transactions"))).withColumn("density", F.round(F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1)), 8)))(_islands(s, d)),
+    lambda s, d: graph_summary(_pairs(s, d)),
     f"{_ISLANDS}, e AS (SELECT count(*) AS edges, CAST(sum(n) AS BIGINT) AS transactions FROM pairs), c AS (SELECT count(*) AS nodes, count(DISTINCT component) AS components FROM comp) SELECT nodes, components, edges, transactions, round(edges / (nodes * (nodes - 1)), 8) AS density FROM c CROSS JOIN e",
 )
 

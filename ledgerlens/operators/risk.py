@@ -9,7 +9,7 @@ from ..catalog import register
 from ..schema import BENEFICIARY, WEIGHTS, day
 from ..sources.ledger_view import LEGS_SQL, legs
 from .paths import round_trips
-from .windows import fan, odd_hours, smurfing, velocity
+from .windows import fan, iqr_outliers, odd_hours, smurfing, velocity
 
 
 def beneficiaries(ledger: DataFrame) -> DataFrame:
@@ -74,9 +74,20 @@ def suppress(ledger: DataFrame, flagged: Column, least: int = 5) -> DataFrame:
     return rows.select("leg_id", "account_id", F.array_join(reasons, ";").alias("suppression_reason"), (F.size(reasons) == 0).alias("final_flag"))
 
 
+def detector_flags(ledger: DataFrame) -> DataFrame:
+    """(leg_id) of the rows that the row detectors mark: bursts and amounts far above the account's own."""
+    return velocity(ledger).filter("is_velocity_flag").select("leg_id").union(iqr_outliers(ledger).select("leg_id")).distinct()
+
+
+def suppressed(ledger: DataFrame) -> DataFrame:
+    """suppress() over every row that a detector marks."""
+    marked = ledger.join(detector_flags(ledger).withColumn("marked", F.lit(True)), "leg_id", "left")
+    return suppress(marked, F.coalesce("marked", F.lit(False)))
+
+
 register(
     "ml_suppress",
-    lambda s, d: suppress(legs(s, d), F.col("rid") % 7 == 0),
+    lambda s, d: suppressed(legs(s, d)),
     f"""{_PROFILE}, seg AS (SELECT account_id, CASE WHEN sum(x) / (active / 30) >= 500000 AND count(*) / (active / 30) >= 30 AND sum(x) / count(*) >= 5000 THEN 'business' ELSE 'retail' END AS s FROM (SELECT x.*, active_days AS active FROM x JOIN profile USING (account_id)) GROUP BY account_id, active),
 r AS (SELECT leg_id, account_id, rid, list_filter([CASE WHEN count(*) OVER (PARTITION BY account_id, cp) > 5 THEN 'frequent_counterparty' END, CASE WHEN regexp_matches(upper(narration), 'SALARY|SAL|PAYROLL') THEN 'salary_pattern' END, CASE WHEN s = 'business' AND x <= median_amount * 2.5 THEN 'business_normal_range' END], lambda f: f IS NOT NULL) AS reasons
   FROM x JOIN profile USING (account_id) JOIN seg USING (account_id))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import register
@@ -13,6 +14,14 @@ def card() -> list:
     return [F.count("*").alias("txn_count"), F.sum("debit").cast("double").alias("total_debit"), F.sum("credit").cast("double").alias("total_credit"), F.count_distinct("cp").alias("counterparties")]
 
 
+def account_pages(ledger: DataFrame, size: int = 100) -> DataFrame:
+    """All rows of every account in the order of a statement, with the page of `size` rows that each is on and the account's total."""
+    order = Window.partitionBy("account_id").orderBy("date", "time", "leg_id")
+    total = ledger.groupBy("account_id").agg(F.count("*").alias("total"))
+    rows = ledger.withColumn("page", F.ceil(F.row_number().over(order) / size).cast("long")).join(total, "account_id")
+    return rows.select("account_id", "page", "total", "leg_id", "date", "time", "cp", F.col("debit").cast("double").alias("debit"), F.col("credit").cast("double").alias("credit"), "channel")
+
+
 _CARD_SQL = "count(*) AS txn_count, CAST(sum(debit) AS DOUBLE) AS total_debit, CAST(sum(credit) AS DOUBLE) AS total_credit, count(DISTINCT cp) AS counterparties"
 
 register(
@@ -44,7 +53,7 @@ register(
 )
 register(
     "sv_account_txns",
-    lambda s, d: legs(s, d).filter("account_id like 'A00000%'").groupBy("account_id", "date").agg(F.count("*").alias("n"), F.sum(F.col("credit") - F.col("debit")).cast("double").alias("net")),
+    lambda s, d: account_pages(legs(s, d)),
     f"WITH {LEGS_SQL} SELECT account_id, date, count(*) AS n, CAST(sum(credit - debit) AS DOUBLE) AS net FROM legs WHERE account_id LIKE 'A00000%' GROUP BY 1, 2",
 )
 register(
