@@ -69,17 +69,26 @@ register(
 )
 
 
-def spent_on(ledger: DataFrame, days: int = 7) -> DataFrame:
-    """Each credit by itself consumes the account's later debits of some days, in order, until it is used up."""
-    from ..plans.range_join import range_join
-
-    t = F.unix_timestamp("ts")
-    credits = ledger.filter("credit > 0").select("account_id", F.col("leg_id").alias("credit_id"), "credit", t.alias("credit_t"))
-    debits = ledger.filter("debit > 0").select("account_id", F.col("leg_id").alias("debit_id"), "debit", t.alias("debit_t"))
-    later = range_join(credits, debits, ["account_id"], "credit_t", "debit_t", days * 86400).filter((F.col("debit_t") > F.col("credit_t")) | (F.col("debit_id") > F.col("credit_id")))
-    before = F.sum("debit").over(Window.partitionBy("credit_id").orderBy("debit_t", "debit_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("debit")
-    part = later.withColumn("left", F.col("credit") - before).filter("left > 0")
-    return part.select("account_id", "credit_id", "debit_id", F.least("left", "debit").cast("double").alias("traced"))
+def spent_on(ledger: DataFrame) -> DataFrame:
+    """Each credit by itself consumes the account's later debits, in order, until it is used up or none is left.
+
+    With d the running debits, a credit owns the stretch from d at its row on, as long as its amount.  The debits that
+    begin in it are consecutive: the first has the next number, and the last is counted in the order of stretch ends and
+    debit starts.  So a credit is joined to its own debits' numbers alone, however many the account has.
+    """
+    upto = Window.partitionBy("account_id").orderBy("ts", "leg_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = ledger.filter("credit > 0 or debit > 0").select("account_id", "leg_id", "credit", "debit", F.sum("debit").over(upto).cast(WIDE).alias("d"), F.count_if(F.col("debit") > 0).over(upto).alias("k"))
+    ends = F.array(
+        F.when(F.col("credit") > 0, F.struct((F.col("d") + F.col("credit")).cast(WIDE).alias("at"), F.lit(0).alias("begins"))),
+        F.when(F.col("debit") > 0, F.struct((F.col("d") - F.col("debit")).cast(WIDE).alias("at"), F.lit(1).alias("begins"))),
+    )
+    marks = rows.withColumn("mark", F.explode(F.array_compact(ends))).select("account_id", "leg_id", "credit", "d", "k", "mark.*")
+    # At equal amounts ends come first: a debit that begins where a credit ends gets nothing of it.
+    begun = Window.partitionBy("account_id").orderBy("at", "begins").rowsBetween(Window.unboundedPreceding, 0)
+    credits = marks.withColumn("last", F.sum("begins").over(begun)).filter("begins = 0 and last > k")
+    credits = credits.select("account_id", F.col("leg_id").alias("credit_id"), F.col("d").alias("low"), F.col("at").alias("high"), F.explode(F.sequence(F.col("k") + 1, F.col("last"))).alias("k"))
+    debits = rows.filter("debit > 0").select("account_id", "k", F.col("leg_id").alias("debit_id"), (F.col("d") - F.col("debit")).cast(WIDE).alias("from"), F.col("d").alias("to"))
+    return credits.join(debits, ["account_id", "k"]).select("account_id", "credit_id", "debit_id", (F.least("high", "to") - F.greatest("low", "from")).cast("double").alias("traced"))
 
 
 register(

@@ -61,3 +61,21 @@ def test_pages_hold_all_rows_of_all_accounts(spark, ledger):
         of[r.account_id].append((r.date, r.time, r.leg_id))
     want = {(a, k // 100 + 1, len(rows), leg) for a, rows in of.items() for k, (_, _, leg) in enumerate(sorted(rows))}
     assert len(got) == len(ledger) and {(r.account_id, r.page, r.total, r.leg_id) for r in got} == want
+
+
+def test_credits_are_followed_until_used_up(spark, ledger):
+    of = defaultdict(list)
+    for r in ledger:
+        of[r.account_id].append(r)
+    want = {}
+    for rows in of.values():
+        for i, c in enumerate(rows):
+            left = c.credit
+            for d in rows[i + 1 :] if left > 0 else []:
+                if d.debit > 0:
+                    want[c.leg_id, d.leg_id] = float(min(left, d.debit))
+                    left -= d.debit
+                    if left <= 0:
+                        break
+    got = catalog.QUERIES["tr_fifo_fwd"](spark, SF).collect()
+    assert len(got) == len(want) and {(r.credit_id, r.debit_id): r.traced for r in got} == want
