@@ -12,6 +12,7 @@ from __future__ import annotations
 import codecs
 import functools
 import hashlib
+import itertools
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -64,19 +65,20 @@ class Vocabulary:
     def symbols(token: str) -> int:
         return len(token) - len(END) if token.endswith(END) and token != END else len(token)
 
+    @staticmethod
+    def normal(piece: str) -> str:
+        """Composed, lower case; lower case goes by single characters, so there is no final sigma."""
+        return piece.lower() if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
+
     def words(self, piece: str) -> list[str]:
         """Words, in byte symbols, of a piece of text without special tokens.  White space only parts words."""
-        if piece.isascii():
-            piece = piece.lower()
-            if piece.isalpha():
-                return [piece]
-            words = WORDS.findall(piece)
-            return words if piece.isprintable() else [self._shown(w) for w in words]
-        # Lower case goes by single characters: no final sigma.
-        piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
-        return [self._shown(w) for w in WORDS.findall(piece)]
-
-    def _shown(self, word: str) -> str:
+        piece = self.normal(piece)
+        if piece.isascii() and piece.isalpha():
+            return [piece]
+        words = WORDS.findall(piece)
+        return words if piece.isascii() and piece.isprintable() else [self.shown(w) for w in words]
+
+    def shown(self, word: str) -> str:
         return word.encode("utf-8").decode("latin-1").translate(self.latin)
 
     @functools.cached_property
@@ -113,25 +115,26 @@ class Vocabulary:
                 ranks[i] = rank((parts[i], parts[i + 1]), none)
         return parts
 
-    def stream(self, symbols: str) -> Iterator[str]:
-        """Tokens of one word; holds no more than a few times the lookahead."""
-        ahead = self.lookahead
-        if len(symbols) <= 4 * ahead:  # the window holds the whole word
-            parts = list(symbols)
-            parts[-1] += END
-            yield from self.merge(parts)
-            return
-        window, held = 4 * ahead, []
-        for s in symbols:
-            if len(held) > window:
-                done = 0
-                for token in self.merge(held[:]):
-                    if done + len(token) > len(held) - ahead:
-                        break
-                    done += len(token)
-                    yield token
-                held = held[done:]
-            held.append(s)
+    def stream(self, symbols: Iterable[str]) -> Iterator[str]:
+        """Tokens of one word, given as an iterator of symbols; holds no more than twice the lookahead.
+
+        Symbols are read until the window is full or the word ends.  What a full window fixes is emitted and forgotten;
+        the end of the word fixes the rest.
+        """
+        source, window = iter(symbols), 2 * self.lookahead
+        held = list(itertools.islice(source, window))
+        while len(held) == window:
+            # One symbol more tells whether the word ends here, as only its last symbol carries the end.
+            more = list(itertools.islice(source, 1))
+            if not more:
+                break
+            done = 0
+            for token in self.merge(held[:]):
+                if done + len(token) > window - self.lookahead:
+                    break
+                done += len(token)
+                yield token
+            held = held[done:] + more + list(itertools.islice(source, done - 1))
         if held:
             held[-1] += END
             yield from self.merge(held)
@@ -150,11 +153,12 @@ def vocabulary(path: str | None = None) -> Vocabulary:
 class Encoder:
     """Encodes texts through bounded caches: pieces between spaces stand alone, as no word crosses a space.
 
-    Ids are held as text, joined by spaces, with the decoded text beside them.
+    Ids are held as text, joined by spaces, with the tokens' surfaces as bytes beside them.
     """
 
     def __init__(self, vocab: Vocabulary) -> None:
-        self.vocab, self.decoder, self.pieces, self.of_word = vocab, Decoder(vocab), {"": ("", "")}, {}
+        self.vocab, self.pieces, self.of_word = vocab, {"": ("", b"")}, {}
+        self.surface = {str(i): s.encode("utf-8") for i, s in vocab.surfaces.items()}
 
     def _word(self, word: str) -> str:
         got = self.of_word.get(word)
@@ -167,7 +171,7 @@ class Encoder:
                 self.of_word[word] = got
         return got
 
-    def _piece(self, piece: str) -> tuple[str, str]:
+    def _piece(self, piece: str) -> tuple[str, bytes]:
         vocab, ids = self.vocab, []
         for i, part in enumerate(vocab.splitter.split(piece) if vocab.splitter and "<" in piece else [piece]):
             if i % 2:
@@ -175,16 +179,16 @@ class Encoder:
             else:
                 ids += [self._word(word) for word in vocab.words(part)]
         joined = " ".join(ids)
-        return joined, self.decoder.whole(map(int, joined.split()))
+        return joined, b" ".join([self.surface[i] for i in joined.split()])
 
-    def pieces_of(self, text: str) -> list[tuple[str, str]]:
+    def pieces_of(self, text: str) -> list[tuple[str, bytes]]:
         pieces = text.replace("\n", " ").split(" ")
         known = self.pieces
         missing = set(pieces).difference(known)
         if not missing:
             return [known[p] for p in pieces]
         if len(known) + len(missing) > CACHED:
-            known = self.pieces = {"": ("", "")}
+            known = self.pieces = {"": ("", b"")}
             missing = set(pieces) - {""}
         once = {}
         for p in missing:
@@ -196,57 +200,53 @@ class Encoder:
 
 
 class Decoder:
-    """Turns ids into text step by step: surfaces as bytes, one space between tokens, an incremental UTF-8 machine behind."""
+    """An incremental machine from token bytes to text: its state, a begun UTF-8 sequence, crosses tokens and blocks."""
 
-    def __init__(self, vocab: Vocabulary) -> None:
-        self.bytes = {i: s.encode("utf-8") for i, s in vocab.surfaces.items()}
-        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
-        self.first = True
+    BLOCK = 4096
 
-    def feed(self, ids: Iterable[int]) -> str:
-        out = []
-        for i in ids:
-            surface = self.bytes.get(i)
-            if surface is not None:  # ids outside the vocabulary have no text
-                out.append(surface if self.first else b" " + surface)
-                self.first = False
-        return self.machine.decode(b"".join(out))
-
-    def end(self) -> str:
-        self.first = True
-        return self.machine.decode(b"", final=True)
+    def __init__(self) -> None:
+        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def whole(self, ids: Iterable[int]) -> str:
-        return self.feed(ids) + self.end()
+    def decode(self, runs: list[bytes]) -> Iterator[str]:
+        """The text of runs of tokens, one space between tokens, in blocks of runs."""
+        self.machine.reset()
+        for at in range(0, len(runs), self.BLOCK):
+            yield self.machine.decode((b" " if at else b"") + b" ".join(runs[at : at + self.BLOCK]))
+        yield self.machine.decode(b"", final=True)
 
 
 def encode_decode(docs: DataFrame, path: str | None = None, keep: list[str] | None = None, with_ids: bool = False, with_decoded: bool = False) -> DataFrame:
     """(doc_id, text) to (doc_id, n_tokens, ids_sha256, decoded_sha256), whole texts, special tokens only as the text has them.
 
-    Null texts count as empty: no tokens, and digests of the empty string.  `keep` names columns that stay; with_ids
-    and with_decoded add the ids and the decoded text.
+    Null texts count as empty: no tokens, and digests of the empty string.  Null and repeated doc_ids pass through, a
+    text or a word of any length takes constant memory beyond itself, an empty table gives an empty result.  `keep`
+    names columns that stay; with_ids and with_decoded add the ids and the decoded text.
     """
     keep = keep or ["doc_id"]
     state: list = []
 
     def run(batches):
         if not state:
-            state.append(Encoder(vocabulary(path)))
-        encoder = state[0]
+            state.extend([Encoder(vocabulary(path)), Decoder()])
+        encoder, decoder = state
         for batch in batches:
             for part in byte_slices(batch):
                 counts, id_hashes, text_hashes, all_ids, texts = [], [], [], [], []
                 for text in part.column("text").to_pylist():
                     pieces = [p for p in encoder.pieces_of(text or "") if p[0]]
                     joined = " ".join([p[0] for p in pieces])
-                    back = " ".join([p[1] for p in pieces])
+                    digest, back = hashlib.sha256(), []
+                    for block in decoder.decode([p[1] for p in pieces]):
+                        digest.update(block.encode("utf-8"))
+                        if with_decoded:
+                            back.append(block)
                     counts.append(joined.count(" ") + 1 if joined else 0)
                     id_hashes.append(hashlib.sha256(joined.encode()).hexdigest())
-                    text_hashes.append(hashlib.sha256(back.encode("utf-8")).hexdigest())
+                    text_hashes.append(digest.hexdigest())
                     if with_ids:
                         all_ids.append(np.array(joined.split(), dtype=np.int32))
                     if with_decoded:
-                        texts.append(back)
+                        texts.append("".join(back))
                 arrays = [part.column(k) for k in keep] + [pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string())]
                 names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:

@@ -24,44 +24,52 @@ def unescape(text: Column) -> Column:
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) rows to (conv_id, formatted, loss_spans).
+    """(conv_id, turn, role, text) rows to (conv_id, formatted, loss_runs).
 
     Turns go by turn number, ties by role, then text; repeated rows are all kept.  Null roles and texts are empty, a
-    null turn comes first, null conv_ids form one conversation.  loss_spans holds, for each run of assistant turns,
-    (start, length) of its parts in code points of `formatted`.  Extra columns are ignored.
+    null turn comes first, null conv_ids form one conversation.  loss_runs has (outside, inside) for each block: code
+    points before its text, counted from the end of the text of the block before, and code points of its text that
+    are learned, 0 unless the role is assistant, so masks stay in proportion to the turns.  A conversation is one
+    row, so it must fit in memory; time grows in proportion to it.  Empty tables give empty results; extra columns
+    are ignored.
     """
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     gathered = rows.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
-    last = F.size("t") - 1
-    is_start = lambda i: (i == 0) | (F.get("t", i)["role"] != F.get("t", i - 1)["role"])
-    starts = F.filter(F.sequence(F.lit(0), last), is_start)
-    marked = gathered.withColumn("starts", starts)
-    run = lambda i, k: F.slice("t", i + 1, F.coalesce(F.get("starts", k + 1), F.size("t")) - i)
-    runs = marked.select("conv_id", F.transform("starts", lambda i, k: F.struct(F.get("t", i)["role"].alias("role"), F.array_join(F.transform(run(i, k), lambda x: escape(x["text"])), SEP).alias("body"))).alias("runs"))
-    blocks = runs.select("conv_id", F.transform("runs", lambda r: F.struct(r["role"].alias("role"), F.concat(F.lit(OPEN), escape(r["role"]), F.lit(END_OF_HEAD)).alias("head"), r["body"].alias("body"))).alias("b"))
-    length = lambda b: F.char_length(b["head"]) + F.char_length(b["body"]) + len(CLOSE)
-    # Where each block starts: a running sum that keeps only (spans so far, position).
-    zero = F.struct(F.array().cast("array<struct<start:int,length:int>>").alias("spans"), F.lit(0).alias("at"))
-    span = lambda a, b: F.array(F.struct((a["at"] + F.char_length(b["head"])).alias("start"), F.char_length(b["body"]).alias("length")))
-    merge = lambda a, b: F.struct(F.when(b["role"] == "assistant", F.concat(a["spans"], span(a, b))).otherwise(a["spans"]).alias("spans"), (a["at"] + length(b)).alias("at"))
+    # Each lambda sees the elements that it needs only: a lambda that refers to a whole computed array computes it for every element.
+    roles = F.transform("t", lambda x: x["role"])
+    changed = F.zip_with(roles, F.concat(F.array(F.lit(None).cast("string")), F.slice(roles, F.lit(1), F.size("t") - 1)), lambda own, before: ~own.eqNullSafe(before))
+    starts = F.array_compact(F.transform(changed, lambda new, i: F.when(new, i)))
+    spans = lambda found: F.zip_with(found, F.concat(F.slice(found, F.lit(2), F.greatest(F.size(found) - 1, F.lit(0))), F.array(F.size("t"))), lambda a, b: F.struct(a.alias("at"), (b - a).alias("n")))
+    runs = F.transform(spans(starts), lambda s: F.slice("t", s["at"] + 1, s["n"]))
+    block = lambda run: F.struct(F.concat(F.lit(OPEN), escape(F.get(run, 0)["role"]), F.lit(END_OF_HEAD)).alias("head"), F.array_join(F.transform(run, lambda x: escape(x["text"])), SEP).alias("body"), (F.get(run, 0)["role"] == "assistant").alias("learned"))
+    blocks = gathered.select("conv_id", F.transform(runs, block).alias("b"))
+    close = len(CLOSE)
     return blocks.select(
         "conv_id",
         F.array_join(F.transform("b", lambda b: F.concat(b["head"], b["body"], F.lit(CLOSE))), "").alias("formatted"),
-        F.aggregate("b", zero, merge)["spans"].alias("loss_spans"),
+        F.transform("b", lambda b, i: F.struct((F.when(i > 0, close).otherwise(0) + F.char_length(b["head"]) + F.when(b["learned"], 0).otherwise(F.char_length(b["body"]))).alias("outside"), F.when(b["learned"], F.char_length(b["body"])).otherwise(0).alias("inside"))).alias("loss_runs"),
     )
 
 
+def _blocks(formatted: Column) -> Column:
+    """What stands before each CLOSE; no text holds one, as its first character is escaped."""
+    whole = F.split(formatted, CLOSE, -1)
+    return F.slice(whole, F.lit(1), F.size(whole) - 1)
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
     """(conv_id, formatted, ...) to (conv_id, turns): the (role, text) of every turn, from the formatted string alone."""
-    whole = F.split("formatted", CLOSE, -1)
-    blocks = F.slice(whole, 1, F.size(whole) - 1)
     head = lambda b: F.substring_index(b, END_OF_HEAD, 1)
     role = lambda b: unescape(F.substring(head(b), len(OPEN) + 1, 1 << 30))
     body = lambda b: b.substr(F.char_length(head(b)) + 2, F.char_length(b))
-    turns = F.flatten(F.transform(blocks, lambda b: F.transform(F.split(body(b), SEP, -1), lambda p: F.struct(role(b).alias("role"), unescape(p).alias("text")))))
+    turns = F.flatten(F.transform(_blocks(F.col("formatted")), lambda b: F.transform(F.split(body(b), SEP, -1), lambda p: F.struct(role(b).alias("role"), unescape(p).alias("text")))))
     return formatted.withColumn("turns", turns)
 
 
-def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped and without the marks between parts."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.replace(formatted.substr(s["start"] + 1, s["length"]), F.lit(SEP), F.lit("")))), "")
+def loss_text(formatted: Column, loss_runs: Column) -> Column:
+    """All text under the loss mask, unescaped and without the marks between parts.
+
+    The runs are laid along the string block by block: a block's masked text is its last `inside` code points.
+    """
+    masked = F.zip_with(_blocks(formatted), loss_runs, lambda b, r: F.when(r["inside"] > 0, F.right(b, r["inside"])).otherwise(""))
+    return F.array_join(F.transform(masked, lambda s: unescape(F.replace(s, F.lit(SEP), F.lit("")))), "")

@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where the session names none."""
+    """The folder that driver and executors share; a folder of our own only in local mode where the session names none."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="ledgerlens-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -34,6 +36,66 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables of large keys with so many rows at most are broadcast; longer ones are joined with salt.
+BROADCAST_KEYS, SALTS = 50_000, 64
+
+
+def _large_keys(rows: DataFrame, keys: list[str], block: int) -> tuple[DataFrame, int]:
+    """Keys with more than `block` rows and the number of parts of about a block that they need; counted before rows are shuffled."""
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > block)
+    sizes = materialize(sizes.select(*keys, F.ceil(F.col("_n") / block).cast("int").alias("_parts")))
+    return sizes, sizes.count()
+
+
+def _with_parts(rows: DataFrame, large: DataFrame, n: int, keys: list[str], member: str) -> DataFrame:
+    """Adds parts, 1 for keys that aren't large.
+
+    A table of large keys longer than BROADCAST_KEYS is joined on the key and a salt that `member` decides, so a hot key
+    never meets in one task.
+    """
+    if n <= BROADCAST_KEYS:
+        marked = rows.join(F.broadcast(large), keys, "left")
+    else:
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64(member, F.lit("salt")), F.lit(SALTS)))
+        marked = salted.join(large.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*keys, "_salt"], "left").drop("_salt")
+    return marked.withColumn("parts", F.coalesce("_parts", F.lit(1))).drop("_parts")
+
+
+def deal(rows: DataFrame, keys: list[str], member: str, block: int) -> DataFrame:
+    """Adds pair: rows of one key and pair fit in memory, and any two rows of one key meet in some pair.
+
+    A key with at most `block` rows has one pair.  Larger ones are split into parts of about a block by `member`, and each
+    row goes to the pairs of its part with every part.
+    """
+    mine = F.pmod(F.xxhash64(member), F.col("parts")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(mine, o) * F.col("parts") + F.greatest(mine, o))
+    return _with_parts(rows, *_large_keys(rows, keys, block), keys, member).withColumn("pair", F.explode(pairs)).drop("parts")
+
+
+def join_split(rows: DataFrame, unique: DataFrame, keys: list[str], member: str, block: int) -> DataFrame:
+    """rows joined with a table that has a row a key; rows of keys with more than `block` rows are split, theirs repeated."""
+    large, n = _large_keys(rows, keys, block)
+    left = _with_parts(rows, large, n, keys, member).withColumn("_part", F.pmod(F.xxhash64(member), F.col("parts")).cast("int")).drop("parts")
+    right = _with_parts(unique, large, n, keys, keys[0]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return left.join(right, [*keys, "_part"]).drop("_part")
+
+
+#: Bytes of text that a bucket of a written table should hold.
+BUCKET_BYTES = 128 << 20
+
+
+def write_buckets(df: DataFrame, name: str, buckets: int) -> DataFrame:
+    """df as a table in the shared warehouse, in buckets by (k1, k2): later joins by text don't move it again."""
+    table_name = f"ledgerlens_{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, "k1", "k2").saveAsTable(table_name)
+    return df.sparkSession.table(table_name)
+
+
+def bucket_count(spark: SparkSession, n_bytes: int) -> int:
+    """As many buckets as shuffles have partitions, or more where a bucket would hold more than BUCKET_BYTES; 100,000 are Spark's limit."""
+    return min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // BUCKET_BYTES)), 100_000)
+
+
 def text_key(text: Column) -> list[Column]:
     """Two independent 64-bit digests that stand for a text (null counts as empty)."""
     text = F.coalesce(text, F.lit(""))

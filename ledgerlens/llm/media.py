@@ -1,10 +1,11 @@
 """Media columns with content-defined chunks.
 
 A payload of 8-bit samples is cut where a rolling gear hash of its last 32 bytes has ten zero bits, so equal
-stretches give equal chunks wherever they stand.  Spark joins on the chunks' digests find one owner for each digest; an
-owner keeps the chunk's bytes, every other place keeps a reference.  Reading back fetches referenced chunks from their
-owners, puts each medium together from its ordered chunk list, and checks all digests.  The bytes are shuffled once, by
-text; only shared chunks travel again.
+stretches give equal chunks wherever they stand.  Two tables are written: lists, with a medium's header and the ordered
+digests of its chunks, and chunks, with one row for each digest, kept beside the medium that owns it, the first that
+has the chunk.  Spark joins on digests find the owners.  Reading takes both tables, fetches shared chunks from their
+owners, puts each medium together in order and checks all digests.  Both tables are in buckets by text, so the bytes are
+shuffled once; only shared chunks travel again.
 """
 
 from __future__ import annotations
@@ -12,19 +13,22 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import batch_bytes, byte_slices, text_key
+from .common import batch_bytes, bucket_count, byte_slices, join_split, text_key, write_buckets
 
 UNIT = 192
 CUT_BITS, LEAST, MOST = 10, 256, 8192
 REACH = 32
 RATE = 8000
+#: References to one chunk beyond which they are split over tasks.
+HOT = 4096
 _GEAR = np.random.default_rng(1995).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -69,91 +73,114 @@ def features(samples: np.ndarray) -> str:
     return f"mean={total / n:.6f};power={squares / n:.6f};low={int(x.min())};high={int(x.max())};crossings={crossings}"
 
 
-def stored(docs: DataFrame) -> DataFrame:
-    """(k1, k2, m) for each distinct text: m has sizes, the payload's digest, and the ordered chunks, compressed."""
+def cut_up(part) -> Iterator[tuple[bytes, list[bytes]]]:
+    """The payload of each row of an Arrow batch of texts, and its chunks."""
+    data, offsets = batch_bytes(part.column("text"))
+    cuts, raw = cut_candidates(data), data.tobytes()
+    for i in range(part.num_rows):
+        lo, hi = int(offsets[i]), int(offsets[i + 1])
+        payload = padded(raw[lo:hi])
+        own = cuts[np.searchsorted(cuts, lo + REACH) : np.searchsorted(cuts, hi, side="right")] - lo
+        ends = chunk_ends(own, len(payload))
+        yield payload, [payload[a:b] for a, b in zip([0, *ends], ends)]
 
-    def store(batches):
+
+def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Writes the lists (k1, k2, n_bytes, header, payload_sha256, digests) and the chunks (k1, k2, digest, body) of all texts.
+
+    A chunk's k1 and k2 are those of the text that owns it.
+    """
+    spark = docs.sparkSession
+    keyed = docs.select(*text_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
+
+    def describe(batches):
+        for batch in batches:
+            for part in byte_slices(batch):
+                sizes, heads, wholes, digests = pc.fill_null(pc.binary_length(part.column("text")), 0), [], [], []
+                for payload, chunks in cut_up(part):
+                    heads.append(header(len(payload)))
+                    wholes.append(hashlib.sha256(payload).digest())
+                    digests.append([hashlib.sha256(c).digest() for c in chunks])
+                arrays = [sizes.cast(pa.int64()), pa.array(heads, pa.binary()), pa.array(wholes, pa.binary()), pa.array(digests, pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays([part.column("k1"), part.column("k2"), *arrays], ["k1", "k2", "n_bytes", "header", "payload_sha256", "digests"])
+
+    described = keyed.mapInArrow(describe, "k1 long, k2 long, n_bytes long, header binary, payload_sha256 binary, digests array<binary>")
+    described = described.groupBy("k1", "k2").agg(F.first(F.struct("n_bytes", "header", "payload_sha256", "digests")).alias("m")).select("k1", "k2", "m.*")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = bucket_count(spark, total)
+    lists = write_buckets(described, "lists", buckets)
+
+    texts = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    elsewhere = foreign(lists).groupBy("k1", "k2").agg(F.collect_list("digest").alias("elsewhere"))
+
+    def bodies(batches):
         for batch in batches:
             for part in byte_slices(batch):
-                data, offsets = batch_bytes(part.column("text"))
-                cuts = cut_candidates(data)
-                out = []
-                raw = data.tobytes()
-                for i in range(part.num_rows):
-                    lo, hi = int(offsets[i]), int(offsets[i + 1])
-                    payload = padded(raw[lo:hi])
-                    own = cuts[np.searchsorted(cuts, lo + REACH) : np.searchsorted(cuts, hi, side="right")] - lo
-                    chunks, at = [], 0
-                    for end in chunk_ends(own, len(payload)):
-                        chunk = payload[at:end]
-                        chunks.append({"digest": hashlib.sha256(chunk).digest(), "size": end - at, "body": zlib.compress(chunk, 4)})
-                        at = end
-                    out.append({"n_bytes": hi - lo, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).digest(), "chunks": chunks})
-                kind = pa.struct([("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.binary()), ("chunks", pa.list_(pa.struct([("digest", pa.binary()), ("size", pa.int32()), ("body", pa.binary())])))])
-                yield pa.RecordBatch.from_arrays([part.column("k1"), part.column("k2"), pa.array(out, kind)], ["k1", "k2", "m"])
-
-    m = T.StructType.fromDDL("n_bytes long, payload_bytes long, payload_sha256 binary, chunks array<struct<digest: binary, size: int, body: binary>>")
-    # Keys that can't be null get no filter from joins, so all uses of the texts share one shuffle.
-    schema = T.StructType([T.StructField("k1", T.LongType(), False), T.StructField("k2", T.LongType(), False), T.StructField("m", m)])
-    # Copies of a text meet before the shuffle, and in one row behind it.
-    return docs.select(*text_key(F.col("text")), "text").mapInArrow(store, schema).groupBy("k1", "k2").agg(F.first("m").alias("m"))
-
-
-def deduplicated(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The chunks that are referenced, as (k1, k2, fetched: [(seq, digest, body)]), and (digest, owner) of shared chunks."""
-    place = F.struct("k1", "k2", "seq")
-    refs = texts.select("k1", "k2", F.posexplode(F.transform("m.chunks", lambda c: c["digest"])).alias("seq", "digest"))
-    owned = refs.groupBy("digest").agg(F.min(place).alias("owner"), F.max(place).alias("other"))
-    shared = owned.filter(F.col("owner") != F.col("other")).select("digest", "owner")
-    foreign = refs.join(shared, "digest").filter(place != F.col("owner")).select("k1", "k2", "seq", "digest")
-    needed = shared.select(F.col("owner.k1").alias("k1"), F.col("owner.k2").alias("k2"), "owner.seq").groupBy("k1", "k2").agg(F.collect_list("seq").alias("seqs"))
-    bodies = texts.join(needed, ["k1", "k2"]).select(F.explode(F.transform("seqs", lambda s: F.get("m.chunks", s))).alias("c")).select("c.digest", "c.body")
-    fetched = foreign.join(bodies, "digest").groupBy("k1", "k2").agg(F.collect_list(F.struct("seq", "digest", "body")).alias("fetched"))
-    return fetched, shared
-
-
-def read_media(texts: DataFrame, fetched: DataFrame, with_payload: bool = False) -> DataFrame:
-    """Puts media together from owned and fetched chunks; a wrong digest stops the job."""
-    foreign = F.transform(F.coalesce("fetched", F.array()), lambda x: x["seq"])
-    own = F.transform("m.chunks", lambda c, i: F.struct(c["digest"].alias("digest"), F.when(~F.array_contains(foreign, i), c["body"]).alias("body")))
-    rows = texts.join(fetched, ["k1", "k2"], "left").select("k1", "k2", "m.n_bytes", "m.payload_sha256", own.alias("own"), "fetched")
+                row, digests, out = [], [], []
+                for i, ((_, chunks), others) in enumerate(zip(cut_up(part), part.column("elsewhere").to_pylist(), strict=True)):
+                    written = set(others or ())
+                    for chunk in chunks:
+                        digest = hashlib.sha256(chunk).digest()
+                        if digest not in written:
+                            written.add(digest)
+                            row.append(i)
+                            digests.append(digest)
+                            out.append(zlib.compress(chunk, 6))
+                at = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("k1").take(at), part.column("k2").take(at), pa.array(digests, pa.binary()), pa.array(out, pa.binary())], ["k1", "k2", "digest", "body"])
+
+    owned = texts.join(elsewhere, ["k1", "k2"], "left").select("k1", "k2", "text", "elsewhere").mapInArrow(bodies, "k1 long, k2 long, digest binary, body binary")
+    return lists, write_buckets(owned, "chunks", buckets)
+
+
+def foreign(lists: DataFrame) -> DataFrame:
+    """(k1, k2, digest) of the chunks that a text has but doesn't own: the smallest key of those that have one owns it."""
+    place = F.struct("k1", "k2")
+    refs = lists.select("k1", "k2", F.explode(F.array_distinct("digests")).alias("digest"))
+    owned = refs.groupBy("digest").agg(F.min(place).alias("owner"), F.max(place).alias("other")).filter("owner <> other").select("digest", "owner")
+    return join_split(refs, owned, ["digest"], "k1", HOT).filter(place != F.col("owner")).select("k1", "k2", "digest")
+
+
+def read_media(lists: DataFrame, chunks: DataFrame, with_payload: bool = False) -> DataFrame:
+    """Puts media together from the two tables; a chunk or a medium that doesn't match its digest stops the job."""
+    body = F.collect_list(F.struct("digest", "body"))
+    wanted = foreign(lists)
+    shared = chunks.select("digest", "body").join(wanted.select("digest").distinct(), "digest", "left_semi")
+    fetched = join_split(wanted, shared, ["digest"], "k1", HOT).groupBy("k1", "k2").agg(body.alias("fetched"))
+    own = chunks.groupBy("k1", "k2").agg(body.alias("own"))
+    rows = lists.join(own, ["k1", "k2"], "left").join(fetched, ["k1", "k2"], "left").select("k1", "k2", "n_bytes", "header", "payload_sha256", "digests", "own", "fetched")
+    results = {"payload_bytes": pa.int64(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.binary(), "feature": pa.string(), "payload": pa.binary()}
 
     def read(batches):
         for batch in batches:
-            columns: dict[str, list] = {x: [] for x in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "payload")}
-            for own, fetched, expected in zip(batch.column("own").to_pylist(), batch.column("fetched").to_pylist(), batch.column("payload_sha256").to_pylist(), strict=True):
-                there = {x["seq"]: x["body"] for x in fetched or ()}
-                parts = []
-                for seq, chunk in enumerate(own):
-                    body = chunk["body"] if chunk["body"] is not None else there[seq]
-                    data = zlib.decompress(body)
-                    if hashlib.sha256(data).digest() != chunk["digest"]:
+            columns: dict[str, list] = {x: [] for x in results}
+            for head, expected, digests, own, fetched in zip(*(batch.column(x).to_pylist() for x in ("header", "payload_sha256", "digests", "own", "fetched")), strict=True):
+                at = {}
+                for chunk in [*(own or ()), *(fetched or ())]:
+                    at[chunk["digest"]] = zlib.decompress(chunk["body"])
+                    if hashlib.sha256(at[chunk["digest"]]).digest() != chunk["digest"]:
                         raise ValueError("a chunk doesn't match its digest")
-                    parts.append(data)
-                payload = b"".join(parts)
-                digest = hashlib.sha256(payload)
-                if digest.digest() != expected:
+                medium = head + b"".join([at[x] for x in digests])
+                payload = medium[len(head) :]
+                if hashlib.sha256(payload).digest() != expected:
                     raise ValueError("a medium doesn't match its digest")
-                head = header(len(payload))
-                whole = hashlib.sha256(head)
-                whole.update(payload)
-                for name, value in (("payload_bytes", len(payload)), ("payload_sha256", digest.digest()), ("tail_crc32", zlib.crc32(payload[-16:])), ("media_bytes", len(head) + len(payload)), ("media_sha256", whole.digest()), ("feature", features(np.frombuffer(payload, np.uint8))), ("payload", payload if with_payload else None)):
+                values = (len(payload), zlib.crc32(payload[-16:]), len(medium), hashlib.sha256(medium).digest(), features(np.frombuffer(payload, np.uint8)), payload if with_payload else None)
+                for name, value in zip(results, values, strict=True):
                     columns[name].append(value)
-            kinds = {"payload_bytes": pa.int64(), "payload_sha256": pa.binary(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.binary(), "feature": pa.string(), "payload": pa.binary()}
-            arrays = [pa.array(v, kinds[k]) for k, v in columns.items()]
-            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), batch.column("n_bytes"), *arrays], ["k1", "k2", "n_bytes", *columns])
+            arrays = [pa.array(columns[k], kind) for k, kind in results.items()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("k1", "k2", "n_bytes", "payload_sha256")), *arrays], ["k1", "k2", "n_bytes", "payload_sha256", *results])
 
-    return rows.mapInArrow(read, "k1 long, k2 long, n_bytes long, payload_bytes long, payload_sha256 binary, tail_crc32 long, media_bytes long, media_sha256 binary, feature string, payload binary")
+    return rows.mapInArrow(read, "k1 long, k2 long, n_bytes long, payload_sha256 binary, payload_bytes long, tail_crc32 long, media_bytes long, media_sha256 binary, feature string, payload binary")
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to one row a document with the sizes, digests and features of its medium as read back.
 
-    The medium is a WAVE file of 8-bit samples.  Null texts count as empty, and an empty text has 192 bytes 32; equal
-    texts share one medium.  An empty table gives an empty result; other columns are dropped.
+    The medium is a WAVE file of 8-bit samples, stored as its header and chunks.  Null texts count as empty, and an empty
+    text has 192 bytes 32; equal texts share one medium.  Null and repeated doc_ids pass through; a text of any length
+    is stored whole, and one task holds one medium at a time.  An empty table gives an empty result; other columns are
+    dropped.
     """
-    texts = stored(docs)
-    fetched, _ = deduplicated(texts)
-    media = read_media(texts, fetched).drop("payload")
+    media = read_media(*store(docs)).drop("payload")
     hexed = lambda name: F.lower(F.hex(name)).alias(name)
     return docs.select("doc_id", *text_key(F.col("text"))).join(media, ["k1", "k2"]).select("doc_id", "n_bytes", "payload_bytes", hexed("payload_sha256"), "tail_crc32", "media_bytes", hexed("media_sha256"), "feature")

@@ -8,9 +8,13 @@
 3. Within a group, the intersections of all pairs of full sets are counted exactly, and true links are tied by stars.
    The components of those are the result.
 
-Buckets and groups of more classes than a block holds are split into blocks, and pairs of blocks go to different tasks,
-so a task's memory and time are bounded and no pair is left out.  No step emits all pairs: a pair of blocks gives at
-most one row a class.
+Buckets and groups are counted before they are dealt.  Those of more classes than a block holds are split into blocks,
+and pairs of blocks go to different tasks, so a task holds two blocks at most and no pair is left out.  No step emits
+all pairs: a pair of blocks gives at most one row a class.  Work is quadratic in the number of different texts of one
+group, which are near copies of each other or chains of them, not in the number of their copies.
+
+A link at the threshold is lost if its sets share no bucket (MISSED) or if their sketches differ in too many bits
+(`sketch_miss`, 5e-7 at 85 percent and three words, 2e-6 at 80 and five).
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_bytes, byte_slices, materialize, mixed, prefix_sums, range_hashes, words_of
+from .common import batch_bytes, byte_slices, deal, materialize, mixed, prefix_sums, range_hashes, text_key, words_of
 from .components import connected_components
 
 ROWS, BITS = 4, 256
@@ -31,7 +35,7 @@ ROWS, BITS = 4, 256
 MISSED = 1e-7
 #: Sketches must promise a similarity so far below the threshold at least; the exact check follows.
 MARGIN = 0.25
-BLOCK, BLOCK_SETS = 2048, 512
+BLOCK, BLOCK_SETS = 1024, 512
 
 _RNG = np.random.default_rng(85)
 _A = _RNG.integers(0, 1 << 31, 1024, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -108,6 +112,26 @@ def most_bits(percent: int) -> int:
     return int(BITS / 2 * (1 - math.exp(-2 * differing / BITS)))
 
 
+def sketch_miss(percent: int) -> float:
+    """The chance that the sketches of a pair at the threshold differ in more bits than most_bits.
+
+    Samples differ independently; each that does flips two of BITS bits, and the number of set bits walks up or down.
+    """
+    n, p, most = bands_for(percent) * ROWS, 1 - percent / 100, most_bits(percent)
+    bits = np.zeros(BITS + 1)
+    bits[0] = 1
+    up = 1 - np.arange(BITS + 1) / BITS
+    out = 0.0
+    for k in range(n + 1):
+        out += math.comb(n, k) * p**k * (1 - p) ** (n - k) * bits[most + 1 :].sum()
+        for _ in range(2):
+            new = np.zeros(BITS + 1)
+            new[1:] += (bits * up)[:-1]
+            new[:-1] += (bits * (1 - up))[1:]
+            bits = new
+    return out
+
+
 def stars(near: np.ndarray) -> np.ndarray:
     """For a symmetric boolean matrix the smallest index that each index is connected to."""
     labels = np.arange(len(near))
@@ -179,43 +203,18 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def parts_of_groups(batches: Iterator[pa.RecordBatch], key: str, limit: int) -> Iterator[tuple[pa.Table, bool]]:
-    """Groups of a key that batches are sorted by; those with more than `limit` rows come in parts, marked as large."""
-    held, rows, large, current = [], 0, False, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        column = batch.column(key).to_numpy(zero_copy_only=False)
-        cuts = np.concatenate([[0], np.flatnonzero(column[1:] != column[:-1]) + 1, [batch.num_rows]])
-        wanted = np.diff(cuts) > 1
-        wanted[[0, -1]] = True  # a row alone has no partner unless it is beside another batch
-        for i in np.flatnonzero(wanted).tolist():
-            start, stop = int(cuts[i]), int(cuts[i + 1])
-            if current is None or column[start] != current:
-                if rows > 1 or rows and large:
-                    yield pa.Table.from_batches(held), large
-                held, rows, large, current = [], 0, False, column[start]
-            held.append(batch.slice(start, stop - start))
-            rows += stop - start
-            if rows > limit:
-                yield pa.Table.from_batches(held), True
-                held, rows, large = [], 0, True
-    if rows > 1 or rows and large:
-        yield pa.Table.from_batches(held), large
-
-
 def tie(rows: DataFrame, key: str, block: int, payload: str, link: Callable[[pa.Table], np.ndarray]) -> DataFrame:
     """Edges (a, b) between nodes with equal keys, as link labels them; rows: (key, node, payload).
 
-    The rows are dealt by key once.  Keys with more than `block` rows are put aside and dealt again as pairs of blocks.
+    Keys with more than `block` rows are counted first and dealt as pairs of blocks, so no task holds more than two
+    blocks, and edges leave in batches.
     """
-    kind = rows.schema[key].dataType.simpleString()
-    names = ["a", "b", key, "node", payload]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
-    def edges(groups):
+    def edges(batches):
         a, b, held = [], [], 0
-        for group in groups:
+        for group in grouped(batches, [key, "pair"]):
+            if group.num_rows < 2:
+                continue
             nodes = group.column("node").to_numpy()
             labels = link(group)
             tied = np.flatnonzero(labels != np.arange(len(labels)))
@@ -223,46 +222,13 @@ def tie(rows: DataFrame, key: str, block: int, payload: str, link: Callable[[pa.
             b.append(nodes[tied])
             held += len(tied)
             if held >= 8192:
-                yield np.concatenate(a), np.concatenate(b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
                 a, b, held = [], [], 0
         if held:
-            yield np.concatenate(a), np.concatenate(b)
-
-    def first(batches):
-        aside: list[pa.Table] = []
-
-        def small():
-            for group, large in parts_of_groups(batches, key, block):
-                if large:
-                    aside.append(group)
-                else:
-                    yield group
-
-        def put_aside():
-            for group in aside:
-                n = group.num_rows
-                for x in group.combine_chunks().to_batches():
-                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), x.column(key), x.column("node"), x.column(payload)], names)
-            aside.clear()
-
-        for a, b in edges(small()):
-            n = len(a)
-            yield from put_aside()
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.nulls(n, t) for t in types[2:])], names)
-        yield from put_aside()
-
-    def second(batches):
-        for a, b in edges(g for g in grouped(batches, [key, "pair"]) if g.num_rows > 1):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names[:2])
-
-    once = materialize(rows.repartition(key).sortWithinPartitions(key, "node").mapInArrow(first, f"a long, b long, {key} {kind}, node long, {payload} binary"))
-    large = once.filter("node is not null").select(key, "node", payload)
-    sizes = large.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(mine, o) * F.col("blocks") + F.greatest(mine, o))
-    dealt = large.join(sizes, key).select(key, F.explode(pairs).alias("pair"), "node", payload)
-    again = dealt.repartition(key, "pair").sortWithinPartitions(key, "pair", "node").mapInArrow(second, "a long, b long")
-    return once.filter("node is null").select("a", "b").unionByName(again)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    dealt = deal(rows.select(key, "node", payload), [key], "node", block)
+    return dealt.repartition(key, "pair").sortWithinPartitions(key, "pair", "node").mapInArrow(edges, "a long, b long")
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -275,7 +241,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
     Words are runs of other bytes than ASCII white space, A-Z in lower case.  Documents are linked if 100 times the
     intersection of their shingle sets is at least `percent` times the union.  component_id is the smallest doc_id that
     links lead to; the document that has it is kept.  Null, empty and blank texts have no shingles, are linked with
-    nothing and are kept.  Equal texts are always linked.  Repeated rows of one doc_id all get a row.
+    nothing and are kept.  Equal texts are always linked; texts of any length are read whole.  Repeated rows of one
+    doc_id all get a row.  Rows without doc_id are linked like others; a component_id is null only where no row of the
+    component has a doc_id, and then all of its rows are kept.  doc_id may have any type that can be ordered.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     bands, most = bands_for(percent), most_bits(percent)
@@ -291,18 +259,21 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((n > 0) * bands)]).astype(np.int32)), pa.array(keys.ravel()))
                 raw = iter(sketches)
                 sketch = pa.array([next(raw).tobytes() if x else None for x in n > 0], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(k1), pa.array(k2), lists, sketch], ["doc_id", "n_shingles", "k1", "k2", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("t1"), part.column("t2"), pa.array(n), pa.array(k1), pa.array(k2), lists, sketch], ["doc_id", "t1", "t2", "n_shingles", "k1", "k2", "bands", "sketch"])
 
-    described = materialize(docs.select("doc_id", "text").mapInArrow(describe, f"doc_id {kind}, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary"))
-    classes = described.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first(F.struct("bands", "sketch")).alias("s"))
-    classes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "doc_id", "s.bands", "s.sketch"))
+    t1, t2 = text_key(F.col("text"))
+    keyed = docs.select("doc_id", "text", t1.alias("t1"), t2.alias("t2"))
+    described = materialize(keyed.mapInArrow(describe, f"doc_id {kind}, t1 long, t2 long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary"))
+    # A class's text is that of its smallest doc_id; rows without one only serve where there is no other.
+    source = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1", "t2")
+    classes = described.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.min(source).alias("at"), F.first(F.struct("bands", "sketch")).alias("s"))
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "doc_id", "at.t1", "at.t2", "s.bands", "s.sketch"))
 
     buckets = classes.select(F.explode("bands").alias("bucket"), "node", "sketch")
     promises = tie(buckets, "bucket", BLOCK, "sketch", lambda g: tie_sketches(_matrix(g.column("sketch"), BITS // 8), most))
     groups = connected_components(promises)
 
-    members = materialize(groups.join(classes, "node").select("node", "component", "k1", "k2", "doc_id"))
-    wanted = members.select(F.col("doc_id").alias("of"), "node", "component", F.col("k1").alias("m1"), F.col("k2").alias("m2"))
+    wanted = groups.join(classes, "node").select("node", "component", F.col("k1").alias("m1"), F.col("k2").alias("m2"), F.col("doc_id").alias("of"), F.col("t1").alias("of1"), F.col("t2").alias("of2"))
 
     def sets(batches):
         for batch in batches:
@@ -313,8 +284,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
                 raw = pa.array([h[offsets[i] : offsets[i + 1]].tobytes() for i in own], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("component").take(pa.array(own)), part.column("node").take(pa.array(own)), raw], ["component", "node", "hashes"])
 
-    # The same plan at every size: texts of many groups are too much to broadcast.
-    texts = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("of")).select("text", "node", "component", "m1", "m2")
+    # The same plan at every size: texts of many groups are too much to broadcast.  Texts meet their class by digest and id.
+    own = (F.col("t1") == F.col("of1")) & (F.col("t2") == F.col("of2")) & F.col("doc_id").eqNullSafe(F.col("of"))
+    texts = keyed.join(wanted.hint("merge"), own).select("text", "node", "component", "m1", "m2")
     full = materialize(texts.mapInArrow(sets, "component long, node long, hashes binary").dropDuplicates(["node"]))
     links = tie(full, "component", BLOCK_SETS, "hashes", lambda g: tie_sets([np.frombuffer(x, np.uint64) for x in g.column("hashes").to_pylist()], percent))
     linked = connected_components(links)

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_bytes, byte_slices, mixed, prefix_sums, range_hashes, sums_by_row, words_of
-from .linear import code_points, fit_calibration, fit_logistic, labelled_sample, ngram_slots, sigmoid, starts_inside
+from .linear import SparseRows, code_points, fit_calibration, fit_logistic, labelled_sample, ngram_slots, sigmoid, starts_inside
 
-CHAR_ORDERS, CHAR_BITS, WORD_BITS = (2, 3), 12, 11
+CHAR_ORDERS, CHAR_BITS, WORD_BITS, SLOT_BITS = (2, 3), 12, 11, 13
+PENALTY = 0.1
 #: About so many labelled rows are fitted on; one in CALIBRATE of them is kept for the calibration.
 SAMPLE, CALIBRATE = 3000, 3
 #: A text stays if the calibrated probability that it is good is as high as this.
@@ -99,47 +100,58 @@ class QualityModel:
         return sigmoid(self.slope * (z + self.bias) + self.offset)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, penalty: float = 1e-3) -> QualityModel:
-    """Fits on about `sample` labelled rows, whole texts; one third of them, by a hash, calibrates.
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, penalty: float = PENALTY) -> QualityModel:
+    """Fits on about `sample` labelled rows, one a doc_id, whole texts; one third of them, by a hash, calibrates.
 
-    Features are the shares of hashed character n-grams and of hashed words, each scaled to unit spread.  Executors
-    count; the driver gets `sample` rows of fixed length.  Without rows of both labels every text is kept.
+    Features are the shares of hashed character n-grams and of hashed words, each over its spread among the fitted
+    rows.  Executors count; the driver gets the slots that each of the `sample` texts has and their counts, at most
+    2**CHAR_BITS + 2**WORD_BITS a text however long it is, and fits on these pairs.  Rows without doc_id or label are
+    left out, null texts count as empty.  Without rows of both labels every text is kept.
     """
 
     def count(batches):
         for batch in batches:
             for part in byte_slices(batch):
                 base = base_counts(part.column("text"))
-                texts = part.column("text").to_pylist()
-                n = len(texts)
-                codes, offsets = code_points(texts)
-                chars = np.zeros((n, 1 << CHAR_BITS), np.float32)
+                codes, offsets = code_points(part.column("text").to_pylist())
+                keys = []
                 for k, slots in ngram_slots(codes, CHAR_ORDERS, CHAR_BITS):
                     inside, rows = starts_inside(np.arange(len(slots)), k, offsets)
-                    keys = (rows[inside] << CHAR_BITS) | slots[inside]
-                    chars += np.bincount(keys, minlength=n << CHAR_BITS).reshape(n, -1)
-                keys = (base["_rows"] << WORD_BITS) | (base["_words"] >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-                words = np.bincount(keys, minlength=n << WORD_BITS).reshape(n, -1).astype(np.float32)
-                both = np.hstack([chars / np.maximum(chars.sum(1, keepdims=True), 1), words / np.maximum(words.sum(1, keepdims=True), 1)])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([x.tobytes() for x in both], pa.binary())], ["doc_id", "y", "x"])
+                    keys.append((rows[inside] << SLOT_BITS) | slots[inside])
+                words = (base["_words"] >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+                keys.append((base["_rows"] << SLOT_BITS) | (words + (1 << CHAR_BITS)))
+                keys, counts = np.unique(np.concatenate(keys), return_counts=True)
+                ends = pa.array(np.searchsorted(keys >> SLOT_BITS, np.arange(part.num_rows + 1)).astype(np.int32))
+                slots = pa.ListArray.from_arrays(ends, pa.array((keys & ((1 << SLOT_BITS) - 1)).astype(np.int16)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), slots, pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int32)))], ["doc_id", "y", "slots", "counts"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = labelled_sample(docs, labels, label, sample).select("doc_id", "text", "y")
-    got = rows.mapInArrow(count, f"doc_id {kind}, y int, x binary").withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATE))).select("y", "x", "fold").toArrow()
-    y = got.column("y").to_numpy().astype(np.float32)
-    keep_all = QualityModel(np.zeros(1 << CHAR_BITS, np.float32), np.zeros(1 << WORD_BITS, np.float32), 20.0)
+    got = rows.mapInArrow(count, f"doc_id {kind}, y int, slots array<smallint>, counts array<int>").withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(CALIBRATE))).orderBy("doc_id").select("y", "slots", "counts", "fold").toArrow()
+    size = (1 << CHAR_BITS) + (1 << WORD_BITS)
+    y, fold = got.column("y").to_numpy().astype(np.float32), got.column("fold").to_numpy()
     if len(np.unique(y)) < 2:
-        return keep_all
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(len(y), -1)
-    fit = got.column("fold").to_numpy() != 0
-    if len(np.unique(y[fit])) < 2 or len(np.unique(y[~fit])) < 2:
-        fit = np.ones(len(y), bool)
-    scale = 1 / (x[fit].std(0) + 1e-4)
-    w, b = fit_logistic(x[fit] * scale, y[fit], penalty)
-    w = w * scale
-    z = x[~fit] @ w + b if not fit.all() else x @ w + b
-    slope, offset = fit_calibration(z.astype(float), y[~fit] if not fit.all() else y)
-    return QualityModel(w[: 1 << CHAR_BITS].astype(np.float32), w[1 << CHAR_BITS :].astype(np.float32), b, max(slope, 1e-3), offset)
+        return QualityModel(np.zeros(1 << CHAR_BITS, np.float32), np.zeros(1 << WORD_BITS, np.float32), 20.0)
+    lists = got.column("slots").combine_chunks()
+    counts = got.column("counts").combine_chunks().flatten().to_numpy().astype(np.float32)
+    del got
+    x = SparseRows.of(lists, counts)
+    x = SparseRows(x.starts, x.columns.astype(np.int32), counts)
+    of = np.repeat(np.arange(len(y)), np.diff(x.starts))
+    kind_of = 2 * of + (x.columns >= 1 << CHAR_BITS)
+    x.values[:] /= np.bincount(kind_of, weights=x.values, minlength=2 * len(y))[kind_of]
+    fit, rest = np.flatnonzero(fold != 0), np.flatnonzero(fold == 0)
+    if len(np.unique(y[fit])) < 2 or len(np.unique(y[rest])) < 2:
+        fit = rest = np.arange(len(y))
+    used = np.isin(of, fit)
+    mean = np.bincount(x.columns[used], weights=x.values[used], minlength=size) / len(fit)
+    square = np.bincount(x.columns[used], weights=np.square(x.values[used], dtype=np.float64), minlength=size) / len(fit)
+    scale = 1 / (np.sqrt(np.maximum(square - mean * mean, 0)) + 1e-4)
+    x.values[:] *= scale[x.columns]
+    w, b = fit_logistic(x, y, fit, size, penalty)
+    slope, offset = fit_calibration(x.times(w, rest) + b, y[rest])
+    w = (w * scale).astype(np.float32)
+    return QualityModel(w[: 1 << CHAR_BITS], w[1 << CHAR_BITS :], b, max(slope, 1e-3), offset)
 
 
 def rate_quality(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, keep_text: bool = False) -> DataFrame:

@@ -40,7 +40,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.unionByName(spark.createDataFrame(HOSTILE, "conv_id long, turn long, role string, text string"))
     back = read_back(format_conversations(rows))
     digest = lambda text: F.sha2(F.encode(text, "UTF-8"), 256)
-    loss = loss_text(F.col("formatted"), F.col("loss_spans"))
+    loss = loss_text(F.col("formatted"), F.col("loss_runs"))
     return back.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
@@ -116,7 +116,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", "copies", "rate")
+    return mix_sources(table(spark, sf_dir, "documents")).select("kept.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", "copies", "rate")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_toxicity": op1_toxicity, "op2_shards": op2_shards, "op3_token_counts": op3_token_counts, "op4_chat": op4_chat, "op5_quality": op5_quality, "op6_near_dedup": op6_near_dedup, "op7_suffix_dedup": op7_suffix_dedup, "op8_media": op8_media, "op9_bpe": op9_bpe, "op10_mixing": op10_mixing}

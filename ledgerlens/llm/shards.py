@@ -16,6 +16,8 @@ from .common import crc32_of, unit_hash
 
 #: Rows of one shard are numbered within so many parts, then the parts are laid end to end.
 PARTS = 256
+#: Shards of the first plan.
+PLANNED = 16
 
 
 @dataclass(frozen=True)
@@ -26,12 +28,16 @@ class Leaf:
     weight: float = 1.0
 
 
-def layout(shards: int, planned: int = 16) -> list[Leaf]:
+def layout(shards: int, planned: int = PLANNED) -> list[Leaf]:
     """Regions of two racks of two shards for the planned shards; each shard beyond them opens a region of its own.
 
-    As a new region's weight is only that of its one shard, a grown tree moves rows only into the new shard.
+    As a new region's weight is only that of its one shard, a grown tree moves rows only into the new shard.  A tree
+    of fewer shards than planned would not grow so: a shard that joins a planned rack adds weight above it, and rows
+    drawn to that rack may end beside it.  Such counts are an error; plan with as many shards as there are at first.
     """
-    return [Leaf(s // 4 if s < planned else planned // 4 + s - planned, s // 2 % 2 if s < planned else 0, s) for s in range(shards)]
+    if not 0 < planned <= shards:
+        raise ValueError(f"{shards} shards are fewer than the {planned} planned ones")
+    return [Leaf(s // 4 if s < planned else -(-planned // 4) + s - planned, s // 2 % 2 if s < planned else 0, s) for s in range(shards)]
 
 
 def _winner(key: Column, level: str, children: dict[int, float]) -> Column:
@@ -72,10 +78,10 @@ def shard_of(key: Column, leaves: list[Leaf]) -> Column:
     return choose(_winner(key, "", total(leaves, "region")), regions)
 
 
-def assign_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = PLANNED, planned: int = PLANNED) -> DataFrame:
     """Adds shard, grown_shard, size, text_crc32 and a gapless slot within the shard to (doc_id, text).
 
-    doc_id and the number of shards alone decide the shard; a null doc_id is a key like any other.  Slots count up
+    doc_id, the number of shards and that of the first plan, which never changes, alone decide the shard; a null doc_id is a key like any other.  Slots count up
     from 0 in each shard by (part, doc_id, text_crc32, size), so reruns agree; rows equal in all three are
     interchangeable.  A null text counts as empty; an empty table gives an empty result.  Other columns are dropped.
     """
@@ -84,8 +90,8 @@ def assign_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         crc32_of(F.col("text")).alias("text_crc32"),
-        shard_of(key, layout(shards)).cast("int").alias("shard"),
-        shard_of(key, layout(shards + 1)).cast("int").alias("grown_shard"),
+        shard_of(key, layout(shards, planned)).cast("int").alias("shard"),
+        shard_of(key, layout(shards + 1, planned)).cast("int").alias("grown_shard"),
         F.pmod(F.xxhash64(key, F.col("text"), F.lit("part")), F.lit(PARTS)).cast("int").alias("part"),
     )
     # At most (shards x PARTS) rows: small whatever the input.

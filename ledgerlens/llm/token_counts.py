@@ -8,13 +8,21 @@ end, and truncation and budget questions are looked up rather than encoded again
 
 from __future__ import annotations
 
+import bisect
+import functools
+import itertools
+import unicodedata
+from array import array
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import CACHED_LENGTH, END, Vocabulary, vocabulary
+from .bpe import CACHED_LENGTH, END, WORDS, Vocabulary, vocabulary
 from .common import byte_slices
 
-CACHED = 1_200_000
+CACHED = 700_000
+#: A word's count, and for each of its prefixes, as text that goes on, the count and the start of the last token.
+Row = tuple[int, bytes | array, bytes | array]
 
 
 class PrefixCounter:
@@ -26,8 +34,9 @@ class PrefixCounter:
         for token, (rank, left, right) in sorted(made.items(), key=lambda x: x[1][0]):
             if left in self.tokens and right in self.tokens and self._apart(left, right, rank):
                 self.tokens.add(token)
-        self.of_word: dict[str, int] = {}
+        self.of_word: dict[str, Row] = {}
         self.of_piece: dict[str, int] = {"": 0}
+        self.last_spans: tuple = (None, None)
 
     def _apart(self, left: str, right: str, before: float = float("inf")) -> bool:
         """Whether no merge across the border comes before the merges that made both sides.
@@ -77,7 +86,7 @@ class PrefixCounter:
                 counts.append(open_counts[self._step(word, i, last, END)[0]] + 1)
         return counts if closed else open_counts
 
-    def _word(self, word: str) -> int:
+    def _word(self, word: str) -> Row:
         got = self.of_word.get(word)
         if got is None:
             got = self._walk(word)
@@ -87,13 +96,13 @@ class PrefixCounter:
                 self.of_word[word] = got
         return got
 
-    def _walk(self, word: str) -> int:
-        """The last of prefix_counts, without the closed counts before it.
+    def _walk(self, word: str) -> Row:
+        """The word's row of the table: its own count, and for each of its prefixes the open count and the last token's start.
 
         Only one token fits, so the order of trying is free: mostly the token before has grown, or a new one starts.
         """
         tokens, known, longest, n = self.tokens, self.fitting.get, self.vocab.longest, len(word)
-        last, counts, j = [""], [0], 0
+        last, counts, starts, j = [""], [0], [0], 0
         for i in range(1, n + 1):
             end = END if i == n else ""
             token = word[j:i] + end
@@ -109,12 +118,53 @@ class PrefixCounter:
                         raise AssertionError(f"no token ends at {i}")
             last.append(token)
             counts.append(counts[j] + 1)
-        return counts[n]
+            starts.append(j)
+        return (counts[n], bytes(counts), bytes(starts)) if n < 256 else (counts[n], array("I", counts), array("I", starts))
+
+    def word_prefix(self, word: str, i: int) -> int:
+        """The count of word[:i] as a text that ends there: one step on from the stored counts of what goes on."""
+        count, counts, starts = self._word(word)
+        if i == 0 or i == len(word):
+            return count if i else 0
+        for j in range(max(0, i - self.vocab.longest), i):
+            token = word[j:i] + END
+            if token in self.tokens and (j == 0 or self._fits(word[starts[j] : j], token)):
+                return counts[j] + 1
+        raise AssertionError(f"no token ends at {i}")
 
     def _piece(self, piece: str) -> int:
         vocab = self.vocab
         parts = vocab.splitter.split(piece) if vocab.splitter and "<" in piece else [piece]
-        return sum(1 if i % 2 else sum(map(self._word, vocab.words(part))) for i, part in enumerate(parts))
+        return sum(1 if i % 2 else sum([self._word(w)[0] for w in vocab.words(part)]) for i, part in enumerate(parts))
+
+    def _spans(self, piece: str) -> tuple[list[int], list[str], list[int]] | None:
+        """Starts and texts of a piece's words and the counts before them; None where code points don't stay in place."""
+        if self.last_spans[0] != piece:
+            vocab, spans = self.vocab, None
+            if not (vocab.splitter and "<" in piece and vocab.splitter.search(piece)):
+                normal = vocab.normal(piece)
+                if piece.isascii() or unicodedata.is_normalized("NFC", piece) and len(normal) == len(piece):
+                    found = list(WORDS.finditer(normal))
+                    words = [m[0] for m in found]
+                    counts = list(itertools.accumulate([self._word(vocab.shown(w))[0] for w in words], initial=0))
+                    spans = [m.start() for m in found], words, counts
+            self.last_spans = (piece, spans)
+        return self.last_spans[1]
+
+    def piece_prefix(self, piece: str, i: int) -> int:
+        """The count of piece[:i]: its whole words' counts, and what the word that the cut falls into has stored."""
+        spans = self._spans(piece)
+        if spans is None:
+            return self._piece(piece[:i])
+        starts, words, counts = spans
+        k = bisect.bisect_left(starts, i) - 1
+        if k < 0:
+            return 0
+        word, inside = words[k], min(i - starts[k], len(words[k]))
+        if word[0] == "'" and 1 < inside < len(word):  # a cut contraction is two words
+            return counts[k] + self._piece(word[:inside])
+        shown = self.vocab.shown
+        return counts[k] + self.word_prefix(shown(word), len(shown(word[:inside])))
 
     def piece_counts(self, pieces: list[str]) -> list[int]:
         """Counts of pieces without spaces."""
@@ -130,24 +180,69 @@ class PrefixCounter:
             return [known[p] if p in known else once[p] for p in pieces]
         return list(map(known.__getitem__, pieces))
 
-    def count(self, text: str) -> int:
-        return sum(self.piece_counts(text.replace("\n", " ").split(" ")))
+    def table(self, text: str) -> PrefixTable:
+        return PrefixTable(self, text)
+
+
+class PrefixTable:
+    """The exact token count of every prefix of one text.
+
+    `ends` and `counts` hold the prefixes that end with a piece; a prefix that ends inside a piece adds what the piece's
+    words have stored for theirs.  Nothing is encoded again.
+    """
+
+    def __init__(self, counter: PrefixCounter, text: str) -> None:
+        self.counter, self.pieces = counter, text.replace("\n", " ").split(" ")
+        self.counts = list(itertools.accumulate(counter.piece_counts(self.pieces)))
+
+    @functools.cached_property
+    def ends(self) -> list[int]:
+        """Code points up to each piece's end."""
+        return list(itertools.accumulate(map(len, self.pieces), lambda at, n: at + 1 + n))
+
+    @property
+    def total(self) -> int:
+        return self.counts[-1]
+
+    def count(self, cut: int) -> int:
+        """Tokens of the first `cut` code points."""
+        k = bisect.bisect_left(self.ends, cut)
+        if k == len(self.ends):
+            return self.total
+        start = self.ends[k] - len(self.pieces[k])
+        before = self.counts[k - 1] if k else 0
+        return before if cut <= start else before + self.counter.piece_prefix(self.pieces[k], cut - start)
+
+    def every(self) -> list[int]:
+        """The counts of all prefixes, of 0, 1, ... code points."""
+        return [self.count(i) for i in range(self.ends[-1] + 1)]
 
-    def longest_prefix(self, text: str, budget: int) -> int:
-        """Code points of the longest prefix made of whole words that takes at most `budget` tokens."""
-        at = left = 0
-        pieces = text.replace("\n", " ").split(" ")
-        for piece, n in zip(pieces, self.piece_counts(pieces)):
-            if left + n > budget:
-                return max(at - 1, 0)
-            left, at = left + n, at + len(piece) + 1
-        return len(text)
+    def longest_prefix(self, budget: int) -> int:
+        """Code points of the longest prefix that takes at most `budget` tokens; it may end inside a word."""
+        if budget < 0:
+            return 0
+        k = bisect.bisect_right(self.counts, budget)  # the first piece that takes too many
+        if k == len(self.counts):
+            return self.ends[-1]
+        before, start = self.counts[k - 1] if k else 0, self.ends[k] - len(self.pieces[k])
+        spans = self.counter._spans(self.pieces[k])
+        far = len(self.pieces[k]) - 1
+        if spans is not None:  # no cut behind the word that passes the budget can fit
+            word = bisect.bisect_right(spans[2], budget - before)
+            far = min(far, spans[0][word] if word < len(spans[0]) else far)
+        for i in range(far, 0, -1):
+            if before + self.counter.piece_prefix(self.pieces[k], i) <= budget:
+                return start + i
+        return start
 
 
-def count_tokens(docs: DataFrame, limit: int = 2048, path: str | None = None, budget: int | None = None) -> DataFrame:
+def count_tokens(docs: DataFrame, limit: int = 2048, path: str | None = None, budget: int | None = None, with_prefixes: bool = False) -> DataFrame:
     """(doc_id, text) to (doc_id, n_bytes, n_tokens, over_limit), whole texts; null texts count as empty.
 
-    With a budget, prefix_chars is the length of the longest prefix of whole words that fits it.
+    All counts are read from a text's table of prefixes.  With a budget, prefix_chars is the length in code points of
+    the longest prefix that fits it, which may end inside a word; with_prefixes adds prefix_counts, the count of every
+    prefix.  Null and repeated doc_ids pass through; a text of any length keeps one number a piece in memory; an empty
+    table gives an empty result.
     """
     state: list[PrefixCounter] = []
 
@@ -158,12 +253,16 @@ def count_tokens(docs: DataFrame, limit: int = 2048, path: str | None = None, bu
         for batch in batches:
             for part in byte_slices(batch):
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                n = [counter.count(t) for t in texts]
+                tables = [counter.table(t) for t in texts]
+                n = [t.total for t in tables]
                 arrays = [part.column("doc_id"), pa.array([len(t.encode("utf-8")) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())]
                 names = ["doc_id", "n_bytes", "n_tokens", "over_limit"]
                 if budget is not None:
-                    arrays, names = [*arrays, pa.array([counter.longest_prefix(t, budget) for t in texts], pa.int64())], [*names, "prefix_chars"]
+                    arrays, names = [*arrays, pa.array([t.longest_prefix(budget) for t in tables], pa.int64())], [*names, "prefix_chars"]
+                if with_prefixes:
+                    arrays, names = [*arrays, pa.array([t.every() for t in tables], pa.list_(pa.int64()))], [*names, "prefix_counts"]
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean" + ", prefix_chars long" * (budget is not None))
+    extra = ", prefix_chars long" * (budget is not None) + ", prefix_counts array<long>" * with_prefixes
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean" + extra)

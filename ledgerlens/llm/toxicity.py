@@ -7,16 +7,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import byte_slices, materialize
-from .linear import code_points, fit_logistic, labelled_sample, ngram_slots, sigmoid, starts_inside
+from .common import byte_slices
+from .linear import SparseRows, code_points, fit_logistic, labelled_sample, ngram_slots, sigmoid
 
 ORDERS = (4, 5, 6)
-BITS = 22
-#: About so many labelled rows are fitted on, and so many n-grams at most are used.
-SAMPLE, FEATURES = 8000, 4096
-LEAST_ROWS = 3
+BITS = 20
+#: About so many labelled rows are fitted on.
+SAMPLE = 4000
+PENALTY = 1e-3
 THRESHOLD = 0.3
 #: Bytes of text that an executor takes apart at once.
 SLICE = 1 << 20
@@ -24,106 +23,80 @@ SLICE = 1 << 20
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    slots: np.ndarray
+    """A weight for each slot of an n-gram's hash."""
+
     weights: np.ndarray
     bias: float
     orders: tuple[int, ...] = ORDERS
     bits: int = BITS
 
-    def table(self) -> np.ndarray:
-        out = np.zeros(1 << self.bits, np.float32)
-        out[self.slots] = self.weights
-        return out
-
 
-def distinct_slots(texts: list[str], wanted: np.ndarray, orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, slot) of the distinct n-grams of each text whose slot is wanted."""
+def distinct_slots(texts: list[str], orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, slot) of the distinct n-grams of each text, by row."""
     codes, offsets = code_points([t.lower() for t in texts])
     found = [np.zeros(0, np.int64)]
+    rows = np.repeat(np.arange(len(texts)) << bits, np.diff(offsets))
+    ends = np.repeat(offsets[1:], np.diff(offsets))
     for n, slots in ngram_slots(codes, orders, bits):
-        at = np.flatnonzero(wanted[slots])
-        inside, rows = starts_inside(at, n, offsets)
-        found.append((rows[inside] << bits) | slots[at[inside]])
-    keys = np.unique(np.concatenate(found))
+        inside = np.arange(n, len(codes) + 1) <= ends[: len(slots)]
+        found.append((rows[: len(slots)] | slots)[inside])
+    keys = np.sort(np.concatenate(found))
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
     return keys >> bits, keys & ((1 << bits) - 1)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", usable=None, sample: int = SAMPLE, features: int = FEATURES, orders: tuple[int, ...] = ORDERS, bits: int = BITS, penalty: float = 1e-4) -> ToxicityModel:
-    """Fits on about `sample` labelled rows, whole texts.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", usable=None, sample: int = SAMPLE, orders: tuple[int, ...] = ORDERS, bits: int = BITS, penalty: float = PENALTY) -> ToxicityModel:
+    """Fits on about `sample` labelled rows, one a doc_id, whole texts; every n-gram of theirs counts.
 
     An n-gram counts once a text.  Its log-count ratio is r = log((p + 1) / (P + 2)) - log((q + 1) / (Q + 2)), p of P
-    toxic and q of Q other texts having it.  The `features` n-grams with the largest |r| * sqrt(p + q) among those in
-    three texts or more are used, scaled by r.  Executors count and extract; the driver gets `features` rows, then the
-    used features of the sample.  Without rows of both labels the model is the constant base rate.
+    toxic and q of Q other texts having it; its feature is r.  Executors take the texts apart; the driver gets the
+    distinct slots of each of the `sample` texts, 2**bits at most, and fits on them.  Rows without doc_id or label are
+    left out, null texts count as empty.  Without rows of both labels the model is the constant base rate.
     """
-    rows = materialize(labelled_sample(docs, labels, label, sample, usable).select("text", "y").repartition(6))
-    totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    pos, neg = totals.get(1, 0), totals.get(0, 0)
-    constant = ToxicityModel(np.zeros(0, np.int64), np.zeros(0, np.float32), float(np.log((pos + 0.5) / (neg + 10))), orders, bits)
-    if not pos or not neg:
-        return constant
-
-    def count(batches):
-        wanted = np.ones(1 << bits, bool)
-        sums = np.zeros((2, 1 << bits), np.int32)
-        for batch in batches:
-            for part in byte_slices(batch, SLICE):
-                y = part.column("y").to_numpy(zero_copy_only=False)
-                at, slots = distinct_slots(part.column("text").to_pylist(), wanted, orders, bits)
-                for k in (0, 1):
-                    sums[k] += np.bincount(slots[y[at] == k], minlength=1 << bits).astype(np.int32)
-        used = np.flatnonzero(sums[0] + sums[1])
-        for i in range(0, len(used), 50_000):
-            u = used[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(sums[1][u]), pa.array(sums[0][u])], ["slot", "p", "q"])
-
-    counted = rows.mapInArrow(count, "slot long, p int, q int").groupBy("slot").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).filter(F.col("p") + F.col("q") >= LEAST_ROWS)
-    ratio = F.log((F.col("p") + 1) / (pos + 2)) - F.log((F.col("q") + 1) / (neg + 2))
-    chosen = counted.select("slot", ratio.alias("r"), (F.abs(ratio) * F.sqrt(F.col("p") + F.col("q"))).alias("use")).orderBy(F.desc("use"), "slot").limit(features).toPandas()
-    if chosen.empty:
-        return constant
-    order = np.argsort(chosen["slot"].to_numpy())
-    slots, r = chosen["slot"].to_numpy()[order], chosen["r"].to_numpy()[order].astype(np.float32)
+    rows = labelled_sample(docs, labels, label, sample, usable).select("doc_id", "text", "y")
 
     def extract(batches):
-        wanted = np.zeros(1 << bits, bool)
-        wanted[slots] = True
         for batch in batches:
             for part in byte_slices(batch, SLICE):
-                at, found = distinct_slots(part.column("text").to_pylist(), wanted, orders, bits)
+                at, found = distinct_slots(part.column("text").to_pylist(), orders, bits)
                 ends = np.searchsorted(at, np.arange(part.num_rows + 1))
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.searchsorted(slots, found).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column("y"), lists], ["y", "f"])
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), lists], ["doc_id", "y", "f"])
 
-    got = rows.mapInArrow(extract, "y int, f array<int>").toArrow()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    got = rows.mapInArrow(extract, f"doc_id {kind}, y int, f array<int>").orderBy("doc_id").select("y", "f").toArrow()
     y = got.column("y").to_numpy().astype(np.float32)
+    pos, neg = int(y.sum()), int(len(y) - y.sum())
+    if not pos or not neg:
+        return ToxicityModel(np.zeros(1 << bits, np.float32), float(np.log((pos + 0.5) / (neg + 10))), orders, bits)
     lists = got.column("f").combine_chunks()
-    sizes = np.diff(lists.offsets.to_numpy())
-    x = np.zeros((len(y), len(slots)), np.float32)
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
-    x[np.repeat(np.arange(len(y)), sizes), flat] = r[flat]
-    w, b = fit_logistic(x, y, penalty)
-    return ToxicityModel(slots, (w * r).astype(np.float32), b, orders, bits)
+    del got
+    x = SparseRows.of(lists, np.zeros(0, np.float32))
+    of_toxic = np.repeat(y > 0, np.diff(x.starts))
+    p, q = (np.bincount(x.columns[side], minlength=1 << bits) for side in (of_toxic, ~of_toxic))
+    r = (np.log((p + 1) / (pos + 2)) - np.log((q + 1) / (neg + 2))).astype(np.float32)
+    del of_toxic, p, q
+    x = SparseRows(x.starts, x.columns, r[x.columns])
+    w, b = fit_logistic(x, y, np.arange(len(y)), 1 << bits, penalty)
+    return ToxicityModel((w * r).astype(np.float32), b, orders, bits)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
-    """Adds score (0 to 1) and predicted to (doc_id, text); text alone decides, null texts count as empty.
+    """(doc_id, score, predicted), a row a row of (doc_id, text); text alone decides.
 
-    The model is a few thousand numbers (`FEATURES` at most) and travels with the tasks.
+    Null texts count as empty, and an empty text gets the score of the bias; a text of any length is taken apart as a
+    whole.  Null and repeated doc_ids pass through; an empty table gives an empty result.  The model is 2**bits numbers,
+    whatever it was fitted on, and is broadcast.
     """
-    held: list[np.ndarray] = []
+    shared = docs.sparkSession.sparkContext.broadcast(model.weights)
+    bias, orders, bits = model.bias, model.orders, model.bits
 
     def score(batches):
-        if not held:
-            held.append(model.table())
-        weights = held[0]
-        wanted = weights != 0
+        weights = shared.value
         for batch in batches:
             for part in byte_slices(batch, SLICE):
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                at, slots = distinct_slots(texts, wanted, model.orders, model.bits)
-                z = np.bincount(at, weights=weights[slots], minlength=len(texts)) + model.bias
-                s = sigmoid(z)
+                at, slots = distinct_slots([t or "" for t in part.column("text").to_pylist()], orders, bits)
+                s = sigmoid(np.bincount(at, weights=weights[slots], minlength=part.num_rows) + bias)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
