@@ -23,14 +23,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose five-word shingles link them at 0.8 or more, the one with the smallest doc_id stays."""
-    docs = docs.select(COLUMNS)
-    kept = near_duplicates(docs, words=5, percent=80).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One row stays of each group that five-word shingles link at 0.8 or more: that with the smallest doc_id.
+
+    Rows are told apart by their place, so of repeated rows one stays, and rows without doc_id stay only where their
+    group has no other.  Rows without words are linked with nothing and stay.
+    """
+    rows = materialize(docs.select(COLUMNS).withColumn("_row", F.monotonically_increasing_id()))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
+    kept = near_duplicates(rows.select(place.alias("doc_id"), "text"), words=5, percent=80).filter("kept").select("doc_id._row")
+    return rows.join(kept, "_row", "left_semi").select(COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts every byte that a string of 200 bytes covers which also starts elsewhere; n_chars follows the text."""
+    """Cuts every byte that a string of 200 bytes covers which also starts elsewhere; n_chars follows the text.
+
+    Every row stays, with an empty text where nothing is left; a null text becomes an empty one.
+    """
     docs = docs.select(COLUMNS)
     left = remove_repeats(docs, with_text=True).select("k1", "k2", "kept_text")
     rows = docs.select("doc_id", *text_key(F.col("text")), "lang", "source").join(left, ["k1", "k2"])
@@ -38,11 +46,9 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mixture takes it, which may be never."""
-    docs = docs.select(COLUMNS)
-    copies = mix_sources(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    rows = docs.join(copies, "doc_id")
-    return rows.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select(COLUMNS)
+    """Repeats each row as often as the mixture takes it, which may be never; rows are rows, whatever their doc_id."""
+    taken = mix_sources(docs.select(COLUMNS), keep=COLUMNS).filter("copies > 0")
+    return taken.select("kept", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select("kept.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

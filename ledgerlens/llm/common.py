@@ -47,8 +47,8 @@ def _large_keys(rows: DataFrame, keys: list[str], block: int) -> tuple[DataFrame
     return sizes, sizes.count()
 
 
-def _with_parts(rows: DataFrame, large: DataFrame, n: int, keys: list[str], member: str) -> DataFrame:
-    """Adds parts, 1 for keys that aren't large.
+def with_parts(rows: DataFrame, large: DataFrame, n: int, keys: list[str], member: str, name: str = "parts") -> DataFrame:
+    """Adds `name`, the number of parts of a row's key, 1 for keys that aren't large.
 
     A table of large keys longer than BROADCAST_KEYS is joined on the key and a salt that `member` decides, so a hot key
     never meets in one task.
@@ -58,7 +58,7 @@ def _with_parts(rows: DataFrame, large: DataFrame, n: int, keys: list[str], memb
     else:
         salted = rows.withColumn("_salt", F.pmod(F.xxhash64(member, F.lit("salt")), F.lit(SALTS)))
         marked = salted.join(large.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*keys, "_salt"], "left").drop("_salt")
-    return marked.withColumn("parts", F.coalesce("_parts", F.lit(1))).drop("_parts")
+    return marked.withColumn(name, F.coalesce("_parts", F.lit(1))).drop("_parts")
 
 
 def deal(rows: DataFrame, keys: list[str], member: str, block: int) -> DataFrame:
@@ -69,14 +69,14 @@ def deal(rows: DataFrame, keys: list[str], member: str, block: int) -> DataFrame
     """
     mine = F.pmod(F.xxhash64(member), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.least(mine, o) * F.col("parts") + F.greatest(mine, o))
-    return _with_parts(rows, *_large_keys(rows, keys, block), keys, member).withColumn("pair", F.explode(pairs)).drop("parts")
+    return with_parts(rows, *_large_keys(rows, keys, block), keys, member).withColumn("pair", F.explode(pairs)).drop("parts")
 
 
 def join_split(rows: DataFrame, unique: DataFrame, keys: list[str], member: str, block: int) -> DataFrame:
     """rows joined with a table that has a row a key; rows of keys with more than `block` rows are split, theirs repeated."""
     large, n = _large_keys(rows, keys, block)
-    left = _with_parts(rows, large, n, keys, member).withColumn("_part", F.pmod(F.xxhash64(member), F.col("parts")).cast("int")).drop("parts")
-    right = _with_parts(unique, large, n, keys, keys[0]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    left = with_parts(rows, large, n, keys, member).withColumn("_part", F.pmod(F.xxhash64(member), F.col("parts")).cast("int")).drop("parts")
+    right = with_parts(unique, large, n, keys, keys[0]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     return left.join(right, [*keys, "_part"]).drop("_part")
 
 

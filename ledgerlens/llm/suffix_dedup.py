@@ -5,32 +5,35 @@ A byte goes if a string of `length` bytes that covers it also starts elsewhere.
 1. Each string of `length` bytes has one anchor, the leftmost smallest hash among its ANCHOR-byte parts.  Equal strings
    have the same anchor at the same offset, so only anchors with equal parts need comparing.  An anchor stands for
    the run of strings that chose it; about one in eighty positions is one.
-2. Anchors are sorted by the hash of their part and of all bytes that their strings span.  Two with equal spans settle
-   all of their strings.  One of each span goes on if its part has several different spans.
-3. Those anchors' suffixes are sorted deep-shallow: by eight bytes at a time down to a shallow depth, splitting only
-   ties, and by a blind trie where a longer prefix is shared.  Neighbours' common prefixes bound what follows the
-   anchor, hashes of what precedes it the rest; a string is repeated if another suffix shares both.
-
-Parts with more than LARGE different spans are settled by sorting the hashes of their single strings instead.  All
-sorting is streamed in constant memory or bounded by LARGE, whatever repeats how often.
+2. Anchors with equal parts and equal spans, the bytes of all their strings, are one suffix that stands several times:
+   all of their strings are repeated, and one of them is sorted with the others.
+3. Where a part has different spans, their suffixes are sorted deep-shallow: multikey quicksort down to a shallow depth
+   splits them by eight bytes at a time, and blind tries order what still shares a longer prefix.  Neighbours' common
+   prefixes bound what follows the anchor, hashes of what precedes it the rest; a string is repeated if another suffix
+   shares both.
+
+A string has half of its other bytes at least before or behind its anchor, so step 3 gathers suffixes by part and half a
+string behind, or by part and half a string before it.  Whatever is gathered more than BLOCK times is dealt in pairs of
+blocks, and spans and parts that stand more than HOT times are counted before they are shuffled and split.  No task
+holds more than two blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import POWERS, batch_bytes, byte_slices, mixed, prefix_sums, range_hashes, text_key
+from .common import POWERS, batch_bytes, bucket_count, byte_slices, deal, materialize, mixed, prefix_sums, range_hashes, text_key, with_parts, write_buckets
 from .near_dedup import grouped
 
 ANCHOR = 40
+#: Bytes that multikey quicksort looks at behind those that are known to be equal.
 SHALLOW = 24
-LARGE = 20_000
+BLOCK, HOT = 4096, 2000
 _CODES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -128,35 +131,45 @@ class BlindTrie:
         return out
 
 
-def deep_shallow_order(groups: np.ndarray, suffixes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The order of suffixes (zero-padded rows) within ascending groups."""
-    order = np.arange(len(groups))
-    labels = groups.copy()
-    words = np.ascontiguousarray(suffixes).view(">u8").astype(np.uint64)
-    for w in range(ANCHOR // 8, min((ANCHOR + SHALLOW) // 8, words.shape[1])):
-        new = np.ones(len(order), bool)
-        new[1:] = labels[order[1:]] != labels[order[:-1]]
-        tied = ~new
-        tied[:-1] |= ~new[1:]
-        at = np.flatnonzero(tied)
+def multikey_quicksort(groups: np.ndarray, words: np.ndarray, depth: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of words within ascending groups, and where each run of rows equal up to word `last` starts in it.
+
+    All segments are split at once, round by round: those below their pivot's word, equal to it, and above; equal ones
+    go on with the next word.  depth and last hold the first and the end word of each row, equal within a group.
+    """
+    order, start = np.arange(len(groups)), np.concatenate([[0], np.flatnonzero(groups[1:] != groups[:-1]) + 1])[np.cumsum(np.concatenate([[0], groups[1:] != groups[:-1]]))]
+    depth = depth.copy()
+    while True:
+        size = np.bincount(start, minlength=len(start))[start]
+        at = np.flatnonzero((size > 1) & (depth < last))
         if not len(at):
-            return order
-        some = order[at]
-        order[at] = some[np.lexsort((words[some, w], labels[some]))]
-        key = words[order, w]
-        change = np.ones(len(order), bool)
-        change[1:] = (labels[order[1:]] != labels[order[:-1]]) | (tied[1:] & tied[:-1] & (key[1:] != key[:-1]))
-        labels[order] = np.cumsum(change)
-    change = np.flatnonzero(np.concatenate([[True], labels[order[1:]] != labels[order[:-1]], [True]]))
-    for lo, hi in zip(change[:-1][np.diff(change) > 1], change[1:][np.diff(change) > 1]):
-        trie, some = BlindTrie(), order[lo:hi].copy()
+            return order, start
+        own = words[order[at], depth[at]]
+        pivot = words[order[start[at] + size[at] // 2], depth[at]]
+        side = (own > pivot).astype(np.int64) - (own < pivot) + 1
+        key = start[at] * 3 + side
+        by = np.argsort(key, kind="stable")
+        order[at], key = order[at[by]], key[by]
+        change = np.concatenate([[True], key[1:] != key[:-1]])
+        start[at] = at[np.flatnonzero(change)][np.cumsum(change) - 1]
+        depth[at] = depth[at] + (key % 3 == 1)
+
+
+def deep_shallow_order(groups: np.ndarray, suffixes: np.ndarray, lengths: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The order of suffixes (zero-padded rows) within ascending groups, whose rows share their first `known` bytes."""
+    words = np.ascontiguousarray(suffixes).view(">u8").astype(np.uint64)
+    first = np.minimum(known // 8, words.shape[1])
+    order, start = multikey_quicksort(groups, words, first, np.minimum(first + SHALLOW // 8, words.shape[1]))
+    lows, sizes = np.unique(start, return_counts=True)
+    for low, n in zip(lows[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
+        trie, some = BlindTrie(), order[low : low + n].copy()
         for i in some:
             trie.add(suffixes[i, : lengths[i]].tobytes())
-        order[lo:hi] = some[trie.ordered()]
+        order[low : low + n] = some[trie.ordered()]
     return order
 
 
-def repeated_offsets(groups: np.ndarray, spans: list[bytes], most: np.ndarray, least: np.ndarray, length: int) -> np.ndarray:
+def repeated_offsets(groups: np.ndarray, spans: list[bytes], most: np.ndarray, least: np.ndarray, known: np.ndarray, length: int) -> np.ndarray:
     """Which strings of each anchor (rows), by offset (columns), start elsewhere in the anchor's group as well."""
     n, width = len(groups), length - ANCHOR + 1
     sizes = np.fromiter(map(len, spans), np.int64, n)
@@ -167,7 +180,7 @@ def repeated_offsets(groups: np.ndarray, spans: list[bytes], most: np.ndarray, l
     where = starts[:, None] + most[:, None] + column[None, :]
     inside = column[None, :] < follow[:, None]
     suffixes = np.where(inside, flat[np.minimum(where, len(flat) - 1)], 0).astype(np.uint8)
-    order = deep_shallow_order(groups, suffixes, follow)
+    order = deep_shallow_order(groups, suffixes, follow, known)
     a, b = suffixes[order[:-1]], suffixes[order[1:]]
     differ = a != b
     shared = np.where(differ.any(1), differ.argmax(1), column[-1] + 1)
@@ -213,8 +226,22 @@ def find_repeats(texts: DataFrame, length: int) -> DataFrame:
 
     found = texts.select("k1", "k2", "text").mapInArrow(scan, "part long, span long, k1 long, k2 long, spot long")
 
+    # Counted first: spans that stand very often, each with one place of it, and parts that have very many other rows.
+    counts = found.groupBy("part", "span").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "spot")).alias("at"))
+    often = counts.filter(F.col("n") > HOT).select("part", "span", "n", "at")
+    wide = counts.filter(F.col("n") <= HOT).groupBy("part").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT)
+    large = materialize(often.unionByName(wide, allowMissingColumns=True).withColumn("_parts", F.ceil(F.col("n") / HOT).cast("int")))
+    spans, parts = large.filter("span is not null"), large.filter("span is null").select("part", "_parts")
+    n_spans, n_parts = spans.count(), parts.count()
+    split = lambda rows: with_parts(rows, parts, n_parts, ["part"], "k1", "wide")
+    marked = split(with_parts(found, spans.select("part", "span", "_parts"), n_spans, ["part", "span"], "k1"))
+    leads = split(spans.select("part", "span", "at.*", F.lit(1).alias("parts")))
+    # All rows of a frequent span are settled wherever they go; one place of it goes where its part's other spans go.
+    sub = F.when(F.col("parts") > 1, -1 - F.pmod(F.xxhash64("k1", "spot"), F.col("parts"))).otherwise(F.pmod("span", F.col("wide"))).cast("int")
+    dealt = marked.unionByName(leads).select("part", sub.alias("sub"), "span", "k1", "k2", "spot", (F.col("wide") > 1).alias("many"))
+
     def settle(batches):
-        """Rows in the order of (part, span): `open` is false for strings that are settled, true for spans to compare."""
+        """Rows in the order of (part, sub, span): `open` is false for strings that are settled, true for spans to compare."""
         last, pending, seen = None, None, 0  # the last row, and the first span of its part while no second one came
         names = ["k1", "k2", "spot", "part"]
 
@@ -228,37 +255,41 @@ def find_repeats(texts: DataFrame, length: int) -> DataFrame:
             if held is not None:
                 yield held, None
 
+        def key(batch, i):
+            return tuple(batch.column(c)[i].as_py() for c in ("part", "sub"))
+
         for batch, after in sequence():
-            part, span = batch.column("part").to_numpy(), batch.column("span").to_numpy()
+            part, sub, span = (batch.column(c).to_numpy() for c in ("part", "sub", "span"))
+            many = batch.column("many").to_numpy(zero_copy_only=False)
             n = len(part)
             same_part, same_span = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
-            same_part[1:n] = part[1:] == part[:-1]
+            same_part[1:n] = (part[1:] == part[:-1]) & (sub[1:] == sub[:-1])
             same_span[1:n] = same_part[1:n] & (span[1:] == span[:-1])
             if last is not None:
-                same_part[0] = last[0] == part[0]
+                same_part[0] = last[0] == (part[0], sub[0])
                 same_span[0] = same_part[0] and last[1] == span[0]
             if after is not None:
-                same_part[n] = after.column("part")[0].as_py() == part[-1]
+                same_part[n] = key(after, 0) == (part[-1], sub[-1])
                 same_span[n] = same_part[n] and after.column("span")[0].as_py() == span[-1]
-            settled = np.flatnonzero(same_span[:n] | same_span[1:])
+            settled = np.flatnonzero(same_span[:n] | same_span[1:] | (sub < 0))
             group = np.cumsum(~same_part[:n])
-            leads = np.flatnonzero(~same_span[:n])
+            group -= group[0]
+            leads = np.flatnonzero(~same_span[:n] & (sub >= 0))
             of = group[leads]
+            count = np.bincount(of, minlength=int(group[-1]) + 1)
             base = seen if same_part[0] else 0
-            count = np.bincount(of, minlength=int(group[-1]) + 1) if len(of) else np.zeros(int(group[-1]) + 1, np.int64)
-            if same_part[0]:
-                count[0] += base
-            compare = leads[count[of] > 1]
-            held_over = pending if same_part[0] and base == 1 and count[0] > 1 else None
-            final = group == group[-1]
-            in_last = leads[final[leads]]
-            if group[-1] == 0 and same_part[0]:  # all one part that began before
-                seen = base + len(in_last)
-                pending = pending if seen == 1 else None
-            else:
-                seen = int(count[-1]) if group[-1] else len(in_last)
-                pending = batch.slice(int(in_last[0]), 1) if seen == 1 else None
-            last = (part[-1], span[-1])
+            count[0] += base
+            compare = leads[(count[of] > 1) | many[leads]]
+            held_over = pending if base == 1 and count[0] > 1 else None
+            seen = int(count[-1])
+            if group[-1] or not same_part[0]:
+                in_last = leads[of == group[-1]]
+                pending = batch.slice(int(in_last[0]), 1) if seen == 1 and not many[in_last[0]] else None
+            elif seen > 1:
+                pending = None
+            elif base == 0 and seen == 1:
+                pending = None if many[leads[0]] else batch.slice(int(leads[0]), 1)
+            last = ((part[-1], sub[-1]), span[-1])
             for rows, open_ in ((settled, False), (compare, True)):
                 if len(rows):
                     some = batch.take(pa.array(rows))
@@ -266,25 +297,23 @@ def find_repeats(texts: DataFrame, length: int) -> DataFrame:
             if held_over is not None:
                 yield pa.RecordBatch.from_arrays([*(held_over.column(x) for x in names), pa.array([True])], [*names, "open"])
 
-    spots = found.repartition("part").sortWithinPartitions("part", "span").mapInArrow(settle, "k1 long, k2 long, spot long, part long, open boolean")
+    spots = dealt.repartition("part", "sub").sortWithinPartitions("part", "sub", "span").mapInArrow(settle, "k1 long, k2 long, spot long, part long, open boolean")
     # One row a text from here on; its anchors are bounded by its own length.
-    large = spots.filter("open").groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE).select("part", F.lit(True).alias("large"))
-    spots = spots.join(large, "part", "left").select("k1", "k2", F.struct("spot", F.when(F.col("open"), F.col("part")).alias("part"), F.coalesce("large", F.lit(False)).alias("large")).alias("spot"))
-    spots = spots.groupBy("k1", "k2").agg(F.collect_list("spot").alias("spots"))
+    spots = spots.select("k1", "k2", F.struct("spot", F.when(F.col("open"), F.col("part")).alias("part")).alias("spot")).groupBy("k1", "k2").agg(F.collect_list("spot").alias("spots"))
+    half = (length - ANCHOR) // 2
 
     def cut(batches):
-        """Spans to compare with their bytes, single strings of large parts, and settled ranges (without part)."""
+        """Settled ranges (kind 0), and spans to compare with their bytes: those for strings that share half a string behind
+        the anchor (kind 1), or before it (kind 2)."""
         for batch in batches:
             for piece in byte_slices(batch, 1 << 21):
                 data, offsets = batch_bytes(piece.column("text"))
-                raw = data.tobytes()
+                raw, sums = data.tobytes(), prefix_sums(data)
                 lists = piece.column("spots")
                 flat, at = lists.flatten(), lists.offsets.to_numpy()
                 row = np.repeat(np.arange(piece.num_rows), np.diff(at))
                 spot = flat.field("spot").to_numpy()
-                part = flat.field("part")
-                open_ = part.is_valid().to_numpy(zero_copy_only=False)
-                large = flat.field("large").to_numpy(zero_copy_only=False) & open_
+                open_ = flat.field("part").is_valid().to_numpy(zero_copy_only=False)
                 pos, most, least = spot >> 16, (spot >> 8) & 255, spot & 255
                 k1, k2 = piece.column("k1"), piece.column("k2")
 
@@ -298,30 +327,29 @@ def find_repeats(texts: DataFrame, length: int) -> DataFrame:
                     low, high, of = (pos - most)[done], (pos - least)[done] + length, row[done]
                     low, high, of = union(low, high, of)
                     yield rows(0, of, pa.nulls(len(of), pa.int64()), low, high, pa.nulls(len(of), pa.binary()))
-                some = np.flatnonzero(open_ & ~large)
-                if len(some):
-                    low, high = offsets[row[some]] + (pos - most)[some], offsets[row[some]] + (pos - least)[some] + length
+                for kind, some in ((1, np.flatnonzero(open_ & (least <= half))), (2, np.flatnonzero(open_ & (most > half)))):
+                    if not len(some):
+                        continue
+                    far = np.minimum(most[some], half) if kind == 1 else most[some]
+                    near = least[some] if kind == 1 else np.maximum(least[some], half + 1)
+                    anchor = offsets[row[some]] + pos[some]
+                    keys = range_hashes(sums, anchor, anchor + length - half) if kind == 1 else range_hashes(sums, anchor - half - 1, anchor + ANCHOR)
+                    low, high = anchor - far, anchor - near + length
                     bytes_ = pa.array([raw[a:b] for a, b in zip(low.tolist(), high.tolist())], pa.binary())
-                    yield rows(1, row[some], part.take(pa.array(some)), spot[some], np.zeros(len(some), np.int64), bytes_)
-                single = np.flatnonzero(large)
-                if len(single):
-                    sums, n = prefix_sums(data), (most - least)[single] + 1
-                    of = np.repeat(single, n)
-                    low = (pos - most)[of] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    first = offsets[row[of]] + low
-                    yield rows(2, row[of], pa.array(range_hashes(sums, first, first + length).view(np.int64)), low, low + length, pa.nulls(len(of), pa.binary()))
+                    yield rows(kind, row[some], pa.array(mixed(keys + np.uint64(kind)).view(np.int64)), _pack(pos[some], far, near), np.zeros(len(some), np.int64), bytes_)
 
-    pieces = texts.select("k1", "k2", "text").join(spots, ["k1", "k2"]).select("k1", "k2", "text", "spots").mapInArrow(cut, "kind int, key long, k1 long, k2 long, low long, high long, bytes binary")
+    pieces = materialize(texts.select("k1", "k2", "text").join(spots, ["k1", "k2"]).select("k1", "k2", "text", "spots").mapInArrow(cut, "kind int, key long, k1 long, k2 long, low long, high long, bytes binary"))
 
     def compare(batches):
-        def ranges(tables, whole):
-            """Groups of kind 1, many at once."""
+        def ranges(tables):
+            """The repeated strings of whole groups, many groups at once."""
             table = pa.concat_tables(tables)
-            key, spot = table.column("key").to_numpy(), table.column("low").to_numpy()
-            groups = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]]))
+            key, pair, spot, kind = (table.column(c).to_numpy() for c in ("key", "pair", "low", "kind"))
+            groups = np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])]))
             pos, most, least = spot >> 16, (spot >> 8) & 255, spot & 255
             hit = np.zeros((len(pos), length - ANCHOR + 3), np.int8)
-            hit[:, 1:-1] = repeated_offsets(groups, table.column("bytes").to_pylist(), most, least, length)
+            known = np.where(kind == 1, length - half, ANCHOR)
+            hit[:, 1:-1] = repeated_offsets(groups, table.column("bytes").to_pylist(), most, least, known, length)
             edge = np.diff(hit, axis=1)
             row, first = np.nonzero(edge == 1)
             _, end = np.nonzero(edge == -1)  # runs come in the same order
@@ -329,21 +357,19 @@ def find_repeats(texts: DataFrame, length: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([table.column("k1").combine_chunks().take(of), table.column("k2").combine_chunks().take(of), pa.array(pos[row] - (end - 1)), pa.array(pos[row] - first + length)], ["k1", "k2", "low", "high"])
 
         waiting, held = [], 0
-        for group in grouped(batches, ["kind", "key"]):
+        for group in grouped(batches, ["key", "pair"]):
             if group.num_rows < 2:
                 continue
-            if group.column("kind")[0].as_py() == 2:
-                yield from group.select(["k1", "k2", "low", "high"]).to_batches()
-                continue
             waiting.append(group)
             held += group.num_rows
-            if held >= 8192:
-                yield ranges(waiting, None)
+            if held >= BLOCK:
+                yield ranges(waiting)
                 waiting, held = [], 0
         if waiting:
-            yield ranges(waiting, None)
+            yield ranges(waiting)
 
-    compared = pieces.filter("kind > 0").repartition("kind", "key").sortWithinPartitions("kind", "key").mapInArrow(compare, "k1 long, k2 long, low long, high long")
+    blocks = deal(pieces.filter("kind > 0").drop("high"), ["key"], "bytes", BLOCK)
+    compared = blocks.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(compare, "k1 long, k2 long, low long, high long")
     every = pieces.filter("kind = 0").select("k1", "k2", "low", "high").unionByName(compared)
     return every.groupBy("k1", "k2").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
 
@@ -366,19 +392,17 @@ def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = False)
 
     Removes every byte covered by a string of `length` bytes that also starts elsewhere, overlaps included, judged on
     the input.  Matches never cross documents; whole copies of one text are found by its digest and lose all their
-    strings.  Null texts count as empty; texts shorter than `length` stay.  with_text adds k1, k2 and kept_text instead
+    strings.  Null texts count as empty; texts shorter than `length` stay; texts of any length are read whole.  Null and
+    repeated doc_ids pass through; an empty table gives an empty result.  with_text adds k1, k2 and kept_text instead
     of doc_id, a row a distinct text: what is left as text, without UTF-8 sequences that a removed range cuts.
     """
     if not ANCHOR + SHALLOW <= length <= 255:
         raise ValueError("length must be from 64 to 255")
-    spark = docs.sparkSession
     keyed = docs.select(*text_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
     # Copies meet before the shuffle.  The table is in buckets by text, so later joins with it don't move texts again.
-    name = f"ledgerlens_texts_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     distinct = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-    distinct.write.format("parquet").option("compression", "zstd").bucketBy(buckets, "k1", "k2").saveAsTable(name)
-    texts = spark.table(name)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts = write_buckets(distinct, "texts", bucket_count(docs.sparkSession, total))
     ranges = find_repeats(texts, length)
 
     def remove(batches):

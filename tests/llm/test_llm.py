@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,10 +17,10 @@ from ledgerlens.llm.chat import format_conversations, loss_text, read_back
 from ledgerlens.llm.components import connected_components
 from ledgerlens.llm.media import header, media_columns, padded
 from ledgerlens.llm.mixing import mix_sources
-from ledgerlens.llm.near_dedup import near_duplicates
+from ledgerlens.llm.near_dedup import bands_and_sketches, bands_for, most_bits, near_duplicates, sketch_miss
 from ledgerlens.llm.quality import fit_quality, rate_quality
-from ledgerlens.llm.shards import assign_shards, layout
-from ledgerlens.llm.suffix_dedup import BlindTrie, remove_repeats
+from ledgerlens.llm.shards import Leaf, assign_shards, layout, shard_of
+from ledgerlens.llm.suffix_dedup import BlindTrie, multikey_quicksort, remove_repeats
 from ledgerlens.llm.token_counts import PrefixCounter, count_tokens
 from ledgerlens.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -98,6 +99,15 @@ def test_shards(spark, odd, nothing):
     sizes = [r["count"] for r in assign_shards(many).groupBy("shard").count().collect()]
     assert len(sizes) == 16 and max(sizes) < 1.2 * min(sizes)
     assert assign_shards(nothing).count() == 0 and len(layout(19)) == 19
+    with pytest.raises(ValueError):
+        assign_shards(many, shards=7)
+    for planned, shards in ((3, 3), (7, 7), (16, 17)):
+        assert assign_shards(many, shards, planned).filter(f"grown_shard not in (shard, {shards})").count() == 0
+    # A changed weight moves rows only into or out of the region that has it.
+    tree = layout(16)
+    heavier = [Leaf(x.region, x.rack, x.shard, 3.0 if x.shard == 5 else 1.0) for x in tree]
+    moved = many.select(shard_of(F.col("doc_id").cast("string"), tree).alias("a"), shard_of(F.col("doc_id").cast("string"), heavier).alias("b")).filter("a <> b").distinct().collect()
+    assert moved and all(1 in (tree[r.a].region, tree[r.b].region) for r in moved)
 
 
 @pytest.fixture(scope="module")
@@ -119,7 +129,8 @@ def test_tokens_equal_the_library(odd, nothing, library):
         assert coded[row.doc_id].ids_sha256 == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
         assert coded[row.doc_id].decoded_sha256 == hashlib.sha256(tokenizer.decode(want, skip_special_tokens=False).encode()).hexdigest()
         cut = (row.text or "")[: counts[row.doc_id].prefix_chars]
-        assert len(tokenizer.encode(cut, add_special_tokens=False).ids) <= 5
+        n = [len(tokenizer.encode((row.text or "")[:i], add_special_tokens=False).ids) for i in range(min(len(cut) + 40, len(row.text or "")) + 1)]
+        assert max(i for i, x in enumerate(n) if x <= 5) == len(cut)
     assert count_tokens(nothing, path=path).count() == 0 and encode_decode(nothing, path=path).count() == 0
 
 
@@ -141,7 +152,7 @@ def test_chat_reads_back(spark):
     roles = ["user", "assistant", "assistant", "user", None, "sys<>&", "assistant"]
     rows = [(c, t, roles[(c + t) % 7], texts[(2 * c + t) % 7]) for c in range(8) for t in range(7)] + [(None, None, "user", "x"), (1, 3, "user", "tie"), (1, 3, "user", "tie")]
     df = spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn long, role string, text string, t int").repartition(4)
-    back = read_back(format_conversations(df)).withColumn("loss", loss_text(F.col("formatted"), F.col("loss_spans"))).collect()
+    back = read_back(format_conversations(df)).withColumn("loss", loss_text(F.col("formatted"), F.col("loss_runs"))).collect()
     for r in back:
         want = sorted([x for x in rows if x[0] == r.conv_id], key=lambda x: (x[1] is not None, x[1] or 0, x[2] or "", x[3] or ""))
         assert [(t.role, t.text) for t in r.turns] == [(x[2] or "", x[3] or "") for x in want]
@@ -202,6 +213,33 @@ def test_near_duplicates(spark, odd, nothing, n, percent):
     assert near_duplicates(odd).count() == len(odd_rows()) and near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_without_ids_and_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr("ledgerlens.llm.near_dedup.BLOCK", 3)
+    monkeypatch.setattr("ledgerlens.llm.near_dedup.BLOCK_SETS", 3)
+    base = [f"w{k}" for k in range(200)]
+    near = [(None if k == 3 else 50 - k, " ".join([*base[:k], "other", *base[k + 1 :]])) for k in range(20)]
+    rows = spark.createDataFrame([*near, (None, "alone here with some words"), (None, None), (60, None)], "doc_id long, text string")
+    for salted in (50_000, -1):
+        monkeypatch.setattr("ledgerlens.llm.common.BROADCAST_KEYS", salted)
+        got = near_duplicates(rows).collect()
+        assert sorted(r.component_id for r in got if r.n_shingles > 100) == [31] * 20 and sum(r.kept for r in got if r.n_shingles > 100) == 1
+        assert all(r.kept and r.component_id == r.doc_id for r in got if r.n_shingles < 100)
+
+
+def test_sketches_lose_no_link():
+    rng = np.random.default_rng(4)
+    for percent in (80, 85):
+        lost = 0
+        for _ in range(300):
+            both, n = 400, 400 * 100 // percent - 400
+            shared, a, b = (rng.integers(0, 1 << 63, k, dtype=np.uint64) for k in (both, n // 2, n - n // 2))
+            sets = [np.unique(np.concatenate([shared, x])) for x in (a, b)]
+            h, offsets = np.concatenate(sets), np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])])
+            keys, sketches = bands_and_sketches(h, offsets, bands_for(percent))
+            lost += not (keys[0] == keys[1]).any() or int(np.bitwise_count(sketches[0] ^ sketches[1]).sum()) > most_bits(percent)
+        assert lost == 0 and sketch_miss(percent) < 3e-6
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(k, k + 1) for k in range(60)] + [(100 + rng.randrange(50), 100 + rng.randrange(50)) for _ in range(60)] + [(None, 5), (7, 7)]
@@ -222,9 +260,19 @@ def stripped(texts, length):
     return out
 
 
-@pytest.mark.parametrize("large", [20_000, 2])
-def test_repeats(spark, odd, nothing, monkeypatch, large):
-    monkeypatch.setattr("ledgerlens.llm.suffix_dedup.LARGE", large)
+def test_multikey_quicksort():
+    rng = np.random.default_rng(1)
+    groups = np.sort(rng.integers(0, 20, 500))
+    words = rng.integers(0, 3, (500, 4)).astype(np.uint64)
+    order, start = multikey_quicksort(groups, words, np.zeros(500, np.int64), np.full(500, 4))
+    rows = [(int(groups[i]), *words[i].tolist()) for i in order]
+    assert rows == sorted(rows) and all((rows[i] == rows[i - 1]) == (start[i] == start[i - 1]) for i in range(1, 500))
+
+
+@pytest.mark.parametrize(("block", "hot"), [(4096, 2000), (64, 20)])
+def test_repeats(spark, odd, nothing, monkeypatch, block, hot):
+    monkeypatch.setattr("ledgerlens.llm.suffix_dedup.BLOCK", block)
+    monkeypatch.setattr("ledgerlens.llm.suffix_dedup.HOT", hot)
     docs = odd.filter("doc_id is not null").select("doc_id", F.when(F.length("text") < 60_000, F.col("text")).alias("text"), "k1")
     want = stripped([(r.doc_id, r.text) for r in docs.collect()], 200)
     for r in remove_repeats(docs).collect():
@@ -253,24 +301,78 @@ def test_media(odd, nothing):
     assert media_columns(nothing).count() == 0
 
 
+def targets(sizes, share=1.5, cap=2):
+    """Weights 3, 1, 2 in code-point order, nulls last; the excess over cap times a source's size is shared again."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    total, fixed = share * sum(sizes.values()), {}
+    while True:
+        left = [s for s in order if s not in fixed]
+        level = (total - sum(fixed.values())) / max(sum(weight[s] for s in left), 1)
+        over = [s for s in left if level * weight[s] > cap * sizes[s]]
+        if not over:
+            return fixed | {s: level * weight[s] for s in left}
+        fixed |= {s: cap * sizes[s] for s in over}
+
+
 def test_mixture(spark, odd, nothing):
-    for docs in (odd, spark.read.parquet(f"{SF}/documents.parquet")):
+    hot = spark.createDataFrame([(1, "a b c", "x")] * 400 + [(k, "w " * (k % 7), "y") for k in range(200)], "doc_id long, text string, source string")
+    for docs in (odd, spark.read.parquet(f"{SF}/documents.parquet"), hot):
         rows = mix_sources(docs).collect()
         assert len(rows) == docs.count()
-        for source in {r.source for r in rows}:
+        sizes = collections.Counter()
+        for r in rows:
+            sizes[r.source] += r.size
+        want = targets(sizes)
+        for source in sizes:
             own = [r for r in rows if r.source == source]
+            assert abs(own[0].target - want[source]) < 1e-6 * (1 + want[source]) and own[0].source_size == sizes[source]
             assert abs(sum(r.copies * r.size for r in own) - own[0].target) <= max(r.size for r in own)
-            assert own[0].target <= 2 * own[0].source_size and all(0 <= r.copies <= 2 for r in own)
-        assert abs(sum({r.source: r.target for r in rows}.values()) - 1.5 * sum(r.size for r in rows)) < 1e-6 * sum(r.size for r in rows) + 1e-6
+            assert all(0 <= r.copies <= 2 for r in own)
+    again = mix_sources(hot.repartition(7)).groupBy("kept.doc_id", "size").agg(F.sum("copies").alias("n"))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, mix_sources(hot).groupBy("kept.doc_id", "size").agg(F.sum("copies").alias("n")).collect()))
     assert mix_sources(nothing).count() == 0
 
 
-def test_pipeline(spark, tmp_path):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    before = docs.count()
+def run_stages(spark, docs, sf_dir, where):
+    """(name, input, output) of every stage, each output written and read again."""
     for name, stage in corpus_pipeline.STAGES:
+        path = f"{where}/{name.replace(' ', '-')}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        out = spark.read.parquet(path)
+        yield name, docs, out
+        docs = out
+
+
+def test_pipeline(spark, tmp_path):
+    for name, before, out in run_stages(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF, tmp_path):
+        assert name == "encoding" or out.columns == corpus_pipeline.COLUMNS
+        if name == "near duplicates":
+            rows = [(i, r.text) for i, r in enumerate(before.collect())]
+            assert out.count() == len(set(linked(rows, 5, 80).values()))
+        if name == "repeated passages":
+            want = {i: v[0] for i, v in stripped([(r.doc_id, r.text) for r in before.collect()], 200).items()}
+            texts = {r.doc_id: r.text for r in before.collect()}
+            assert all(0 <= len(texts[r.doc_id].encode()) - want[r.doc_id] - len(r.text.encode()) <= 6 * want[r.doc_id] for r in out.collect())
+    assert out.count() > 0 and out.filter("n_tokens <> size(ids)").count() == 0
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_odd_rows(spark, odd, nothing, tmp_path, empty):
+    docs = nothing if empty else odd.filter("doc_id is null or doc_id <> 5").unionByName(odd.filter("doc_id is null"))
+    for name, stage in corpus_pipeline.STAGES[1:]:
         out = stage(spark, docs, SF)
-        out.write.parquet(str(tmp_path / name.replace(" ", "-")))
-        docs = spark.read.parquet(str(tmp_path / name.replace(" ", "-")))
-        assert name == "encoding" or docs.columns == corpus_pipeline.COLUMNS
-    assert 0 < docs.select("doc_id").distinct().count() < before and docs.filter("n_tokens <> size(ids)").count() == 0
+        if empty:
+            assert out.count() == 0
+        elif name == "near duplicates":
+            rows = docs.collect()
+            # One row of each group stays, ids or not; texts without words all stay.
+            assert out.count() == len(set(linked([(i, r.text) for i, r in enumerate(rows)], 5, 80).values()))
+        elif name == "mixture":
+            n = collections.Counter((r.doc_id, r.text) for r in out.collect())
+            want = collections.Counter()
+            for r in mix_sources(docs, keep=["doc_id", "text"]).collect():
+                want[r.kept.doc_id, r.kept.text] += r.copies
+            assert n == +want
+        elif name == "repeated passages":
+            assert out.count() == docs.count()
