@@ -121,9 +121,9 @@ class PrefixCounter:
             starts.append(j)
         return (counts[n], bytes(counts), bytes(starts)) if n < 256 else (counts[n], array("I", counts), array("I", starts))
 
-    def word_prefix(self, word: str, i: int) -> int:
+    def word_prefix(self, word: str, i: int, row: Row | None = None) -> int:
         """The count of word[:i] as a text that ends there: one step on from the stored counts of what goes on."""
-        count, counts, starts = self._word(word)
+        count, counts, starts = row or self._word(word)
         if i == 0 or i == len(word):
             return count if i else 0
         for j in range(max(0, i - self.vocab.longest), i):
@@ -166,6 +166,29 @@ class PrefixCounter:
         shown = self.vocab.shown
         return counts[k] + self.word_prefix(shown(word), len(shown(word[:inside])))
 
+    def longest_cut(self, piece: str, budget: int) -> int:
+        """Code points of the longest part of a piece, short of all of it, that takes at most `budget` tokens."""
+        spans = self._spans(piece)
+        if spans is None:
+            return next((i for i in range(len(piece) - 1, 0, -1) if self._piece(piece[:i]) <= budget), 0)
+        starts, words, counts = spans
+        k = bisect.bisect_right(counts, budget) - 1  # the word that passes the budget
+        if k >= len(words):
+            return len(piece) - 1
+        word = words[k]
+        left, shown = budget - counts[k], self.vocab.shown(word)
+        at, row = list(itertools.accumulate([len(c.encode("utf-8")) for c in word], initial=0)), self._word(shown)
+        for i in range(len(word) - 1, 0, -1):
+            if word[0] == "'" and i > 1:
+                n = self._piece(word[:i])
+            elif min(row[1][max(0, at[i] - self.vocab.longest) : at[i]]) < left:  # its last token starts after one of these
+                n = self.word_prefix(shown, at[i], row)
+            else:
+                continue
+            if n <= left:
+                return starts[k] + i
+        return starts[k]
+
     def piece_counts(self, pieces: list[str]) -> list[int]:
         """Counts of pieces without spaces."""
         known = self.of_piece
@@ -225,15 +248,7 @@ class PrefixTable:
         if k == len(self.counts):
             return self.ends[-1]
         before, start = self.counts[k - 1] if k else 0, self.ends[k] - len(self.pieces[k])
-        spans = self.counter._spans(self.pieces[k])
-        far = len(self.pieces[k]) - 1
-        if spans is not None:  # no cut behind the word that passes the budget can fit
-            word = bisect.bisect_right(spans[2], budget - before)
-            far = min(far, spans[0][word] if word < len(spans[0]) else far)
-        for i in range(far, 0, -1):
-            if before + self.counter.piece_prefix(self.pieces[k], i) <= budget:
-                return start + i
-        return start
+        return start + self.counter.longest_cut(self.pieces[k], budget - before)
 
 
 def count_tokens(docs: DataFrame, limit: int = 2048, path: str | None = None, budget: int | None = None, with_prefixes: bool = False) -> DataFrame:
