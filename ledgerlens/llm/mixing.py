@@ -135,7 +135,8 @@ def _round_up(rated: DataFrame) -> DataFrame:
     among = slim.join(equal.select("of", "need", "start", "low"), slim["source"].eqNullSafe(F.col("of")) & (F.col("order") == F.col("low"))).select("source", "size", "tie", "of", "need", "start")
     ties = among.groupBy("of", "need", "start").agg(F.min("tie").alias("low"), F.max("tie").alias("high"), F.count("*").alias("n"))
     ties = _narrowed(among.select("source", "size", "tie"), materialize(ties), "tie").select(F.col("of").alias("tied"), F.col("start").alias("tie_start"), F.col("low").alias("tie_low"), F.col("high").alias("tie_high"))
-    state = state.join(ties, F.col("of").eqNullSafe(F.col("tied")), "left").drop("tied", "n")
+    # Written, so that its size is known and small before it meets the documents.
+    state = materialize(state.join(ties, F.col("of").eqNullSafe(F.col("tied")), "left").drop("tied", "n").coalesce(1))
     placed = keyed.join(state, keyed["source"].eqNullSafe(state["of"])).drop("of")
     # -1 before the last few rows of its source, 0 among them, 1 behind.
     side = lambda x, low, high: F.when(x < low, -1).when(x > high, 1).otherwise(0)

@@ -226,19 +226,18 @@ def find_repeats(texts: DataFrame, length: int) -> DataFrame:
 
     found = texts.select("k1", "k2", "text").mapInArrow(scan, "part long, span long, k1 long, k2 long, spot long")
 
-    # Counted first: spans that stand very often, each with one place of it, and parts that have very many other rows.
-    counts = found.groupBy("part", "span").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "spot")).alias("at"))
-    often = counts.filter(F.col("n") > HOT).select("part", "span", "n", "at")
+    # Counted first: spans that stand very often, and parts that have very many other rows.
+    counts = found.groupBy("part", "span").agg(F.count("*").alias("n"))
+    often = counts.filter(F.col("n") > HOT).select("part", "span", "n")
     wide = counts.filter(F.col("n") <= HOT).groupBy("part").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT)
     large = materialize(often.unionByName(wide, allowMissingColumns=True).withColumn("_parts", F.ceil(F.col("n") / HOT).cast("int")))
-    spans, parts = large.filter("span is not null"), large.filter("span is null").select("part", "_parts")
-    n_spans, n_parts = spans.count(), parts.count()
-    split = lambda rows: with_parts(rows, parts, n_parts, ["part"], "k1", "wide")
-    marked = split(with_parts(found, spans.select("part", "span", "_parts"), n_spans, ["part", "span"], "k1"))
-    leads = split(spans.select("part", "span", "at.*", F.lit(1).alias("parts")))
-    # All rows of a frequent span are settled wherever they go; one place of it goes where its part's other spans go.
+    spans = large.filter("span is not null").select("part", "span", "_parts")
+    parts = materialize(large.groupBy("part").agg(F.greatest(F.max(F.when(F.col("span").isNull(), F.col("_parts"))), F.lit(2)).alias("_parts")))
+    marked = with_parts(with_parts(found, spans, spans.count(), ["part", "span"], "k1"), parts, parts.count(), ["part"], "k1", "wide")
+    # Rows of a frequent span are settled wherever they go; the first in each place goes on as well, and so do all other
+    # spans of its part.
     sub = F.when(F.col("parts") > 1, -1 - F.pmod(F.xxhash64("k1", "spot"), F.col("parts"))).otherwise(F.pmod("span", F.col("wide"))).cast("int")
-    dealt = marked.unionByName(leads).select("part", sub.alias("sub"), "span", "k1", "k2", "spot", (F.col("wide") > 1).alias("many"))
+    dealt = marked.select("part", sub.alias("sub"), "span", "k1", "k2", "spot", (F.col("wide") > 1).alias("many"))
 
     def settle(batches):
         """Rows in the order of (part, sub, span): `open` is false for strings that are settled, true for spans to compare."""
@@ -274,7 +273,7 @@ def find_repeats(texts: DataFrame, length: int) -> DataFrame:
             settled = np.flatnonzero(same_span[:n] | same_span[1:] | (sub < 0))
             group = np.cumsum(~same_part[:n])
             group -= group[0]
-            leads = np.flatnonzero(~same_span[:n] & (sub >= 0))
+            leads = np.flatnonzero(~same_span[:n])
             of = group[leads]
             count = np.bincount(of, minlength=int(group[-1]) + 1)
             base = seen if same_part[0] else 0
