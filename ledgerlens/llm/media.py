@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_bytes, bucket_count, byte_slices, join_split, text_key, write_buckets
+from .common import batch_bytes, bucket_count, byte_slices, join_split, materialize, text_key, write_buckets
 
 UNIT = 192
 CUT_BITS, LEAST, MOST = 10, 256, 8192
@@ -85,10 +85,10 @@ def cut_up(part) -> Iterator[tuple[bytes, list[bytes]]]:
         yield payload, [payload[a:b] for a, b in zip([0, *ends], ends)]
 
 
-def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Writes the lists (k1, k2, n_bytes, header, payload_sha256, digests) and the chunks (k1, k2, digest, body) of all texts.
+def store(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Writes the lists (k1, k2, n_bytes, header, payload_sha256, digests) and the chunks (k1, k2, digest, shared, body) of all texts.
 
-    A chunk's k1 and k2 are those of the text that owns it.
+    A chunk's k1 and k2 are those of the text that owns it.  The third table has the chunks that a text has but doesn't own.
     """
     spark = docs.sparkSession
     keyed = docs.select(*text_key(F.col("text")), F.coalesce("text", F.lit("")).alias("text"))
@@ -110,43 +110,46 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     buckets = bucket_count(spark, total)
     lists = write_buckets(described, "lists", buckets)
 
+    borrowed = materialize(foreign(lists))
     texts = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    elsewhere = foreign(lists).groupBy("k1", "k2").agg(F.collect_list("digest").alias("elsewhere"))
+    elsewhere = borrowed.groupBy("k1", "k2").agg(F.collect_list("digest").alias("elsewhere"))
+    lent = borrowed.groupBy("owner.k1", "owner.k2").agg(F.collect_set("digest").alias("lent"))
 
     def bodies(batches):
         for batch in batches:
             for part in byte_slices(batch):
-                row, digests, out = [], [], []
-                for i, ((_, chunks), others) in enumerate(zip(cut_up(part), part.column("elsewhere").to_pylist(), strict=True)):
-                    written = set(others or ())
+                row, digests, out, shared = [], [], [], []
+                for i, ((_, chunks), others, lent) in enumerate(zip(cut_up(part), part.column("elsewhere").to_pylist(), part.column("lent").to_pylist(), strict=True)):
+                    written, lent = set(others or ()), set(lent or ())
                     for chunk in chunks:
                         digest = hashlib.sha256(chunk).digest()
                         if digest not in written:
                             written.add(digest)
                             row.append(i)
                             digests.append(digest)
+                            shared.append(digest in lent)
                             out.append(zlib.compress(chunk, 6))
                 at = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("k1").take(at), part.column("k2").take(at), pa.array(digests, pa.binary()), pa.array(out, pa.binary())], ["k1", "k2", "digest", "body"])
+                yield pa.RecordBatch.from_arrays([part.column("k1").take(at), part.column("k2").take(at), pa.array(digests, pa.binary()), pa.array(shared, pa.bool_()), pa.array(out, pa.binary())], ["k1", "k2", "digest", "shared", "body"])
 
-    owned = texts.join(elsewhere, ["k1", "k2"], "left").select("k1", "k2", "text", "elsewhere").mapInArrow(bodies, "k1 long, k2 long, digest binary, body binary")
-    return lists, write_buckets(owned, "chunks", buckets)
+    owned = texts.join(elsewhere, ["k1", "k2"], "left").join(lent, ["k1", "k2"], "left").select("k1", "k2", "text", "elsewhere", "lent")
+    owned = owned.mapInArrow(bodies, "k1 long, k2 long, digest binary, shared boolean, body binary")
+    return lists, write_buckets(owned, "chunks", buckets), borrowed
 
 
 def foreign(lists: DataFrame) -> DataFrame:
-    """(k1, k2, digest) of the chunks that a text has but doesn't own: the smallest key of those that have one owns it."""
+    """(k1, k2, digest, owner) of the chunks that a text has but doesn't own: the smallest key of those that have one owns it."""
     place = F.struct("k1", "k2")
     refs = lists.select("k1", "k2", F.explode(F.array_distinct("digests")).alias("digest"))
     owned = refs.groupBy("digest").agg(F.min(place).alias("owner"), F.max(place).alias("other")).filter("owner <> other").select("digest", "owner")
-    return join_split(refs, owned, ["digest"], "k1", HOT).filter(place != F.col("owner")).select("k1", "k2", "digest")
+    return join_split(refs, owned, ["digest"], "k1", HOT).filter(place != F.col("owner")).select("k1", "k2", "digest", "owner")
 
 
-def read_media(lists: DataFrame, chunks: DataFrame, with_payload: bool = False) -> DataFrame:
+def read_media(lists: DataFrame, chunks: DataFrame, borrowed: DataFrame, with_payload: bool = False) -> DataFrame:
     """Puts media together from the two tables; a chunk or a medium that doesn't match its digest stops the job."""
     body = F.collect_list(F.struct("digest", "body"))
-    wanted = foreign(lists)
-    shared = chunks.select("digest", "body").join(wanted.select("digest").distinct(), "digest", "left_semi")
-    fetched = join_split(wanted, shared, ["digest"], "k1", HOT).groupBy("k1", "k2").agg(body.alias("fetched"))
+    shared = chunks.filter("shared").select("digest", "body")
+    fetched = join_split(borrowed.select("k1", "k2", "digest"), shared, ["digest"], "k1", HOT).groupBy("k1", "k2").agg(body.alias("fetched"))
     own = chunks.groupBy("k1", "k2").agg(body.alias("own"))
     rows = lists.join(own, ["k1", "k2"], "left").join(fetched, ["k1", "k2"], "left").select("k1", "k2", "n_bytes", "header", "payload_sha256", "digests", "own", "fetched")
     results = {"payload_bytes": pa.int64(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.binary(), "feature": pa.string(), "payload": pa.binary()}
