@@ -111,13 +111,20 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     lists = write_buckets(described, "lists", buckets)
 
     borrowed = materialize(foreign(lists))
-    texts = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"))
+
+    def squeeze(batches):
+        for batch in batches:
+            packed = pa.array([zlib.compress(t.encode("utf-8"), 4) for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), packed], ["k1", "k2", "packed"])
+
+    texts = keyed.mapInArrow(squeeze, "k1 long, k2 long, packed binary").groupBy("k1", "k2").agg(F.first("packed").alias("packed"))
     elsewhere = borrowed.groupBy("k1", "k2").agg(F.collect_list("digest").alias("elsewhere"))
     lent = borrowed.groupBy("owner.k1", "owner.k2").agg(F.collect_set("digest").alias("lent"))
 
     def bodies(batches):
         for batch in batches:
-            for part in byte_slices(batch):
+            unpacked = pa.array([zlib.decompress(x) for x in batch.column("packed").to_pylist()], pa.binary())
+            for part in byte_slices(batch.append_column("text", unpacked)):
                 row, digests, out, shared = [], [], [], []
                 for i, ((_, chunks), others, lent) in enumerate(zip(cut_up(part), part.column("elsewhere").to_pylist(), part.column("lent").to_pylist(), strict=True)):
                     written, lent = set(others or ()), set(lent or ())
@@ -128,11 +135,11 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
                             row.append(i)
                             digests.append(digest)
                             shared.append(digest in lent)
-                            out.append(zlib.compress(chunk, 6))
+                            out.append(chunk)
                 at = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("k1").take(at), part.column("k2").take(at), pa.array(digests, pa.binary()), pa.array(shared, pa.bool_()), pa.array(out, pa.binary())], ["k1", "k2", "digest", "shared", "body"])
 
-    owned = texts.join(elsewhere, ["k1", "k2"], "left").join(lent, ["k1", "k2"], "left").select("k1", "k2", "text", "elsewhere", "lent")
+    owned = texts.join(elsewhere, ["k1", "k2"], "left").join(lent, ["k1", "k2"], "left").select("k1", "k2", "packed", "elsewhere", "lent")
     owned = owned.mapInArrow(bodies, "k1 long, k2 long, digest binary, shared boolean, body binary")
     return lists, write_buckets(owned, "chunks", buckets), borrowed
 
@@ -160,9 +167,9 @@ def read_media(lists: DataFrame, chunks: DataFrame, borrowed: DataFrame, with_pa
             for head, expected, digests, own, fetched in zip(*(batch.column(x).to_pylist() for x in ("header", "payload_sha256", "digests", "own", "fetched")), strict=True):
                 at = {}
                 for chunk in [*(own or ()), *(fetched or ())]:
-                    at[chunk["digest"]] = zlib.decompress(chunk["body"])
-                    if hashlib.sha256(at[chunk["digest"]]).digest() != chunk["digest"]:
+                    if hashlib.sha256(chunk["body"]).digest() != chunk["digest"]:
                         raise ValueError("a chunk doesn't match its digest")
+                    at[chunk["digest"]] = chunk["body"]
                 medium = head + b"".join([at[x] for x in digests])
                 payload = medium[len(head) :]
                 if hashlib.sha256(payload).digest() != expected:
