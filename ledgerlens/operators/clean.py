@@ -243,8 +243,8 @@ def utr_collisions(rows: DataFrame) -> DataFrame:
 register(
     "st_utr",
     lambda s, d: utr_collisions(doubled(s, d)).select("leg_id", "copy", "utr_ref"),
-    f"""WITH {LEGS_SQL}{_COPIES_SQL}, el AS (SELECT * FROM doubled WHERE channel IN ('UPI', 'IMPS', 'NEFT', 'RTGS', 'WIRE')),
-bad AS (SELECT utr_ref FROM el GROUP BY 1 HAVING count(*) >= 2 AND NOT (count(*) = 2 AND count(DISTINCT account_id) = 2 AND abs(sum(debit) - sum(credit)) < 0.01))
+    f"""WITH {LEGS_SQL}{_COPIES_SQL}, el AS MATERIALIZED (SELECT * FROM doubled WHERE channel IN ('UPI', 'IMPS', 'NEFT', 'RTGS', 'WIRE')),
+bad AS MATERIALIZED (SELECT utr_ref FROM el GROUP BY 1 HAVING count(*) >= 2 AND NOT (count(*) = 2 AND count(DISTINCT account_id) = 2 AND abs(sum(debit) - sum(credit)) < 0.01))
 SELECT leg_id, copy, utr_ref FROM el WHERE utr_ref IN (SELECT utr_ref FROM bad)""",
 )
 register(

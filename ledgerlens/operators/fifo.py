@@ -96,7 +96,7 @@ register(
     lambda s, d: spent_on(legs(s, d)),
     f"""WITH {LEGS_SQL},
 later AS (SELECT c.account_id, c.leg_id AS credit_id, c.credit, d.leg_id AS debit_id, d.debit, c.credit - (sum(d.debit) OVER (PARTITION BY c.leg_id ORDER BY d.ts, d.leg_id ROWS UNBOUNDED PRECEDING) - d.debit) AS left_
-  FROM legs c JOIN legs d ON c.account_id = d.account_id AND c.credit > 0 AND d.debit > 0 AND d.ts <= c.ts + INTERVAL 7 DAY AND (d.ts > c.ts OR (d.ts = c.ts AND d.leg_id > c.leg_id)))
+  FROM legs c JOIN legs d ON c.account_id = d.account_id AND c.credit > 0 AND d.debit > 0 AND (d.ts > c.ts OR (d.ts = c.ts AND d.leg_id > c.leg_id)))
 SELECT account_id, credit_id, debit_id, CAST(least(left_, debit) AS DOUBLE) AS traced FROM later WHERE left_ > 0""",
 )
 

@@ -85,13 +85,20 @@ def suppressed(ledger: DataFrame) -> DataFrame:
     return suppress(marked, F.coalesce("marked", F.lit(False)))
 
 
+_SUPPRESS = f"""{_PROFILE}, seg AS (SELECT account_id, CASE WHEN sum(x) / (active / 30) >= 500000 AND count(*) / (active / 30) >= 30 AND sum(x) / count(*) >= 5000 THEN 'business' ELSE 'retail' END AS s FROM (SELECT x.*, active_days AS active FROM x JOIN profile USING (account_id)) GROUP BY account_id, active),
+anchors AS (SELECT *, count(*) OVER (PARTITION BY account_id ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL 30 MINUTE FOLLOWING) AS n FROM legs WHERE time <> '00:00:00'),
+bursts AS (SELECT leg_id, max(CASE WHEN n >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY account_id ORDER BY ts RANGE BETWEEN INTERVAL 30 MINUTE PRECEDING AND CURRENT ROW) AS hit FROM anchors),
+sides AS (SELECT leg_id, account_id, 'debit' AS side, debit AS amount FROM legs UNION ALL SELECT leg_id, account_id, 'credit', credit FROM legs),
+q AS (SELECT account_id, side, quantile_cont(CAST(amount AS DOUBLE), 0.25) FILTER (amount > 0) AS q1, quantile_cont(CAST(amount AS DOUBLE), 0.75) FILTER (amount > 0) AS q3 FROM sides GROUP BY 1, 2 HAVING count(*) >= 10 AND count(*) FILTER (amount > 0) >= 4),
+marked AS MATERIALIZED (SELECT leg_id FROM bursts WHERE hit = 1 UNION SELECT leg_id FROM sides JOIN q USING (account_id, side) WHERE q3 <> q1 AND CAST(amount AS DOUBLE) > q3 + 3.0 * (q3 - q1)),
+r AS (SELECT leg_id, account_id, list_filter([CASE WHEN count(*) OVER (PARTITION BY account_id, cp) > 5 THEN 'frequent_counterparty' END, CASE WHEN regexp_matches(upper(narration), 'SALARY|SAL|PAYROLL') THEN 'salary_pattern' END, CASE WHEN s = 'business' AND x <= median_amount * 2.5 THEN 'business_normal_range' END], lambda f: f IS NOT NULL) AS reasons
+  FROM x JOIN profile USING (account_id) JOIN seg USING (account_id)),
+rated AS (SELECT leg_id, account_id, array_to_string(reasons, ';') AS suppression_reason, len(reasons) = 0 AS final_flag FROM r WHERE leg_id IN (SELECT leg_id FROM marked))"""
+register("ml_suppress", lambda s, d: suppressed(legs(s, d)), f"{_SUPPRESS} SELECT * FROM rated")
 register(
-    "ml_suppress",
-    lambda s, d: suppressed(legs(s, d)),
-    f"""{_PROFILE}, seg AS (SELECT account_id, CASE WHEN sum(x) / (active / 30) >= 500000 AND count(*) / (active / 30) >= 30 AND sum(x) / count(*) >= 5000 THEN 'business' ELSE 'retail' END AS s FROM (SELECT x.*, active_days AS active FROM x JOIN profile USING (account_id)) GROUP BY account_id, active),
-r AS (SELECT leg_id, account_id, rid, list_filter([CASE WHEN count(*) OVER (PARTITION BY account_id, cp) > 5 THEN 'frequent_counterparty' END, CASE WHEN regexp_matches(upper(narration), 'SALARY|SAL|PAYROLL') THEN 'salary_pattern' END, CASE WHEN s = 'business' AND x <= median_amount * 2.5 THEN 'business_normal_range' END], lambda f: f IS NOT NULL) AS reasons
-  FROM x JOIN profile USING (account_id) JOIN seg USING (account_id))
-SELECT leg_id, account_id, array_to_string(reasons, ';') AS suppression_reason, len(reasons) = 0 AS final_flag FROM r WHERE rid % 7 = 0""",
+    "ag_suppression_reasons",
+    lambda s, d: suppressed(legs(s, d)).filter("suppression_reason <> ''").select(F.explode(F.split("suppression_reason", ";")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n")),
+    f"{_SUPPRESS} SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(suppression_reason, ';')) AS reason FROM rated WHERE suppression_reason <> '') GROUP BY 1",
 )
 
 

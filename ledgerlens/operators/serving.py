@@ -54,15 +54,10 @@ register(
 register(
     "sv_account_txns",
     lambda s, d: account_pages(legs(s, d)),
-    f"WITH {LEGS_SQL} SELECT account_id, date, count(*) AS n, CAST(sum(credit - debit) AS DOUBLE) AS net FROM legs WHERE account_id LIKE 'A00000%' GROUP BY 1, 2",
+    f"WITH {LEGS_SQL} SELECT account_id, CAST(ceil(row_number() OVER (PARTITION BY account_id ORDER BY date, time, leg_id) / 100) AS BIGINT) AS page, count(*) OVER (PARTITION BY account_id) AS total, leg_id, date, time, cp, CAST(debit AS DOUBLE) AS debit, CAST(credit AS DOUBLE) AS credit, channel FROM legs",
 )
 register(
     "sv_counterparties",
     lambda s, d: legs(s, d).groupBy("account_id", "cp").agg(F.count("*").alias("n"), F.max("date").alias("last_date")),
     f"WITH {LEGS_SQL} SELECT account_id, cp, count(*) AS n, max(date) AS last_date FROM legs GROUP BY 1, 2",
 )
-register(
-    "ag_suppression_reasons",
-    lambda s, d: legs(s, d).select(F.explode(F.split("narration", "/")).alias("part")).groupBy("part").agg(F.count("*").alias("n")).filter("n > 100"),
-    f"WITH {LEGS_SQL}, p AS (SELECT unnest(string_split(narration, '/')) AS part FROM legs) SELECT part, count(*) AS n FROM p GROUP BY 1 HAVING count(*) > 100",
-)

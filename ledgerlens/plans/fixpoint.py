@@ -13,6 +13,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; a folder of our own only where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="ledgerlens-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -25,11 +27,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: str, most: int = 100) -> DataFrame:
-    """Applies `step` until no row has `changed` true, `most` times at most; `step` keeps that column."""
+def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed: str, most: int = 1000) -> DataFrame:
+    """Applies `step` until no row has `changed` true; `step` keeps that column.  Changes after `most` steps are an error."""
     state = checkpointed(state)
     for _ in range(most):
         state = checkpointed(step(state))
         if state.filter(changed).limit(1).count() == 0:
-            break
-    return state
+            return state
+    raise ArithmeticError(f"rows still change after {most} steps")

@@ -12,7 +12,7 @@ from ..plans.fixpoint import shared_folder
 
 
 def sliding_counts(events: DataFrame, length: str = "30 minutes", step: str = "10 minutes", late: str = "1 day") -> DataFrame:
-    """Events and their values for each user and sliding window; state older than the watermark is dropped."""
+    """Events and their values for each user and sliding window; in output mode complete all windows stay in the state."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", length, step).alias("w"), "user_id").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).alias("total"))
 
 
