@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import register
+from ..functions import text
+from ..plans.fixpoint import checkpointed
 from ..plans.range_join import range_join
 from ..sources.ledger_view import LEGS_SQL, TRANSFERS_SQL, legs, transfers
 from .clean import doubled
 from .paths import edges, layering
 
+#: What each score of a relationship counts.
+RELATION_WEIGHTS = {"direct_transfer": 0.3, "shared_beneficiary": 0.2, "shared_source": 0.2, "community_overlap": 0.1, "temporal_correlation": 0.1, "shared_narrative": 0.1}
+
 _UTR = "CASE WHEN rid % 29 = 0 THEN '' ELSE utr_ref END"
 
 
@@ -45,42 +51,153 @@ def linked_pairs(ledger: DataFrame) -> DataFrame:
     return ledger.select(F.least("account_id", "cp").alias("a"), F.greatest("account_id", "cp").alias("b")).filter("a <> b").distinct()
 
 
+def parties(ledger: DataFrame, side: str) -> DataFrame:
+    """(account_id, item): whom an account pays (debit) or is paid by (credit)."""
+    return ledger.filter((F.col(side) > 0) & (F.col("cp") != "")).select("account_id", F.col("cp").alias("item")).distinct()
+
+
+def similar_sets(items: DataFrame, percent: int = 50) -> DataFrame:
+    """(a, b, jaccard, members_a, members_b) of accounts whose sets of items reach a Jaccard similarity, in percent.
+
+    Accounts with equal sets are one class, named by its smallest account; a class of several has a row with itself.
+    Each set is sorted from rare items to common ones.  The smaller set of a pair must have one of its first items among
+    the first of the other, so an item that very many sets hold is joined only where rarer ones can't decide; no pair is lost.
+    """
+    sets = items.groupBy("account_id").agg(F.array_sort(F.collect_set("item")).alias("set"))
+    classes = checkpointed(sets.groupBy("set").agg(F.min("account_id").alias("id"), F.count("*").alias("members")))
+    parts = classes.select("id", F.size("set").alias("n"), F.explode("set").alias("item"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "item"))
+    ranked = parts.join(parts.groupBy("item").agg(F.count("*").alias("df")), "item").withColumn("k", place)
+    first = lambda share, of: F.col("k") <= F.col("n") + 1 - F.floor((F.col("n") * share + of - 1) / of)
+    small = ranked.filter(first(2 * percent, 100 + percent)).select("item", F.col("id").alias("x"), F.col("n").alias("nx"))
+    large = ranked.filter(first(percent, 100)).select("item", F.col("id").alias("y"), F.col("n").alias("ny"))
+    met = small.join(large, "item").filter((F.col("x") != F.col("y")) & (F.col("nx") <= F.col("ny")) & (F.col("nx") * 100 >= F.col("ny") * percent))
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    near = jaccards(pairs, parts.select(F.col("id").alias("account_id"), "item")).filter(F.col("shared") * 100 >= percent * F.col("either"))
+    of = lambda x: classes.select(F.col("id").alias(x), F.col("members").alias(f"members_{x}"))
+    same = classes.filter("members > 1").select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"), F.col("members").alias("members_a"), F.col("members").alias("members_b"))
+    return near.select("a", "b", "jaccard").join(of("a"), "a").join(of("b"), "b").select(same.columns).unionByName(same)
+
+
+def jaccards(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """pairs (a, b) with shared, either (the union's size) and jaccard of their items (account_id, item); joined by account and item, so that a common item isn't a key."""
+    n = items.groupBy("account_id").agg(F.count("*").alias("n"))
+    both = pairs.join(items.withColumnRenamed("account_id", "a"), "a").join(items.withColumnRenamed("account_id", "b"), ["b", "item"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    sized = both.join(n.select(F.col("account_id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("account_id").alias("b"), F.col("n").alias("nb")), "b")
+    either = F.col("na") + F.col("nb") - F.col("shared")
+    return sized.select("a", "b", "shared", either.alias("either"), F.round(F.col("shared") / either, 6).alias("jaccard"))
+
+
 def shared_parties(ledger: DataFrame) -> DataFrame:
-    """Jaccard similarity of the parties of linked accounts; a row of parties has one entry for each account it deals with."""
-    parties = ledger.groupBy("account_id").agg(F.collect_set("cp").alias("parties"))
-    of = lambda x: parties.select(F.col("account_id").alias(x), F.col("parties").alias(f"of_{x}"))
-    pairs = linked_pairs(ledger).join(of("a"), "a").join(of("b"), "b")
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    return pairs.select("a", "b", F.round(both / (F.size("of_a") + F.size("of_b") - both), 6).alias("jaccard"))
+    sides = {"beneficiaries": "debit", "sources": "credit"}
+    return reduce(DataFrame.unionByName, (similar_sets(parties(ledger, x)).select(F.lit(k).alias("shares"), "a", "b", "jaccard", "members_a", "members_b") for k, x in sides.items()))
 
 
-_PAIRS = f"WITH {LEGS_SQL}, pairs AS (SELECT DISTINCT least(account_id, cp) AS a, greatest(account_id, cp) AS b FROM legs WHERE account_id <> cp)"
-register(
-    "fn_jaccard",
-    lambda s, d: shared_parties(legs(s, d)),
-    f"""{_PAIRS}, p AS (SELECT account_id, list(DISTINCT cp) AS parties FROM legs GROUP BY 1)
-SELECT a, b, round(len(list_intersect(x.parties, y.parties)) / (len(x.parties) + len(y.parties) - len(list_intersect(x.parties, y.parties))), 6) AS jaccard FROM pairs JOIN p x ON x.account_id = a JOIN p y ON y.account_id = b""",
-)
+def _similar_sql(shares: str, side: str) -> str:
+    return f"""{side}_items AS (SELECT DISTINCT account_id, cp AS item FROM legs WHERE {side} > 0 AND cp <> ''),
+{side}_classes AS MATERIALIZED (SELECT min(account_id) AS id, count(*) AS members, parties FROM (SELECT account_id, list_sort(list(item)) AS parties FROM {side}_items GROUP BY 1) GROUP BY parties),
+{side}_parts AS MATERIALIZED (SELECT id, members, len(parties) AS n, unnest(parties) AS item FROM {side}_classes),
+{side}_similar AS MATERIALIZED (SELECT '{shares}' AS shares, x.id AS a, y.id AS b, round(count(*) / (any_value(x.n) + any_value(y.n) - count(*)), 6) AS jaccard, any_value(x.members) AS members_a, any_value(y.members) AS members_b FROM {side}_parts x JOIN {side}_parts y ON x.item = y.item AND x.id < y.id GROUP BY 2, 3
+  HAVING count(*) * 100 >= 50 * (any_value(x.n) + any_value(y.n) - count(*)) UNION ALL SELECT '{shares}', id, id, 1.0, members, members FROM {side}_classes WHERE members > 1)"""
+
+
+_SIMILAR = f"WITH {LEGS_SQL}, {_similar_sql('beneficiaries', 'debit')}, {_similar_sql('sources', 'credit')}"
+register("fn_jaccard", lambda s, d: shared_parties(legs(s, d)), f"{_SIMILAR} SELECT * FROM debit_similar UNION ALL SELECT * FROM credit_similar")
+
+
+def related_pairs(ledger: DataFrame) -> DataFrame:
+    """(a, b): accounts that have dealt with each other, and those (of equal ones, the first) that share half of whom they pay or are paid by."""
+    near = similar_sets(parties(ledger, "debit")).select("a", "b").union(similar_sets(parties(ledger, "credit")).select("a", "b")).filter("a <> b")
+    return checkpointed(linked_pairs(ledger).union(near).distinct())
 
 
-def common_times(ledger: DataFrame, hours: int = 2) -> DataFrame:
-    """For linked accounts the part of a's rows with a row of b within some hours."""
+_PAIRS = f"{_SIMILAR}, pairs AS MATERIALIZED (SELECT DISTINCT least(account_id, cp) AS a, greatest(account_id, cp) AS b FROM legs WHERE account_id <> cp UNION SELECT a, b FROM debit_similar WHERE a <> b UNION SELECT a, b FROM credit_similar WHERE a <> b)"
+register("jn_pairs", lambda s, d: related_pairs(legs(s, d)), f"{_PAIRS} SELECT a, b FROM pairs")
+
+
+def common_times(ledger: DataFrame, pairs: DataFrame, hours: int = 2) -> DataFrame:
+    """For pairs (a, b) the part of a's rows with a row of b within some hours; pairs without such rows are left out."""
     t = F.unix_timestamp("ts")
     span = hours * 3600
-    mine = linked_pairs(ledger).join(ledger.select(F.col("account_id").alias("a"), "leg_id", (t - span).alias("t0")), "a")
+    mine = pairs.join(ledger.select(F.col("account_id").alias("a"), "leg_id", (t - span).alias("t0")), "a")
     theirs = ledger.select(F.col("account_id").alias("b"), t.alias("u")).distinct()
     hit = range_join(mine, theirs, ["b"], "t0", "u", 2 * span).select("a", "b", "leg_id").distinct()
     n = ledger.groupBy(F.col("account_id").alias("a")).agg(F.count("*").alias("n"))
     return hit.groupBy("a", "b").agg(F.count("*").alias("hits")).join(n, "a").select("a", "b", F.round(F.col("hits") / F.col("n"), 6).alias("cooccurrence"))
 
 
-register(
-    "jn_cooccur",
-    lambda s, d: common_times(legs(s, d)),
-    f"""{_PAIRS}, hit AS (SELECT a, b, l.leg_id FROM pairs JOIN legs l ON l.account_id = a JOIN legs m ON m.account_id = b AND m.ts BETWEEN l.ts - INTERVAL 2 HOUR AND l.ts + INTERVAL 2 HOUR GROUP BY ALL),
-own AS (SELECT account_id, count(*) AS rows FROM legs GROUP BY 1)
-SELECT a, b, round(count(*) / any_value(own.rows), 6) AS cooccurrence FROM hit JOIN own ON account_id = a GROUP BY 1, 2""",
-)
+_TIMES = f"""{_PAIRS}, hit AS (SELECT a, b, l.leg_id FROM pairs JOIN legs l ON l.account_id = a JOIN legs m ON m.account_id = b AND m.ts BETWEEN l.ts - INTERVAL 2 HOUR AND l.ts + INTERVAL 2 HOUR GROUP BY ALL),
+own AS (SELECT account_id, count(*) AS rows FROM legs GROUP BY 1),
+times AS (SELECT a, b, round(count(*) / any_value(own.rows), 6) AS cooccurrence FROM hit JOIN own ON account_id = a GROUP BY 1, 2)"""
+register("jn_cooccur", lambda s, d: (lambda x: common_times(x, related_pairs(x)))(legs(s, d)), f"{_TIMES} SELECT * FROM times")
+
+
+def daily_correlation(ledger: DataFrame, pairs: DataFrame) -> DataFrame:
+    """For pairs (a, b) the correlation of their rows a day, over the days on which either has one; 0 where it is negative or undefined."""
+    days = checkpointed(ledger.groupBy("account_id", "date").agg(F.count("*").alias("n")))
+    sums = days.groupBy("account_id").agg(F.count("*").alias("days"), F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
+    both = pairs.join(days.select(F.col("account_id").alias("a"), "date", F.col("n").alias("x")), "a").join(days.select(F.col("account_id").alias("b"), "date", F.col("n").alias("y")), ["b", "date"])
+    both = both.groupBy("a", "b").agg(F.count("*").alias("common"), F.sum(F.col("x") * F.col("y")).alias("xy"))
+    of = lambda x: sums.select(F.col("account_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("days", "s", "q")))
+    rows = pairs.join(of("a"), "a").join(of("b"), "b").join(both, ["a", "b"], "left").fillna(0, ["common", "xy"])
+    n = F.col("days_a") + F.col("days_b") - F.col("common")
+    spread = lambda x: (n * F.col(f"q_{x}") - F.col(f"s_{x}") * F.col(f"s_{x}")).cast("double")
+    r = (n * F.col("xy") - F.col("s_a") * F.col("s_b")).cast("double") / F.sqrt(F.nullif(spread("a") * spread("b"), F.lit(0.0)))
+    return rows.select("a", "b", F.round(F.greatest(F.coalesce(r, F.lit(0.0)), F.lit(0.0)), 6).alias("correlation"))
+
+
+_DAILY = f"""{_TIMES}, days AS MATERIALIZED (SELECT account_id, date, count(*) AS n FROM legs GROUP BY 1, 2),
+sums AS (SELECT account_id, count(*) AS days, CAST(sum(n) AS BIGINT) AS s, CAST(sum(n * n) AS BIGINT) AS q FROM days GROUP BY 1),
+common AS (SELECT a, b, count(*) AS common, CAST(sum(x.n * y.n) AS BIGINT) AS xy FROM pairs JOIN days x ON x.account_id = a JOIN days y ON y.account_id = b AND y.date = x.date GROUP BY 1, 2),
+moments AS (SELECT a, b, p.s AS sa, q.s AS sb, p.q AS qa, q.q AS qb, p.days + q.days - coalesce(common, 0) AS n, coalesce(xy, 0) AS xy FROM pairs JOIN sums p ON p.account_id = a JOIN sums q ON q.account_id = b LEFT JOIN common USING (a, b)),
+daily AS (SELECT a, b, round(greatest(coalesce(CAST(n * xy - sa * sb AS DOUBLE) / sqrt(nullif(CAST(n * qa - sa * sa AS DOUBLE) * CAST(n * qb - sb * sb AS DOUBLE), 0)), 0), 0), 6) AS correlation FROM moments)"""
+register("wn_daily_corr", lambda s, d: (lambda x: daily_correlation(x, related_pairs(x)))(legs(s, d)), f"{_DAILY} SELECT * FROM daily")
+
+
+def relationships(ledger: DataFrame, community: DataFrame | None = None) -> DataFrame:
+    """Six scores of each related pair, their weighted sum, its type and a confidence.
+
+    `community` is (account_id, community_id); without it nothing is scored for a common community.  A pair that isn't
+    related (see related_pairs) could score for times, words and community alone, at most 30.
+    """
+    pairs = related_pairs(ledger)
+    paid = ledger.filter("debit > 0").groupBy(F.least("account_id", "cp").alias("a"), F.greatest("account_id", "cp").alias("b")).agg(F.count("*").alias("txns"), F.sum("debit").cast("double").alias("moved"))
+    words = ledger.select("account_id", F.explode(text.tokens(F.col("narration"))).alias("item")).distinct()
+    score = lambda items, name: jaccards(pairs, items).select("a", "b", (F.col("shared") / F.col("either") * 100).alias(name))
+    rows = pairs.join(paid, ["a", "b"], "left")
+    for part in (score(parties(ledger, "debit"), "shared_beneficiary"), score(parties(ledger, "credit"), "shared_source"), score(words, "shared_narrative"), common_times(ledger, pairs), daily_correlation(ledger, pairs)):
+        rows = rows.join(part, ["a", "b"], "left")
+    n = ledger.groupBy("account_id").agg(F.count("*").alias("n"))
+    rows = rows.join(n.select(F.col("account_id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("account_id").alias("b"), F.col("n").alias("nb")), "b")
+    if community is None:
+        rows = rows.withColumn("community_overlap", F.lit(0.0))
+    else:
+        rows = rows.join(community.select(F.col("account_id").alias("a"), F.col("community_id").alias("ca")), "a", "left").join(community.select(F.col("account_id").alias("b"), F.col("community_id").alias("cb")), "b", "left")
+        rows = rows.withColumn("community_overlap", F.when(F.col("ca") == F.col("cb"), 100.0).otherwise(0.0))
+    rows = rows.fillna(0.0, ["shared_beneficiary", "shared_source", "shared_narrative", "cooccurrence", "correlation"])
+    rows = rows.withColumn("direct_transfer", F.when(F.col("txns") > 0, F.least(F.lit(100.0), 15.0 * F.col("txns") + 10.0 * F.log1p("moved"))).otherwise(0.0))
+    rows = rows.withColumn("temporal_correlation", 50.0 * F.col("correlation") + 50.0 * F.col("cooccurrence"))
+    total = sum((w * F.col(c) for c, w in RELATION_WEIGHTS.items()), F.lit(0.0))
+    rows = rows.withColumn("score", F.least(F.lit(100.0), total))
+    kind = F.when(F.col("direct_transfer") >= 50, "Direct Transactor").when((F.col("shared_beneficiary") >= 40) & (F.col("shared_source") >= 40), "Shared Infrastructure").when((F.col("temporal_correlation") >= 40) & (F.col("community_overlap") >= 50), "Co-active Layering")
+    kind = kind.when(F.col("score") >= 25, "Suspicious Association").when(F.col("score") >= 5, "Weak Association").otherwise("Unrelated")
+    active = sum((F.when(F.col(c) >= 10, 1).otherwise(0) for c in RELATION_WEIGHTS), F.lit(0))
+    sure = F.least(F.lit(100.0), 20.0 * active + 10.0 * F.log1p(F.col("na") + F.col("nb")))
+    return rows.select(F.col("a").alias("account_a"), F.col("b").alias("account_b"), *(F.round(c, 1).alias(f"{c}_score") for c in RELATION_WEIGHTS), F.round("score", 1).alias("relationship_score"), kind.alias("relationship_type"), F.round(sure, 1).alias("confidence"), F.col("txns").isNotNull().alias("has_direct_txn"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in sorted(text.STOP_WORDS))
+_RELATIONS = rf"""{_DAILY}, paid AS (SELECT least(account_id, cp) AS a, greatest(account_id, cp) AS b, count(*) AS txns, CAST(sum(debit) AS DOUBLE) AS moved FROM legs WHERE debit > 0 GROUP BY 1, 2),
+words AS MATERIALIZED (SELECT DISTINCT account_id, item FROM (SELECT account_id, unnest(regexp_extract_all(lower(narration), '\b([a-z0-9]{{3,}})\b', 1)) AS item FROM legs) WHERE item NOT IN ({_STOP})),
+""" + ", ".join(f"""{x}_share AS (SELECT a, b, any_value(p.n) AS na, any_value(q.n) AS nb, count(*) AS shared FROM pairs JOIN (SELECT *, count(*) OVER (PARTITION BY account_id) AS n FROM {x}) p ON p.account_id = a JOIN (SELECT *, count(*) OVER (PARTITION BY account_id) AS n FROM {x}) q ON q.account_id = b AND q.item = p.item GROUP BY 1, 2)""" for x in ("debit_items", "credit_items", "words")) + """,
+scored AS (SELECT a, b, txns, CASE WHEN txns > 0 THEN least(100.0, 15.0::DOUBLE * txns + 10.0::DOUBLE * ln(1 + moved)) ELSE 0 END AS d, coalesce(x.shared / (x.na + x.nb - x.shared) * 100, 0) AS sb, coalesce(y.shared / (y.na + y.nb - y.shared) * 100, 0) AS ss,
+  coalesce(z.shared / (z.na + z.nb - z.shared) * 100, 0) AS sn, 50.0::DOUBLE * correlation + 50.0::DOUBLE * coalesce(cooccurrence, 0) AS tc, o.rows + r.rows AS n FROM pairs LEFT JOIN paid USING (a, b) LEFT JOIN debit_items_share x USING (a, b) LEFT JOIN credit_items_share y USING (a, b) LEFT JOIN words_share z USING (a, b)
+  LEFT JOIN times USING (a, b) LEFT JOIN daily USING (a, b) JOIN own o ON o.account_id = a JOIN own r ON r.account_id = b),
+total AS (SELECT *, least(100.0::DOUBLE, 0.3::DOUBLE * d + 0.2::DOUBLE * sb + 0.2::DOUBLE * ss + 0.1::DOUBLE * tc + 0.1::DOUBLE * sn) AS t FROM scored),
+relations AS (SELECT a AS account_a, b AS account_b, round(d, 1) AS direct_transfer_score, round(sb, 1) AS shared_beneficiary_score, round(ss, 1) AS shared_source_score, 0.0::DOUBLE AS community_overlap_score, round(tc, 1) AS temporal_correlation_score, round(sn, 1) AS shared_narrative_score, round(t, 1) AS relationship_score,
+  CASE WHEN d >= 50 THEN 'Direct Transactor' WHEN sb >= 40 AND ss >= 40 THEN 'Shared Infrastructure' WHEN t >= 25 THEN 'Suspicious Association' WHEN t >= 5 THEN 'Weak Association' ELSE 'Unrelated' END AS relationship_type,
+  round(least(100.0::DOUBLE, 20.0::DOUBLE * ((d >= 10)::INT + (sb >= 10)::INT + (ss >= 10)::INT + (tc >= 10)::INT + (sn >= 10)::INT) + 10.0::DOUBLE * ln(1 + n)), 1) AS confidence, txns IS NOT NULL AS has_direct_txn FROM total)"""
+register("gr_relationship", lambda s, d: relationships(legs(s, d)), f"{_RELATIONS} SELECT * FROM relations")
 
 
 def longest_chains(chains: DataFrame) -> DataFrame:

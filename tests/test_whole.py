@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from ledgerlens import catalog, operators  # noqa: F401
-from ledgerlens.operators.graph import known
+from ledgerlens.operators.graph import with_outside
 from ledgerlens.sources.ledger_view import legs
 
 SF = "/root/testdata/sf0.001"
@@ -18,7 +18,7 @@ def ledger(spark):
 
 @pytest.fixture(scope="module")
 def edges(spark):
-    rows = known(legs(spark, SF)).collect()
+    rows = with_outside(legs(spark, SF)).collect()
     own = {r.account_id for r in rows}
     return [(r.account_id, r.cp) for r in rows if r.debit > 0] + [(r.cp, r.account_id) for r in rows if r.credit > 0 and r.cp not in own]
 
@@ -42,7 +42,9 @@ def test_components_of_all_edges(spark, edges):
     assert {r.account_id: r.component for r in catalog.QUERIES["gr_wcc"](spark, SF).collect()} == want
     n, pairs = len(want), len(set(edges))
     got = catalog.QUERIES["ag_graph_summary"](spark, SF).first().asDict()
-    assert got == {"nodes": n, "components": len(set(want.values())), "edges": pairs, "transactions": len(edges), "density": round(pairs / (n * (n - 1)), 8)}
+    own = {r.account_id for r in legs(spark, SF).select("account_id").distinct().collect()}
+    inside = len(own & set(want))
+    assert inside < n and got == {"nodes": n, "internal": inside, "external": n - inside, "components": len(set(want.values())), "edges": pairs, "transactions": len(edges), "density": round(pairs / (n * (n - 1)), 8)}
 
 
 def test_suppression_takes_the_detectors_rows(spark):
