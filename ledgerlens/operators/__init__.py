@@ -1,4 +1,4 @@
 """Operators; importing them registers their queries."""
 
 from ..streaming import windows as _streams  # noqa: F401
-from . import clean, evaluation, features, fifo, graph, paths, relations, risk, serving, statements, windows  # noqa: F401
+from . import clean, evaluation, features, fifo, graph, paths, relations, risk, serving, statements, trails, windows  # noqa: F401
