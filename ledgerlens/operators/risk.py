@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import register
 from ..schema import BENEFICIARY, WEIGHTS, day
 from ..sources.ledger_view import LEGS_SQL, legs
+from .graph import _pairs, communities
 from .paths import round_trips
 from .windows import fan, iqr_outliers, odd_hours, smurfing, velocity
 
@@ -138,3 +139,12 @@ def risk(ledger: DataFrame) -> DataFrame:
 
 
 register("ag_risk", lambda s, d: risk(legs(s, d)))
+
+
+def community_risk(labels: DataFrame, scores: DataFrame) -> DataFrame:
+    """(community, n_accounts, avg_risk, max_risk) over the scored accounts of each community; others don't count."""
+    members = labels.select(F.col("id").alias("account_id"), "community").join(scores.select("account_id", "risk_score"), "account_id")
+    return members.groupBy("community").agg(F.count("*").alias("n_accounts"), F.round(F.avg("risk_score"), 2).alias("avg_risk"), F.round(F.max("risk_score"), 2).alias("max_risk"))
+
+
+register("ag_community_risk", lambda s, d: community_risk(communities(_pairs(s, d)), risk(legs(s, d))))

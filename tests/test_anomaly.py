@@ -6,6 +6,7 @@ import pytest
 from ledgerlens import catalog, operators  # noqa: F401
 from ledgerlens.operators.anomaly import FEATURES, Forest, fit_forest, grow, isolation, mean_path, predict, scaler, score, threshold
 from ledgerlens.operators.parties import party_account, party_name
+from ledgerlens.operators.risk import community_risk
 from ledgerlens.operators.strong import strongly_connected
 
 
@@ -113,3 +114,11 @@ def test_parties(spark):
     from pyspark.sql import functions as F
 
     assert {r.t: (r.n, r.a) for r in rows.select("t", party_name(F.col("t")).alias("n"), party_account(F.col("t")).alias("a")).collect()} == told
+
+
+def test_community_risk(spark):
+    labels = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "c"), ("x", "x")], "id string, community string")
+    scores = spark.createDataFrame([("a", 10.0), ("b", 25.5), ("c", 7.0), ("z", 99.0)], "account_id string, risk_score double")
+    got = {tuple(r) for r in community_risk(labels, scores).select("community", "n_accounts", "avg_risk", "max_risk").collect()}
+    assert got == {("a", 2, 17.75, 25.5), ("c", 1, 7.0, 7.0)}
+    assert community_risk(labels, scores.limit(0)).collect() == []
