@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_tokenizers
 from .bpe import encode_decode
 from .chat import format_conversations, loss_text, read_back
 from .common import table
 from .media import media_columns
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
+from .packing import pack_documents
+from .prefix_trie import conversation_trie
 from .quality import fit_quality, rate_quality
 from .shards import assign_shards
 from .suffix_dedup import remove_repeats
@@ -119,5 +122,41 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("kept.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source", "copies", "rate")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_toxicity": op1_toxicity, "op2_shards": op2_shards, "op3_token_counts": op3_token_counts, "op4_chat": op4_chat, "op5_quality": op5_quality, "op6_near_dedup": op6_near_dedup, "op7_suffix_dedup": op7_suffix_dedup, "op8_media": op8_media, "op9_bpe": op9_bpe, "op10_mixing": op10_mixing}
-ORACLES: dict[str, str] = {"op4_chat": OP4_SQL, "op6_near_dedup": OP6_SQL}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+OP12_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, substr(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS digest, strlen(coalesce(text, '')) AS size
+  FROM conversations WHERE conv_id IS NOT NULL
+), lists AS (SELECT conv_id, list({'digest': digest, 'size': size} ORDER BY turn NULLS FIRST, digest) AS t FROM turns GROUP BY conv_id),
+hashed AS (
+  SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)), lambda c, b:
+    list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 9 AS h
+  FROM lists
+), rebuilt AS (SELECT a.conv_id, list_concat(coalesce(b.t[1:a.h], []), a.t[a.h + 1:]) AS t FROM hashed a LEFT JOIN lists b ON b.conv_id = a.conv_id - a.conv_id % 5),
+prefixes AS (SELECT conv_id, d, array_to_string(list_transform(t[1:d], lambda x: x.digest), '') AS k, t[d].size AS size, d = len(t) AS ends FROM (SELECT conv_id, t, unnest(range(len(t) + 1)) AS d FROM rebuilt) x),
+nodes AS MATERIALIZED (
+  SELECT k, d, min(conv_id) AS conv_id, count(*) AS n, any_value(size) AS size, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY k, d
+), kids AS (SELECT substr(k, 1, 32 * (d - 1)) AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+below AS (
+  SELECT substr(x.k, 1, 32 * x.up) AS k, CAST(count(*) FILTER (c.n IS NULL) AS BIGINT) AS n_leaves, CAST(sum((x.n - 1) * coalesce(x.size, 0)) AS BIGINT) AS saved_tokens
+  FROM (SELECT *, unnest(range(d + 1)) AS up FROM nodes) x LEFT JOIN kids c ON c.k = x.k GROUP BY 1
+)
+SELECT a.conv_id, CAST(a.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, a.n AS n_convs, coalesce(c.n, 0) AS n_children, b.n_leaves, b.saved_tokens, a.ends_sha256
+FROM nodes a LEFT JOIN nodes p ON a.d > 0 AND p.k = substr(a.k, 1, 32 * (a.d - 1)) LEFT JOIN kids c ON c.k = a.k JOIN below b ON b.k = a.k
+"""
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents")).select("kept.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_toxicity": op1_toxicity, "op2_shards": op2_shards, "op3_token_counts": op3_token_counts, "op4_chat": op4_chat, "op5_quality": op5_quality, "op6_near_dedup": op6_near_dedup, "op7_suffix_dedup": op7_suffix_dedup, "op8_media": op8_media, "op9_bpe": op9_bpe, "op10_mixing": op10_mixing, "op11_packing": op11_packing, "op12_prefix_trie": op12_prefix_trie, "op13_alignment": op13_alignment}
+ORACLES: dict[str, str] = {"op4_chat": OP4_SQL, "op6_near_dedup": OP6_SQL, "op12_prefix_trie": OP12_SQL}
