@@ -164,7 +164,7 @@ POWERS = Powers()
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """S with S[j] - S[i] times the inverse power of i a hash of data[i:j]."""
+    """S with S[j] - S[i] times the inverse power of i a hash of data[i:j]; for strings of a few hundred bytes (see text_sums)."""
     up, _ = POWERS.until(len(data) + 1)
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
@@ -178,6 +178,64 @@ def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _M2)
 
 
+#: Texts of any length are hashed modulo this prime: unlike sums modulo a power of two, two texts collide for a share of
+#: all bases that their length bounds, whatever they say.
+PRIME = (1 << 61) - 1
+_P, _LOW30, _LOW31 = np.uint64(PRIME), np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1)
+_S30, _S31, _S61 = np.uint64(30), np.uint64(31), np.uint64(61)
+_BASE, *_CODES_LIST = (int(x) for x in np.random.default_rng(20250611).integers(1 << 40, PRIME, 257))
+_PRIME_CODES = np.array(_CODES_LIST, np.uint64)
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> _S61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def _up31(x: np.ndarray) -> np.ndarray:
+    """x times 2**31, for x below 2**63, before the last folding."""
+    return (x >> _S30) + ((x & _LOW30) << _S31)
+
+
+def times_mod(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo PRIME of numbers below it, by halves of 31 bits."""
+    a1, a0, b1, b0 = a >> _S31, a & _LOW31, b >> _S31, b & _LOW31
+    high = a1 * b1
+    return _folded(high + high + _up31(a1 * b0 + a0 * b1) + a0 * b0)
+
+
+class PrimePowers:
+    """Powers of a base modulo PRIME and their inverses, as far as asked for."""
+
+    def __init__(self, base: int = _BASE) -> None:
+        self.bases = base, pow(base, -1, PRIME)
+        self.tables = [np.ones(1, np.uint64)] * 2
+
+    def until(self, n: int) -> list[np.ndarray]:
+        while len(self.tables[0]) < n:
+            self.tables = [np.concatenate([t, times_mod(t, np.uint64(pow(b, len(t), PRIME)))]) for b, t in zip(self.bases, self.tables)]
+        return self.tables
+
+
+PRIME_POWERS = PrimePowers()
+
+
+def text_sums(data: np.ndarray) -> np.ndarray:
+    """Sums S modulo PRIME of byte codes times powers, with S[j] - S[i] times the inverse power of i a hash of data[i:j]."""
+    up, _ = PRIME_POWERS.until(len(data) + 1)
+    terms = times_mod(_PRIME_CODES[data], up[: len(data)])
+    sums = np.zeros(len(data) + 1, np.uint64)
+    sums[1:] = _folded(_up31(np.cumsum(terms >> _S31)) + _folded(np.cumsum(terms & _LOW31)))
+    return sums
+
+
+def text_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end], of any length; equal bytes, equal hashes."""
+    _, down = PRIME_POWERS.until(len(sums))
+    differ = _folded(sums[ends] + _P - sums[starts])
+    return mixed(times_mod(differ, down[starts]) + (ends - starts).astype(np.uint64) * _M2)
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of all rows, and the row of each: words never cross rows."""
     inside = np.zeros(len(data) + 1, bool)

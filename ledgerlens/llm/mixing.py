@@ -49,9 +49,9 @@ def solve_tilts(sizes: DataFrame, targets: DataFrame, cap: float, tolerance: flo
     Each step is one grouped sum over the whole (source, size) table, combined before the shuffle.  Ends when every
     target is met to `tolerance`, or when no bracket can be halved any more; `most_steps` without either is an error.
     """
-    means = sizes.filter("size > 0").groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean_size"))
-    part = F.col("target") / (F.col("source_size") * float(cap))
-    state = targets.join(means, targets["source"].eqNullSafe(means["source"]), "left").drop(means["source"])
+    means = sizes.filter("size > 0").groupBy(F.col("source").alias("of")).agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean_size"))
+    part = F.coalesce(F.try_divide("target", F.col("source_size") * float(cap)), F.lit(0.0))  # 0 for a source without words
+    state = targets.join(means, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     open_ = F.col("mean_size").isNotNull() & (part > 0) & (part < 1 - 1e-12)
     state = materialize(state.select("source", "source_size", "target", "mean_size", F.when(open_, F.log(part / (1 - part))).alias("tilt"), F.lit(-1e6).alias("low"), F.lit(1e6).alias("high"), F.lit(1.0).alias("off")))
     for _ in range(most_steps):
@@ -81,7 +81,8 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cap: int = 2, keep: list[st
     `kept` is a struct of the columns that `keep` names, doc_id by default, so their names can't clash.  Size is the
     number of words.  Null or empty texts have size 0 and get no copies; a null source is a source and comes last;
     repeated rows and rows without doc_id are documents of their own.  A source's taken words differ from its target by
-    less than its longest document.  Texts of any length are counted whole; an empty table gives an empty result.
+    less than its longest document.  A source without words has target 0 and no copies.  Texts of any length are counted whole; an empty table gives
+    an empty result.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.struct(*(keep or ["doc_id"])).alias("kept"), "source", F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long").alias("size"), unit_hash("doc_id", text, F.lit("copy")).alias("draw"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_bytes, byte_slices, deal, materialize, mixed, prefix_sums, range_hashes, text_key, words_of
+from .common import batch_bytes, byte_slices, deal, materialize, mixed, text_hashes, text_key, text_sums, words_of
 from .components import connected_components
 
 ROWS, BITS = 4, 256
@@ -50,7 +50,7 @@ def shingle_sets(text_column, words: int) -> tuple[np.ndarray, np.ndarray]:
     data = _LOWER[data]
     n = len(offsets) - 1
     starts, ends, rows = words_of(data, offsets)
-    hashes = range_hashes(prefix_sums(data), starts, ends)
+    hashes = text_hashes(text_sums(data), starts, ends)
     counts = np.bincount(rows, minlength=n)
     first = np.cumsum(counts) - counts
     size = np.minimum(counts, words)

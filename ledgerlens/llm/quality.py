@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_bytes, byte_slices, mixed, prefix_sums, range_hashes, sums_by_row, words_of
+from .common import batch_bytes, byte_slices, mixed, sums_by_row, text_hashes, text_sums, words_of
 from .linear import SparseRows, code_points, fit_calibration, fit_logistic, labelled_sample, ngram_slots, sigmoid, starts_inside
 
 CHAR_ORDERS, CHAR_BITS, WORD_BITS, SLOT_BITS = (2, 3), 12, 11, 13
@@ -29,8 +29,8 @@ def base_counts(text_column) -> dict[str, np.ndarray]:
     data, offsets = batch_bytes(text_column)
     n = len(offsets) - 1
     starts, ends, rows = words_of(data, offsets)
-    sums = prefix_sums(data)
-    words = range_hashes(sums, starts, ends)
+    sums = text_sums(data)
+    words = text_hashes(sums, starts, ends)
     lead = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
     symbols = np.zeros(len(data) + 1, np.int64)
@@ -50,7 +50,7 @@ def base_counts(text_column) -> dict[str, np.ndarray]:
     has_word = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     line_starts, line_ends = line_starts[has_word], line_ends[has_word]
     line_rows = np.searchsorted(offsets, line_starts, side="right") - 1
-    keys = range_hashes(sums, line_starts, line_ends) ^ mixed(line_rows.astype(np.uint64) + np.uint64(1))
+    keys = text_hashes(sums, line_starts, line_ends) ^ mixed(line_rows.astype(np.uint64) + np.uint64(1))
     _, first = np.unique(keys, return_index=True)
     out["n_dup_lines"] = np.bincount(line_rows, minlength=n) - np.bincount(line_rows[first], minlength=n)
     out["n_repeat_words"] = np.zeros(n, np.int64)

@@ -14,6 +14,7 @@ import corpus_pipeline
 from ledgerlens.llm import queries as Q
 from ledgerlens.llm.bpe import Vocabulary, encode_decode
 from ledgerlens.llm.chat import format_conversations, loss_text, read_back
+from ledgerlens.llm.common import PRIME, text_hashes, text_sums, times_mod
 from ledgerlens.llm.components import connected_components
 from ledgerlens.llm.media import header, media_columns, padded
 from ledgerlens.llm.mixing import mix_sources
@@ -301,6 +302,28 @@ def test_media(odd, nothing):
     assert media_columns(nothing).count() == 0
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_texts_that_collide_modulo_powers_of_two(spark):
+    """A Thue-Morse string and its complement have the same sum of codes times powers of any odd number, modulo 2**64."""
+    a = thue_morse(2048)
+    b = a.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    sums = text_sums(data)
+    for n in (1024, 2048):
+        got = text_hashes(sums, np.array([0, 2048]), np.array([n, 2048 + n]))
+        assert got[0] != got[1]
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(0, PRIME, 300, dtype=np.uint64), rng.integers(0, PRIME, 300, dtype=np.uint64)
+    assert times_mod(x, y).tolist() == [int(p) * int(q) % PRIME for p, q in zip(x, y)]
+    docs = spark.createDataFrame([(1, f"{a} one two"), (2, f"{b} one two"), (3, f"{a}\n{b}"), (4, a), (5, b)], "doc_id long, text string")
+    assert all(r.kept for r in near_duplicates(docs).collect())
+    model = fit_quality(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert all(r.n_dup_lines == 0 for r in rate_quality(docs, model).collect())
+
+
 def targets(sizes, share=1.5, cap=2):
     """Weights 3, 1, 2 in code-point order, nulls last; the excess over cap times a source's size is shared again."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
@@ -334,6 +357,13 @@ def test_mixture(spark, odd, nothing):
     assert mix_sources(nothing).count() == 0
 
 
+def test_mixture_of_sources_without_words(spark):
+    rows = [(1, "a b c", "x"), (2, "", "y"), (3, None, "z"), (4, " \n", None), (5, "d", "x")]
+    for some in (rows, rows[1:4], rows[2:3]):
+        got = mix_sources(spark.createDataFrame(some, "doc_id long, text string, source string")).collect()
+        assert len(got) == len(some) and all((r.copies == 0) == (r.size == 0) and (r.target > 0) == (r.size > 0) for r in got)
+
+
 def run_stages(spark, docs, sf_dir, where):
     """(name, input, output) of every stage, each output written and read again."""
     for name, stage in corpus_pipeline.STAGES:
