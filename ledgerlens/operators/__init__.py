@@ -1,4 +1,4 @@
 """Operators; importing them registers their queries."""
 
 from ..streaming import windows as _streams  # noqa: F401
-from . import anomaly, clean, evaluation, features, fifo, graph, parties, paths, relations, risk, serving, statements, strong, trails, windows  # noqa: F401
+from . import anomaly, betweenness, clean, evaluation, features, fifo, graph, parties, paths, relations, risk, serving, statements, strong, taint, trails, windows  # noqa: F401
