@@ -229,24 +229,23 @@ def encode_decode(docs: DataFrame, path: str | None = None, keep: list[str] | No
         if not state:
             state.extend([Encoder(vocabulary(path)), Decoder()])
         encoder, decoder = state
+        last, once = None, None  # rows that repeat the row before, as copies do, are coded once
         for batch in batches:
             for part in byte_slices(batch):
                 counts, id_hashes, text_hashes, all_ids, texts = [], [], [], [], []
                 for text in part.column("text").to_pylist():
-                    pieces = [p for p in encoder.pieces_of(text or "") if p[0]]
-                    joined = " ".join([p[0] for p in pieces])
-                    digest, back = hashlib.sha256(), []
-                    for block in decoder.decode([p[1] for p in pieces]):
-                        digest.update(block.encode("utf-8"))
-                        if with_decoded:
-                            back.append(block)
-                    counts.append(joined.count(" ") + 1 if joined else 0)
-                    id_hashes.append(hashlib.sha256(joined.encode()).hexdigest())
-                    text_hashes.append(digest.hexdigest())
-                    if with_ids:
-                        all_ids.append(np.array(joined.split(), dtype=np.int32))
-                    if with_decoded:
-                        texts.append("".join(back))
+                    if once is None or text != last:
+                        pieces = [p for p in encoder.pieces_of(text or "") if p[0]]
+                        joined = " ".join([p[0] for p in pieces])
+                        digest, back = hashlib.sha256(), []
+                        for block in decoder.decode([p[1] for p in pieces]):
+                            digest.update(block.encode("utf-8"))
+                            if with_decoded:
+                                back.append(block)
+                        ids = np.array(joined.split(), dtype=np.int32) if with_ids else None
+                        last, once = text, (joined.count(" ") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), digest.hexdigest(), ids, "".join(back))
+                    for held, value in zip((counts, id_hashes, text_hashes, all_ids, texts), once):
+                        held.append(value)
                 arrays = [part.column(k) for k in keep] + [pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string())]
                 names = [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:

@@ -132,6 +132,9 @@ def test_tokens_equal_the_library(odd, nothing, library):
         cut = (row.text or "")[: counts[row.doc_id].prefix_chars]
         n = [len(tokenizer.encode((row.text or "")[:i], add_special_tokens=False).ids) for i in range(min(len(cut) + 40, len(row.text or "")) + 1)]
         assert max(i for i, x in enumerate(n) if x <= 5) == len(cut)
+    copies = odd.select("doc_id", F.explode(F.array_repeat(F.coalesce("text", F.lit("")), 3)).alias("text"))
+    again = encode_decode(copies, path=path, with_ids=True, with_decoded=True).groupBy("doc_id").agg(F.collect_set("ids_sha256").alias("x"), F.count_if(F.sha2("decoded", 256) != F.col("decoded_sha256")).alias("bad"))
+    assert all(r.x == [coded[r.doc_id].ids_sha256] and not r.bad for r in again.collect())
     assert count_tokens(nothing, path=path).count() == 0 and encode_decode(nothing, path=path).count() == 0
 
 
