@@ -137,7 +137,6 @@ register(
     lambda s, d: (lambda x: x.crossJoin(F.broadcast(x.agg((F.max("score") >= 50).alias("seen")))).select("account_id", risk_tier(F.col("score"), F.col("seen")).alias("tier")))(_scores(s, d).filter("score < 50")),
     f"{_SCORES}, low AS (SELECT * FROM scores WHERE score < 50) SELECT account_id, {_LOW_TIER} AS tier FROM low",
 )
-register("tk_risk", lambda s, d: _scores(s, d).orderBy(F.desc("score"), "account_id").limit(25), f"{_SCORES} SELECT * FROM scores ORDER BY score DESC, account_id LIMIT 25")
 
 
 def service_edges(ledger: DataFrame) -> DataFrame:

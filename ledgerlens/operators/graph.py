@@ -159,7 +159,7 @@ def pagerank(pairs: DataFrame, personal: DataFrame | None = None, damping: float
 
     `personal` is (id, weight); without it all nodes start alike.  Every round is one join on the source and one sum,
     combined before the shuffle; ranks stop when they move by less than 1e-9 in sum, or after
-    `rounds`, when that sum is below damping ** rounds.
+    `rounds`, when that sum is below 2 * damping ** rounds, else it is an error.
     """
     links = pairs.join(pairs.groupBy("src").agg(F.sum("total").alias("of")), "src").select("src", "dst", (F.col("total") / F.col("of")).cast("double").alias("share"))
     links = checkpointed(links)
@@ -173,8 +173,12 @@ def pagerank(pairs: DataFrame, personal: DataFrame | None = None, damping: float
         new = start.join(inflow, "id", "left").join(ranks, "id").crossJoin(F.broadcast(lost))
         new = checkpointed(new.select("id", F.col("rank").alias("was"), ((1 - damping) * F.col("p") + damping * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") * F.col("p"))).alias("rank")))
         ranks = new.select("id", "rank")
-        if new.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] < 1e-9:
+        moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0
+        if moved < 1e-9:
             break
+    else:
+        if moved > 2 * damping**rounds:
+            raise ArithmeticError(f"ranks still move by {moved} after {rounds} rounds")
     return ranks.withColumnRenamed("rank", "pagerank")
 
 
@@ -182,20 +186,26 @@ register("gr_pagerank_w", lambda s, d: pagerank(account_graph(_edges(s, d)).drop
 register("gr_pagerank_p", lambda s, d: (lambda p: pagerank(p, _seeds(p).withColumn("weight", F.lit(1.0))).select(F.col("id").alias("account_id"), F.round("pagerank", 6).alias("pagerank")))(account_graph(_edges(s, d)).drop("leg_ids")))
 
 
-def communities(pairs: DataFrame, rounds: int = 8) -> DataFrame:
-    """(id, community): weighted label propagation for a fixed number of rounds; ties go to the smaller label.
+def communities(pairs: DataFrame, rounds: int = 100) -> DataFrame:
+    """(id, community): weighted label propagation until no label changes; ties go to the node's own label, then to the smaller.
 
-    Odd and even nodes, by a hash, take turns, so that two sides can't swap labels for ever.
+    Odd and even nodes, by a hash, take turns, so that two sides can't swap labels for ever.  Labels that still change
+    after `rounds` turns are an error.
     """
     both = pairs.select("src", "dst", "total").unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "total"))
-    both = checkpointed(both.groupBy("src", "dst").agg(F.sum("total").alias("w")))
-    labels = checkpointed(both.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id")))
+    both = checkpointed(both.filter("src <> dst").groupBy("src", "dst").agg(F.sum("total").alias("w")))
+    labels, idle = checkpointed(both.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id"))), 0
     for k in range(rounds):
         votes = both.join(labels.select(F.col("id").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("id"), "community").agg(F.sum("w").alias("w"))
-        best = votes.groupBy("id").agg(F.min_by("community", F.struct(-F.col("w"), "community")).alias("best"))
+        own = labels.withColumnRenamed("community", "own")
+        best = votes.join(own, "id").groupBy("id", "own").agg(F.min_by("community", F.struct(-F.col("w"), F.col("community") != F.col("own"), "community")).alias("best"))
         turn = F.pmod(F.xxhash64("id"), F.lit(2)) == k % 2
-        labels = checkpointed(labels.join(best, "id").select("id", F.when(turn, F.col("best")).otherwise(F.col("community")).alias("community")))
-    return labels
+        new = checkpointed(best.select("id", F.when(turn, F.col("best")).otherwise(F.col("own")).alias("community"), (turn & (F.col("best") != F.col("own"))).alias("changed")))
+        labels = new.drop("changed")
+        idle = 0 if new.filter("changed").limit(1).count() else idle + 1
+        if idle == 2:
+            return labels
+    raise ArithmeticError(f"labels still change after {rounds} rounds")
 
 
 def community_summary(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -207,10 +217,6 @@ def community_summary(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return sizes.join(flows, "community", "left").select("community", "size", F.coalesce("flow", F.lit(0)).cast("double").alias("total_flow"), F.coalesce(F.round(F.col("inside") / F.nullif("flow", F.lit(0)), 3).cast("double"), F.lit(0.0)).alias("internal_ratio"), joined(F.col("top")).alias("top_accounts"))
 
 
-register("gr_community", lambda s, d: communities(account_graph(_edges(s, d)).drop("leg_ids")).withColumnRenamed("id", "account_id"))
-register("ag_community_summary", lambda s, d: (lambda p: community_summary(p, communities(p)))(account_graph(_edges(s, d)).drop("leg_ids")))
-
-
 register(
     "gr_edge_detail",
     lambda s, d: _edges(s, d).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "amount", "channel", "leg_id").groupBy("a", "b", "channel").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("total")),

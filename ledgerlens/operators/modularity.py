@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..plans.fixpoint import checkpointed
-from .graph import _pairs
+from .graph import _pairs, community_summary
 
 #: Gains below this end a level and the search; rounds of one level beyond which it counts as not converging.
 GAIN, ROUNDS = 1e-6, 200
@@ -90,4 +90,5 @@ def modular_communities(pairs: DataFrame) -> DataFrame:
 
 
 # Moves depend on all moves before, which SQL can't follow; tests hold planted parts and the gain over label rounds.
-register("gr_modularity", lambda s, d: modular_communities(_pairs(s, d)).withColumnRenamed("id", "account_id"))
+register("gr_community", lambda s, d: modular_communities(_pairs(s, d)).withColumnRenamed("id", "account_id"))
+register("ag_community_summary", lambda s, d: (lambda p: community_summary(p, modular_communities(p)))(_pairs(s, d)))

@@ -56,15 +56,25 @@ def parties(ledger: DataFrame, side: str) -> DataFrame:
     return ledger.filter((F.col(side) > 0) & (F.col("cp") != "")).select("account_id", F.col("cp").alias("item")).distinct()
 
 
-def similar_sets(items: DataFrame, percent: int = 50) -> DataFrame:
+def set_classes(items: DataFrame) -> DataFrame:
+    """(account_id, class, set): accounts with equal sets of items (account_id, item) are one class, named by its smallest account."""
+    sets = items.groupBy("account_id").agg(F.array_sort(F.collect_set("item")).alias("set"))
+    # Sets meet by a digest of their items, each with its length, so that the key is short.
+    told = F.sha2(F.array_join(F.transform("set", lambda x: F.concat(F.char_length(x).cast("string"), F.lit(":"), x)), ""), 256)
+    keyed = checkpointed(sets.withColumn("key", told))
+    return keyed.join(keyed.groupBy("key").agg(F.min("account_id").alias("class")), "key").select("account_id", "class", "set")
+
+
+def similar_sets(items: DataFrame, percent: int = 50, classes: DataFrame | None = None) -> DataFrame:
     """(a, b, jaccard, members_a, members_b) of accounts whose sets of items reach a Jaccard similarity, in percent.
 
-    Accounts with equal sets are one class, named by its smallest account; a class of several has a row with itself.
-    Each set is sorted from rare items to common ones.  The smaller set of a pair must have one of its first items among
-    the first of the other, so an item that very many sets hold is joined only where rarer ones can't decide; no pair is lost.
+    Accounts with equal sets are one class (see set_classes, which says who is in it), named by its smallest account; a
+    class of several has a row with itself.  Each set is sorted from rare items to common ones.  The smaller set of a
+    pair must have one of its first items among the first of the other, so an item that very many sets hold is joined
+    only where rarer ones can't decide; no pair is lost.
     """
-    sets = items.groupBy("account_id").agg(F.array_sort(F.collect_set("item")).alias("set"))
-    classes = checkpointed(sets.groupBy("set").agg(F.min("account_id").alias("id"), F.count("*").alias("members")))
+    classes = set_classes(items) if classes is None else classes
+    classes = checkpointed(classes.groupBy(F.col("class").alias("id")).agg(F.first("set").alias("set"), F.count("*").alias("members")))
     parts = classes.select("id", F.size("set").alias("n"), F.explode("set").alias("item"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "item"))
     ranked = parts.join(parts.groupBy("item").agg(F.count("*").alias("df")), "item").withColumn("k", place)
@@ -80,12 +90,18 @@ def similar_sets(items: DataFrame, percent: int = 50) -> DataFrame:
 
 
 def jaccards(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """pairs (a, b) with shared, either (the union's size) and jaccard of their items (account_id, item); joined by account and item, so that a common item isn't a key."""
-    n = items.groupBy("account_id").agg(F.count("*").alias("n"))
-    both = pairs.join(items.withColumnRenamed("account_id", "a"), "a").join(items.withColumnRenamed("account_id", "b"), ["b", "item"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    sized = both.join(n.select(F.col("account_id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("account_id").alias("b"), F.col("n").alias("nb")), "b")
+    """pairs (a, b) with shared, either (the union's size) and jaccard of their items (account_id, item).
+
+    The items of the smaller set look for themselves in the larger one, by account and item, so neither a common item nor
+    an account with very many is a key that meets all of its pairs.
+    """
+    n = checkpointed(items.groupBy("account_id").agg(F.count("*").alias("n")))
+    sized = pairs.join(n.select(F.col("account_id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("account_id").alias("b"), F.col("n").alias("nb")), "b")
+    less = F.col("na") <= F.col("nb")
+    turned = sized.select("a", "b", "na", "nb", F.when(less, F.col("a")).otherwise(F.col("b")).alias("few"), F.when(less, F.col("b")).otherwise(F.col("a")).alias("many"))
+    both = turned.join(items.withColumnRenamed("account_id", "few"), "few").join(items.withColumnRenamed("account_id", "many"), ["many", "item"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
     either = F.col("na") + F.col("nb") - F.col("shared")
-    return sized.select("a", "b", "shared", either.alias("either"), F.round(F.col("shared") / either, 6).alias("jaccard"))
+    return both.select("a", "b", "shared", either.alias("either"), F.round(F.col("shared") / either, 6).alias("jaccard"))
 
 
 def shared_parties(ledger: DataFrame) -> DataFrame:
@@ -93,26 +109,60 @@ def shared_parties(ledger: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, (similar_sets(parties(ledger, x)).select(F.lit(k).alias("shares"), "a", "b", "jaccard", "members_a", "members_b") for k, x in sides.items()))
 
 
-def _similar_sql(shares: str, side: str) -> str:
+def _similar_sql(shares: str, side: str, percent: int = 50, name: str = "similar") -> str:
     return f"""{side}_items AS (SELECT DISTINCT account_id, cp AS item FROM legs WHERE {side} > 0 AND cp <> ''),
-{side}_classes AS MATERIALIZED (SELECT min(account_id) AS id, count(*) AS members, parties FROM (SELECT account_id, list_sort(list(item)) AS parties FROM {side}_items GROUP BY 1) GROUP BY parties),
+{side}_classes AS MATERIALIZED (SELECT min(account_id) AS id, count(*) AS members, parties, list(account_id) AS ids FROM (SELECT account_id, list_sort(list(item)) AS parties FROM {side}_items GROUP BY 1) GROUP BY parties),
 {side}_parts AS MATERIALIZED (SELECT id, members, len(parties) AS n, unnest(parties) AS item FROM {side}_classes),
-{side}_similar AS MATERIALIZED (SELECT '{shares}' AS shares, x.id AS a, y.id AS b, round(count(*) / (any_value(x.n) + any_value(y.n) - count(*)), 6) AS jaccard, any_value(x.members) AS members_a, any_value(y.members) AS members_b FROM {side}_parts x JOIN {side}_parts y ON x.item = y.item AND x.id < y.id GROUP BY 2, 3
-  HAVING count(*) * 100 >= 50 * (any_value(x.n) + any_value(y.n) - count(*)) UNION ALL SELECT '{shares}', id, id, 1.0, members, members FROM {side}_classes WHERE members > 1)"""
+{side}_{name} AS MATERIALIZED (SELECT '{shares}' AS shares, x.id AS a, y.id AS b, round(count(*) / (any_value(x.n) + any_value(y.n) - count(*)), 6) AS jaccard, any_value(x.members) AS members_a, any_value(y.members) AS members_b FROM {side}_parts x JOIN {side}_parts y ON x.item = y.item AND x.id < y.id GROUP BY 2, 3
+  HAVING count(*) * 100 >= {percent} * (any_value(x.n) + any_value(y.n) - count(*)) UNION ALL SELECT '{shares}', id, id, 1.0, members, members FROM {side}_classes WHERE members > 1)"""
 
 
 _SIMILAR = f"WITH {LEGS_SQL}, {_similar_sql('beneficiaries', 'debit')}, {_similar_sql('sources', 'credit')}"
 register("fn_jaccard", lambda s, d: shared_parties(legs(s, d)), f"{_SIMILAR} SELECT * FROM debit_similar UNION ALL SELECT * FROM credit_similar")
 
 
-def related_pairs(ledger: DataFrame) -> DataFrame:
-    """(a, b): accounts that have dealt with each other, and those (of equal ones, the first) that share half of whom they pay or are paid by."""
-    near = similar_sets(parties(ledger, "debit")).select("a", "b").union(similar_sets(parties(ledger, "credit")).select("a", "b")).filter("a <> b")
-    return checkpointed(linked_pairs(ledger).union(near).distinct())
+#: In the queries some accounts have a twin with the same rows under a name of its own, so that there are equal sets.
+_TWIN = "CAST(substr(account_id, 6, 3) AS INT) % 50 = 3"
+
+
+def with_twins(ledger: DataFrame) -> DataFrame:
+    twin = ledger.filter(F.expr(_TWIN)).withColumns({"account_id": F.concat(F.lit("B"), F.substring("account_id", 2, 7)), "leg_id": -F.col("leg_id")})
+    return ledger.unionByName(twin)
+
+
+_TWINS = LEGS_SQL.replace("\nlegs AS (", "\nlegs0 AS (") + f""",
+legs AS (SELECT * FROM legs0 UNION ALL SELECT * REPLACE ('B' || substr(account_id, 2, 7) AS account_id, -leg_id AS leg_id) FROM legs0 WHERE {_TWIN})"""
+#: From this share of equal parties on, in percent, two accounts that never dealt are a pair: 5 of 100 points from parties
+#: alone need an eighth in both directions or a quarter in one.
+RELATED = 12
+_ALIKE = f"{_similar_sql('beneficiaries', 'debit', RELATED, 'near')}, {_similar_sql('sources', 'credit', RELATED, 'near')}"
+
+
+def class_members(ledger: DataFrame) -> DataFrame:
+    """(shares, account_id, class): the class of each account, by whom it pays and by whom it is paid."""
+    sides = {"beneficiaries": "debit", "sources": "credit"}
+    return reduce(DataFrame.unionByName, (set_classes(parties(ledger, x)).select(F.lit(k).alias("shares"), "account_id", "class") for k, x in sides.items()))
+
+
+register("jn_classes", lambda s, d: class_members(with_twins(legs(s, d))), f"WITH {_TWINS}, {_ALIKE} SELECT 'beneficiaries' AS shares, account_id, id AS class FROM (SELECT id, unnest(ids) AS account_id FROM debit_classes) x UNION ALL SELECT 'sources', account_id, id FROM (SELECT id, unnest(ids) AS account_id FROM credit_classes) y")
+
+
+def related_pairs(ledger: DataFrame, percent: int = RELATED) -> DataFrame:
+    """(a, b): accounts that dealt with each other, those that share `percent` of whom they pay or of who pays them, and those with equal sets.
+
+    Accounts with equal sets are pairs with their class's first account, which stands for all of them in pairs with
+    other classes; class_members tells who they are.
+    """
+    found = [linked_pairs(ledger)]
+    for side in ("debit", "credit"):
+        classes = checkpointed(set_classes(parties(ledger, side)))
+        found.append(similar_sets(parties(ledger, side), percent, classes).select("a", "b").filter("a <> b"))
+        found.append(classes.filter("account_id <> class").select(F.col("class").alias("a"), F.col("account_id").alias("b")))
+    return checkpointed(reduce(DataFrame.unionByName, found).distinct())
 
 
-_PAIRS = f"{_SIMILAR}, pairs AS MATERIALIZED (SELECT DISTINCT least(account_id, cp) AS a, greatest(account_id, cp) AS b FROM legs WHERE account_id <> cp UNION SELECT a, b FROM debit_similar WHERE a <> b UNION SELECT a, b FROM credit_similar WHERE a <> b)"
-register("jn_pairs", lambda s, d: related_pairs(legs(s, d)), f"{_PAIRS} SELECT a, b FROM pairs")
+_PAIRS = f"WITH {_TWINS}, {_ALIKE}, pairs AS MATERIALIZED (SELECT DISTINCT least(account_id, cp) AS a, greatest(account_id, cp) AS b FROM legs WHERE account_id <> cp UNION SELECT a, b FROM debit_near WHERE a <> b UNION SELECT a, b FROM credit_near WHERE a <> b UNION SELECT id, b FROM (SELECT id, unnest(ids) AS b FROM debit_classes UNION ALL SELECT id, unnest(ids) FROM credit_classes) z WHERE id <> b)"
+register("jn_pairs", lambda s, d: related_pairs(with_twins(legs(s, d))), f"{_PAIRS} SELECT a, b FROM pairs")
 
 
 def common_times(ledger: DataFrame, pairs: DataFrame, hours: int = 2) -> DataFrame:
@@ -129,7 +179,7 @@ def common_times(ledger: DataFrame, pairs: DataFrame, hours: int = 2) -> DataFra
 _TIMES = f"""{_PAIRS}, hit AS (SELECT a, b, l.leg_id FROM pairs JOIN legs l ON l.account_id = a JOIN legs m ON m.account_id = b AND m.ts BETWEEN l.ts - INTERVAL 2 HOUR AND l.ts + INTERVAL 2 HOUR GROUP BY ALL),
 own AS (SELECT account_id, count(*) AS rows FROM legs GROUP BY 1),
 times AS (SELECT a, b, round(count(*) / any_value(own.rows), 6) AS cooccurrence FROM hit JOIN own ON account_id = a GROUP BY 1, 2)"""
-register("jn_cooccur", lambda s, d: (lambda x: common_times(x, related_pairs(x)))(legs(s, d)), f"{_TIMES} SELECT * FROM times")
+register("jn_cooccur", lambda s, d: (lambda x: common_times(x, related_pairs(x)))(with_twins(legs(s, d))), f"{_TIMES} SELECT * FROM times")
 
 
 def daily_correlation(ledger: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -151,14 +201,14 @@ sums AS (SELECT account_id, count(*) AS days, CAST(sum(n) AS BIGINT) AS s, CAST(
 common AS (SELECT a, b, count(*) AS common, CAST(sum(x.n * y.n) AS BIGINT) AS xy FROM pairs JOIN days x ON x.account_id = a JOIN days y ON y.account_id = b AND y.date = x.date GROUP BY 1, 2),
 moments AS (SELECT a, b, p.s AS sa, q.s AS sb, p.q AS qa, q.q AS qb, p.days + q.days - coalesce(common, 0) AS n, coalesce(xy, 0) AS xy FROM pairs JOIN sums p ON p.account_id = a JOIN sums q ON q.account_id = b LEFT JOIN common USING (a, b)),
 daily AS (SELECT a, b, round(greatest(coalesce(CAST(n * xy - sa * sb AS DOUBLE) / sqrt(nullif(CAST(n * qa - sa * sa AS DOUBLE) * CAST(n * qb - sb * sb AS DOUBLE), 0)), 0), 0), 6) AS correlation FROM moments)"""
-register("wn_daily_corr", lambda s, d: (lambda x: daily_correlation(x, related_pairs(x)))(legs(s, d)), f"{_DAILY} SELECT * FROM daily")
+register("wn_daily_corr", lambda s, d: (lambda x: daily_correlation(x, related_pairs(x)))(with_twins(legs(s, d))), f"{_DAILY} SELECT * FROM daily")
 
 
 def relationships(ledger: DataFrame, community: DataFrame | None = None) -> DataFrame:
     """Six scores of each related pair, their weighted sum, its type and a confidence.
 
     `community` is (account_id, community_id); without it nothing is scored for a common community.  A pair that isn't
-    related (see related_pairs) could score for times, words and community alone, at most 30.
+    related (see related_pairs) gets no row: parties give it less than 5 points, times, words and community 30 at most.
     """
     pairs = related_pairs(ledger)
     paid = ledger.filter("debit > 0").groupBy(F.least("account_id", "cp").alias("a"), F.greatest("account_id", "cp").alias("b")).agg(F.count("*").alias("txns"), F.sum("debit").cast("double").alias("moved"))
@@ -197,7 +247,7 @@ total AS (SELECT *, least(100.0::DOUBLE, 0.3::DOUBLE * d + 0.2::DOUBLE * sb + 0.
 relations AS (SELECT a AS account_a, b AS account_b, round(d, 1) AS direct_transfer_score, round(sb, 1) AS shared_beneficiary_score, round(ss, 1) AS shared_source_score, 0.0::DOUBLE AS community_overlap_score, round(tc, 1) AS temporal_correlation_score, round(sn, 1) AS shared_narrative_score, round(t, 1) AS relationship_score,
   CASE WHEN d >= 50 THEN 'Direct Transactor' WHEN sb >= 40 AND ss >= 40 THEN 'Shared Infrastructure' WHEN t >= 25 THEN 'Suspicious Association' WHEN t >= 5 THEN 'Weak Association' ELSE 'Unrelated' END AS relationship_type,
   round(least(100.0::DOUBLE, 20.0::DOUBLE * ((d >= 10)::INT + (sb >= 10)::INT + (ss >= 10)::INT + (tc >= 10)::INT + (sn >= 10)::INT) + 10.0::DOUBLE * ln(1 + n)), 1) AS confidence, txns IS NOT NULL AS has_direct_txn FROM total)"""
-register("gr_relationship", lambda s, d: relationships(legs(s, d)), f"{_RELATIONS} SELECT * FROM relations")
+register("gr_relationship", lambda s, d: relationships(with_twins(legs(s, d))), f"{_RELATIONS} SELECT * FROM relations")
 
 
 def longest_chains(chains: DataFrame) -> DataFrame:

@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import register
-from ..schema import BENEFICIARY, WEIGHTS, day
+from ..schema import BENEFICIARY, day
 from ..sources.ledger_view import LEGS_SQL, legs
-from .graph import _pairs, communities
-from .paths import round_trips
-from .windows import fan, iqr_outliers, odd_hours, smurfing, velocity
+from .windows import iqr_outliers, velocity
 
 
 def beneficiaries(ledger: DataFrame) -> DataFrame:
@@ -113,38 +111,7 @@ def risk_tier(score: Column, high_seen: Column) -> Column:
     return F.when(high_seen, tier).otherwise(F.when(score >= 45, "CRITICAL").when(score >= 30, "HIGH").when(score >= 25, "MEDIUM").otherwise("LOW"))
 
 
-def risk(ledger: DataFrame) -> DataFrame:
-    """(account_id, risk_score, risk_tier, active_patterns) from the patterns that can be told without the graph."""
-    accounts = ledger.groupBy("account_id").agg(F.count("*").alias("n"))
-    trips = round_trips(ledger)
-    counts = {
-        "round_trip": trips.select(F.explode(F.array("account_a", "account_b")).alias("account_id")).groupBy("account_id").agg(F.count("*").alias("round_trip")),
-        "fan_in": fan(ledger, "in").groupBy("account_id").agg(F.count("*").alias("fan_in")),
-        "fan_out": fan(ledger, "out").groupBy("account_id").agg(F.count("*").alias("fan_out")),
-        "smurfing": smurfing(ledger).groupBy(F.col("account").alias("account_id")).agg(F.count("*").alias("smurfing")),
-        "odd_hour": odd_hours(ledger).groupBy(F.col("account").alias("account_id")).agg(F.count("*").alias("odd_hour")),
-        "velocity": velocity(ledger).filter("is_velocity_flag").groupBy("account_id").agg(F.count("*").alias("velocity")),
-        "new_hv_bene": beneficiaries(ledger).filter("is_new_high_value_bene").groupBy("account_id").agg(F.count("*").alias("new_hv_bene")),
-    }
-    for table in counts.values():
-        accounts = accounts.join(table, "account_id", "left")
-    level = {k: count_score(F.col(k)) for k in ("round_trip", "fan_in", "fan_out", "smurfing", "odd_hour")}
-    level["velocity"] = F.least(F.sqrt(F.coalesce("velocity", F.lit(0)) / F.col("n")), F.lit(1.0))
-    level["new_hv_bene"] = F.when(F.col("new_hv_bene") > 0, 1.0).otherwise(0.0)
-    raw = sum((WEIGHTS[k] * v for k, v in level.items()), F.lit(0.0)) * 100
-    active = F.array_compact(F.array(*(F.when(v > 0, k.upper()) for k, v in level.items())))
-    scored = accounts.select("account_id", F.least(F.round(raw, 1), F.lit(100.0)).alias("risk_score"), F.when(F.size(active) == 0, "NONE").otherwise(F.array_join(active, " | ")).alias("active_patterns"))
-    seen = scored.agg((F.max("risk_score") >= 50).alias("high_seen"))
-    return scored.crossJoin(F.broadcast(seen)).select("account_id", "risk_score", risk_tier(F.col("risk_score"), F.col("high_seen")).alias("risk_tier"), "active_patterns")
-
-
-register("ag_risk", lambda s, d: risk(legs(s, d)))
-
-
 def community_risk(labels: DataFrame, scores: DataFrame) -> DataFrame:
     """(community, n_accounts, avg_risk, max_risk) over the scored accounts of each community; others don't count."""
     members = labels.select(F.col("id").alias("account_id"), "community").join(scores.select("account_id", "risk_score"), "account_id")
     return members.groupBy("community").agg(F.count("*").alias("n_accounts"), F.round(F.avg("risk_score"), 2).alias("avg_risk"), F.round(F.max("risk_score"), 2).alias("max_risk"))
-
-
-register("ag_community_risk", lambda s, d: community_risk(communities(_pairs(s, d)), risk(legs(s, d))))
