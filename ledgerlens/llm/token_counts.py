@@ -37,6 +37,8 @@ class PrefixCounter:
         self.of_word: dict[str, Row] = {}
         self.of_piece: dict[str, int] = {"": 0}
         self.last_spans: tuple = (None, None)
+        self.long_word: tuple = (None, None)
+        self.last_symbols: tuple = (None, "", [])
 
     def _apart(self, left: str, right: str, before: float = float("inf")) -> bool:
         """Whether no merge across the border comes before the merges that made both sides.
@@ -87,15 +89,26 @@ class PrefixCounter:
         return counts if closed else open_counts
 
     def _word(self, word: str) -> Row:
+        """The word's row, walked once; of long words the last one's row stays, for all cuts of it."""
         got = self.of_word.get(word)
         if got is None:
+            if self.long_word[0] == word:
+                return self.long_word[1]
             got = self._walk(word)
             if len(word) <= CACHED_LENGTH:
                 if len(self.of_word) >= CACHED:
                     self.of_word.clear()
                 self.of_word[word] = got
+            else:
+                self.long_word = (word, got)
         return got
 
+    def _symbols(self, word: str) -> tuple[str, list[int]]:
+        """A word in byte symbols, and how many of them each of its prefixes has; the last word's stay."""
+        if self.last_symbols[0] != word:
+            self.last_symbols = (word, self.vocab.shown(word), list(itertools.accumulate([len(c.encode("utf-8")) for c in word], initial=0)))
+        return self.last_symbols[1:]
+
     def _walk(self, word: str) -> Row:
         """The word's row of the table: its own count, and for each of its prefixes the open count and the last token's start.
 
@@ -137,17 +150,32 @@ class PrefixCounter:
         parts = vocab.splitter.split(piece) if vocab.splitter and "<" in piece else [piece]
         return sum(1 if i % 2 else sum([self._word(w)[0] for w in vocab.words(part)]) for i, part in enumerate(parts))
 
-    def _spans(self, piece: str) -> tuple[list[int], list[str], list[int]] | None:
-        """Starts and texts of a piece's words and the counts before them; None where code points don't stay in place."""
+    def _spans(self, piece: str) -> tuple[list[int], list[str], list[int], dict[int, int]] | None:
+        """Starts and texts of a piece's words, special tokens among them, the counts before them, and for special ones the word that their plain text joins.
+
+        None where code points don't stay in place, as decomposed letters.
+        """
         if self.last_spans[0] != piece:
-            vocab, spans = self.vocab, None
-            if not (vocab.splitter and "<" in piece and vocab.splitter.search(piece)):
-                normal = vocab.normal(piece)
-                if piece.isascii() or unicodedata.is_normalized("NFC", piece) and len(normal) == len(piece):
-                    found = list(WORDS.finditer(normal))
-                    words = [m[0] for m in found]
-                    counts = list(itertools.accumulate([self._word(vocab.shown(w))[0] for w in words], initial=0))
-                    spans = [m.start() for m in found], words, counts
+            vocab = self.vocab
+            parts = vocab.splitter.split(piece) if vocab.splitter and "<" in piece else [piece]
+            starts, words, counts, special, at, spans = [], [], [0], {}, 0, None
+            for k, part in enumerate(parts):
+                if k % 2:
+                    special[len(words)] = first
+                    starts.append(at)
+                    words.append(part)
+                    counts.append(counts[-1] + 1)
+                else:
+                    first, normal = len(words), vocab.normal(part)
+                    if not (part.isascii() or unicodedata.is_normalized("NFC", part) and len(normal) == len(part)):
+                        break
+                    for m in WORDS.finditer(normal):
+                        starts.append(at + m.start())
+                        words.append(m[0])
+                        counts.append(counts[-1] + self._word(vocab.shown(m[0]))[0])
+                at += len(part)
+            else:
+                spans = starts, words, counts, special
             self.last_spans = (piece, spans)
         return self.last_spans[1]
 
@@ -156,28 +184,36 @@ class PrefixCounter:
         spans = self._spans(piece)
         if spans is None:
             return self._piece(piece[:i])
-        starts, words, counts = spans
+        starts, words, counts, special = spans
         k = bisect.bisect_left(starts, i) - 1
         if k < 0:
             return 0
         word, inside = words[k], min(i - starts[k], len(words[k]))
-        if word[0] == "'" and 1 < inside < len(word):  # a cut contraction is two words
+        if k in special and inside < len(word):  # a cut special token is plain text, as what stands before it
+            first = special[k]
+            return counts[first] + self._piece(piece[starts[first] : i])
+        if inside == len(word) or k in special:
+            return counts[k + 1]
+        if word[0] == "'" and inside > 1:  # a cut contraction is two words
             return counts[k] + self._piece(word[:inside])
-        shown = self.vocab.shown
-        return counts[k] + self.word_prefix(shown(word), len(shown(word[:inside])))
+        shown, at = self._symbols(word)
+        return counts[k] + self.word_prefix(shown, at[inside])
 
     def longest_cut(self, piece: str, budget: int) -> int:
         """Code points of the longest part of a piece, short of all of it, that takes at most `budget` tokens."""
         spans = self._spans(piece)
         if spans is None:
             return next((i for i in range(len(piece) - 1, 0, -1) if self._piece(piece[:i]) <= budget), 0)
-        starts, words, counts = spans
+        starts, words, counts, special = spans
         k = bisect.bisect_right(counts, budget) - 1  # the word that passes the budget
         if k >= len(words):
             return len(piece) - 1
         word = words[k]
-        left, shown = budget - counts[k], self.vocab.shown(word)
-        at, row = list(itertools.accumulate([len(c.encode("utf-8")) for c in word], initial=0)), self._word(shown)
+        if k in special:
+            return next((starts[k] + i for i in range(len(word) - 1, 0, -1) if self.piece_prefix(piece, starts[k] + i) <= budget), starts[k])
+        left = budget - counts[k]
+        shown, at = self._symbols(word)
+        row = self._word(shown)
         for i in range(len(word) - 1, 0, -1):
             if word[0] == "'" and i > 1:
                 n = self._piece(word[:i])

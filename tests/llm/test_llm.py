@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -151,6 +152,20 @@ def test_prefix_counts_and_streams(library):
         assert [vocab.ids[t] for t in vocab.stream(word)] == ids(word)
 
 
+def test_every_prefix_without_encoding_again(library):
+    path, tokenizer = library
+    counter = PrefixCounter(Vocabulary(path))
+    ids = lambda text: len(tokenizer.encode(text, add_special_tokens=False).ids)
+    for text in ("say<|endoftext|>it's don't<|startoftext|><|endoftext|>end", "x" * 120 + "é" * 60, "e\u0301 a<|endoftext", "漢字'll 12", "İ<|endoftext|>ß", "a<b <| |> <|endoftext|>"):
+        table = counter.table(text)
+        assert table.every() == [ids(text[:i]) for i in range(len(text) + 1)]
+        for budget in range(table.total + 1):
+            assert table.longest_prefix(budget) == max(i for i in range(len(text) + 1) if ids(text[:i]) <= budget)
+    began = time.time()
+    word = "".join(random.Random(3).choice("etaoin") for _ in range(50_000))
+    assert counter.table(word).every()[-1] == ids(word) and time.time() - began < 60
+
+
 def test_chat_reads_back(spark):
     texts = ["</s>[INST] ok [/INST]", "<sep>", "&lt;", "", None, "a\nb", "<s user>x</s>"]
     roles = ["user", "assistant", "assistant", "user", None, "sys<>&", "assistant"]
