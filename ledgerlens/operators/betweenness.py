@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import register
-from ..plans.fixpoint import checkpointed
+from ..plans.fixpoint import checkpointed, once
 from ..sources.ledger_view import legs
 from .graph import _pairs, degrees, pagerank, with_centrality
 
@@ -90,19 +90,28 @@ def betweenness(pairs: DataFrame, pivots: int = PIVOTS, growth: int = 8) -> Data
     return nodes.join(sums, "id", "left").fillna(0.0, ["betweenness"])
 
 
-def graph_metrics(pairs: DataFrame, accounts: DataFrame, pivots: int = PIVOTS) -> DataFrame:
+def graph_metrics(pairs: DataFrame, accounts: DataFrame, between: DataFrame | None = None) -> DataFrame:
     """(account_id, pagerank, betweenness, in_degree, out_degree, degree_centrality, graph_risk_score) of the accounts (account_id).
 
     The score is the sum of the three measures over its largest among the accounts; accounts without a link have zeros.
+    `between` is betweenness() of the pairs where it is known already.
     """
     measured = with_centrality(degrees(pairs)).select("id", "in_degree", "out_degree", "degree_centrality")
-    measured = measured.join(pagerank(pairs), "id").join(betweenness(pairs, pivots), "id").withColumnRenamed("id", "account_id")
+    measured = measured.join(pagerank(pairs), "id").join(betweenness(pairs) if between is None else between, "id").withColumnRenamed("id", "account_id")
     rows = checkpointed(accounts.select("account_id").distinct().join(measured, "account_id", "left").fillna(0).withColumn("raw", F.col("pagerank") + F.col("betweenness") + F.col("degree_centrality")))
     top = rows.agg(F.max("raw").alias("top"))
     score = F.coalesce(F.try_divide("raw", "top"), F.lit(0.0))
     return rows.crossJoin(F.broadcast(top)).select("account_id", F.round("pagerank", 6).alias("pagerank"), F.round("betweenness", 6).alias("betweenness"), "in_degree", "out_degree", F.round("degree_centrality", 6).alias("degree_centrality"), F.round(score, 4).alias("graph_risk_score"))
 
 
+def _between(s, d):
+    return once(s, "betweenness", d, lambda: betweenness(_pairs(s, d)))
+
+
+def _metrics(s, d):
+    return once(s, "graph metrics", d, lambda: graph_metrics(_pairs(s, d), legs(s, d), _between(s, d)))
+
+
 # Counting all shortest paths in SQL is too slow on the whole graph; tests hold both against brute force.
-register("gr_betweenness", lambda s, d: betweenness(_pairs(s, d)).select(F.col("id").alias("account_id"), F.round("betweenness", 9).alias("betweenness")))
-register("gr_graph_risk", lambda s, d: graph_metrics(_pairs(s, d), legs(s, d)))
+register("gr_betweenness", lambda s, d: _between(s, d).select(F.col("id").alias("account_id"), F.round("betweenness", 9).alias("betweenness")))
+register("gr_graph_risk", _metrics)

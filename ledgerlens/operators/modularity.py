@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import register
-from ..plans.fixpoint import checkpointed
+from ..plans.fixpoint import checkpointed, once
 from .graph import _pairs, community_summary
 
 #: Gains below this end a level and the search; rounds of one level beyond which it counts as not converging.
@@ -90,5 +90,9 @@ def modular_communities(pairs: DataFrame) -> DataFrame:
 
 
 # Moves depend on all moves before, which SQL can't follow; tests hold planted parts and the gain over label rounds.
-register("gr_community", lambda s, d: modular_communities(_pairs(s, d)).withColumnRenamed("id", "account_id"))
-register("ag_community_summary", lambda s, d: (lambda p: community_summary(p, modular_communities(p)))(_pairs(s, d)))
+def _communities(s, d):
+    return once(s, "communities", d, lambda: modular_communities(_pairs(s, d)))
+
+
+register("gr_community", lambda s, d: _communities(s, d).withColumnRenamed("id", "account_id"))
+register("ag_community_summary", lambda s, d: community_summary(_pairs(s, d), _communities(s, d)))

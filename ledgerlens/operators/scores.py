@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import ORACLES, register
-from ..plans.fixpoint import checkpointed
+from ..plans.fixpoint import checkpointed, once
 from ..schema import ODD, WEIGHTS, epoch
 from ..sources.ledger_view import LEGS_SQL, balanced, legs
-from .betweenness import graph_metrics
-from .graph import account_graph, transaction_edges
-from .modularity import modular_communities
+from .betweenness import _metrics
+from .modularity import _communities
 from .paths import layering, round_trips
 from .risk import beneficiaries, community_risk, count_score, risk_tier
 from .windows import balance_breaks, fan, iqr_outliers, odd_hours, smurfing, velocity
@@ -108,9 +107,7 @@ def _ledger(s, d):
 
 
 def _records(s, d):
-    ledger = _ledger(s, d)
-    pairs = checkpointed(account_graph(transaction_edges(ledger)).drop("leg_ids"))
-    return risk(ledger, graph_metrics(pairs, ledger), modular_communities(pairs))
+    return once(s, "risk records", d, lambda: risk(_ledger(s, d), _metrics(s, d), _communities(s, d)))
 
 
 _SHOWN = ["account_id", "risk_score", "risk_tier", *(f"flag_{p}" for p in PATTERNS), "active_patterns", "risk_reasoning"]
@@ -140,17 +137,15 @@ SELECT account_id, risk_score, CASE WHEN high THEN CASE WHEN risk_score >= 75 TH
   {", ".join(f"l_{p} > 0 AS flag_{p}" for p in PATTERNS)},
   coalesce(nullif(concat_ws(' | ', {", ".join(f"CASE WHEN l_{p} > 0 THEN '{p.upper()}' END" for p in PATTERNS)}), ''), 'NONE') AS active_patterns,
   coalesce(nullif(concat_ws(' | ', {", ".join(f"CASE WHEN l_{p} > 0 THEN {_told[p]} END" for p in PATTERNS)}), ''), '{REASONS["none"]}') AS risk_reasoning FROM scored CROSS JOIN seen"""
-# The whole record needs ranks and shortest paths; without the graph's part SQL gives it too.
-register("ag_risk", _records)
-register("ag_risk_patterns", lambda s, d: risk(_ledger(s, d)).select(_SHOWN), _RISK)
+# Without the graph's part SQL gives the record; the whole one needs ranks, shortest paths and communities.
+register("ag_risk", lambda s, d: risk(_ledger(s, d)).select(_SHOWN), _RISK)
+register("ag_risk_graph", _records)
 register("ag_reasoning", lambda s, d: risk(_ledger(s, d)).select("account_id", F.explode(F.split("risk_reasoning", r" \| ")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n_accounts")), f"SELECT reason, count(*) AS n_accounts FROM (SELECT unnest(string_split(risk_reasoning, ' | ')) AS reason FROM ({_RISK}) r) x GROUP BY 1")
 register("tk_risk", lambda s, d: risk(_ledger(s, d)).select("account_id", "risk_score", "risk_tier").orderBy(F.desc("risk_score"), "account_id").limit(100), f"SELECT account_id, risk_score, risk_tier FROM ({_RISK}) r ORDER BY risk_score DESC, account_id LIMIT 100")
 
 
 def _community_risk(s, d):
-    ledger = _ledger(s, d)
-    pairs = checkpointed(account_graph(transaction_edges(ledger)).drop("leg_ids"))
-    return community_risk(modular_communities(pairs), risk(ledger, graph_metrics(pairs, ledger)))
+    return community_risk(_communities(s, d), _records(s, d))
 
 
 register("ag_community_risk", _community_risk)

@@ -35,3 +35,14 @@ def fixpoint(state: DataFrame, step: Callable[[DataFrame], DataFrame], changed:
         if state.filter(changed).limit(1).count() == 0:
             return state
     raise ArithmeticError(f"rows still change after {most} steps")
+
+
+_SHARED: dict[tuple, DataFrame] = {}
+
+
+def once(spark: SparkSession, name: str, sf_dir: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A written table that several queries of one application read: built by the first, for tables below sf_dir that don't change meanwhile."""
+    key = (spark.sparkContext.applicationId, name, sf_dir)
+    if key not in _SHARED:
+        _SHARED[key] = checkpointed(build())
+    return _SHARED[key]
