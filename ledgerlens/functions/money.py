@@ -1,60 +1,59 @@
-"""Amounts in words, signs, brackets and currencies."""
+"""Amounts in words, signs, brackets and currencies, read by one grammar: sign, mark, number, unit, mark."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What counts as no amount, and currencies that are dropped.
+#: What counts as no amount, currencies that are dropped, marks of the sides, and units.
 BLANK = ["", "-", "--", "nil", "n/a", "nan", "none"]
 CURRENCY = r"(?i)[₹$£€]|INR|Rs\.?|USD|GBP|EUR"
+CREDIT, DEBIT = ["cr", "c"], ["dr", "d"]
+UNITS = {"lakh": 1e5, "lac": 1e5, "crore": 1e7}
+
+_MARK, _UNIT = "|".join(CREDIT + DEBIT), "|".join(UNITS)
+#: A minus, a mark in front, what stands between, and a mark behind; and a number with its unit anywhere.
+_SIGNED = rf"(?is)^\s*(-?)\s*(?:({_MARK})\b)?(.*?)\s*({_MARK})?\s*$"
+_MEASURED = rf"(?i)(\d[\d,]*\.?\d*|,[\d,]*\.?\d*)\s*({_UNIT})\b"
+
+
+def _inside(text: Column) -> tuple[Column, Column]:
+    """Whether a text stands in brackets, and what stands in them."""
+    held = text.startswith("(") & text.endswith(")")
+    return held, F.when(held, F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(text)
+
+
+def _number(text: Column) -> Column:
+    """The number that a text's digits make, with its first dot; 0 if they make none."""
+    kept = F.regexp_replace(text, r"[^\d.\-]", "")
+    whole = F.regexp_replace(kept, r"(?<=\.[^.]{0,99})\.", "")
+    return F.abs(F.coalesce(whole.try_cast("double"), F.lit(0.0)))
 
 
 def with_amount(rows: DataFrame, raw: str, name: str) -> DataFrame:
-    """Adds a signed amount: brackets, leading '-', DR or D are negative; lakh, lac and crore multiply; unreadable text is 0.
-
-    Each step is a column of its own, as one expression would repeat the steps before it many times over.
-    """
-    c = lambda x: F.col(f"_{x}")
-    credit_end, debit_end = r"(?i)(cr|c)\s*$", r"(?i)(dr|d)\s*$"
-    credit_start, debit_start = r"(?i)^\s*(cr|c)\b", r"(?i)^\s*(dr|d)\b"
-    in_words = r"(?i)([\d,]+\.?\d*)\s*(lakh|lac|crore)\b"
-    steps = {
-        "t": F.trim(raw),
-        "bracket": c("t").startswith("(") & c("t").endswith(")"),
-        "s": F.trim(F.regexp_replace(F.when(c("bracket"), F.substring(c("t"), F.lit(2), F.length(c("t")) - 2)).otherwise(c("t")), CURRENCY, "")),
-        "number": F.regexp_extract(c("s"), in_words, 1),
-        "times": F.when(F.lower(F.regexp_extract(c("s"), in_words, 2)) == "crore", 10_000_000.0).otherwise(100_000.0),
-        "ends": F.when(c("s").rlike(credit_end), "c").when(c("s").rlike(debit_end), "d").otherwise(""),
-        "cut": F.when(c("ends") == "c", F.trim(F.regexp_replace(c("s"), credit_end, ""))).when(c("ends") == "d", F.trim(F.regexp_replace(c("s"), debit_end, ""))).otherwise(c("s")),
-        "starts": F.when(c("cut").rlike(credit_start), "c").when(c("cut").rlike(debit_start), "d").otherwise(""),
-        "rest": F.regexp_replace(F.regexp_replace(c("cut"), credit_start, ""), debit_start, ""),
-        "digits": F.regexp_replace(F.regexp_replace(c("rest"), ",", ""), r"[^\d.\-]", ""),
-        "head": F.substring_index(c("digits"), ".", 1),
-        "one_dot": F.when(F.length(c("digits")) - F.length(F.replace(c("digits"), F.lit("."), F.lit(""))) > 1, F.concat(c("head"), F.lit("."), F.replace(F.substring(c("digits"), F.length(c("head")) + 2, F.length(c("digits"))), F.lit("."), F.lit("")))).otherwise(c("digits")),
-        "value": F.when(c("number") != "", F.replace(c("number"), F.lit(","), F.lit("")).try_cast("double") * c("times")).otherwise(F.abs(F.coalesce(c("one_dot").try_cast("double"), F.lit(0.0)))),
-        "minus": c("bracket") | c("s").rlike(r"^\s*-") | ((c("number") == "") & ((c("ends") == "d") | (c("starts") == "d"))),
-    }
-    for step, column in steps.items():
-        rows = rows.withColumn(f"_{step}", column)
-    blank = F.col(raw).isNull() | F.lower(c("t")).isin(BLANK)
-    rows = rows.withColumn(name, F.when(blank, 0.0).otherwise(F.when(c("minus") & (c("value") != 0), -c("value")).otherwise(c("value"))))
-    return rows.drop(*(f"_{x}" for x in steps))
+    """Adds a signed amount: brackets, a minus and, without a unit, a debit mark make it negative; unreadable text is 0."""
+    held, inner = _inside(F.trim(raw))
+    parsed = rows.withColumns({"_held": held, "_text": F.trim(F.regexp_replace(inner, CURRENCY, ""))})
+    group = lambda pattern, k: F.lower(F.regexp_extract("_text", pattern, k))
+    parsed = parsed.withColumns({"_unit": group(_MEASURED, 2), "_size": group(_MEASURED, 1), "_minus": group(_SIGNED, 1), "_front": group(_SIGNED, 2), "_body": group(_SIGNED, 3), "_back": group(_SIGNED, 4)})
+    times = F.element_at(F.create_map(*(F.lit(x) for u in UNITS.items() for x in u)), F.col("_unit"))
+    value = F.when(F.col("_unit") != "", _number(F.col("_size")) * times).otherwise(_number(F.concat("_minus", "_body")))
+    owed = (F.col("_unit") == "") & (F.col("_back").isin(DEBIT) | F.col("_front").isin(DEBIT))
+    negative = F.col("_held") | (F.col("_minus") != "") | owed
+    blank = F.col(raw).isNull() | F.lower(F.trim(raw)).isin(BLANK)
+    amount = F.when(blank, 0.0).otherwise(F.when(negative & (value != 0), -value).otherwise(value))
+    return parsed.withColumn(name, amount).drop("_held", "_text", "_unit", "_size", "_minus", "_front", "_body", "_back")
 
 
 def parse_unsigned(raw: Column) -> Column:
-    """struct(amount, sign): the size of the amount and '+', '-' or ''."""
-    t = F.trim(raw)
-    start = r"(?i)^\s*(cr|dr)\b\.?\s*"
-    first = F.lower(F.regexp_extract(t, start, 1))
-    s = F.trim(F.regexp_replace(t, start, ""))
-    minus = s.startswith("-")
-    s = F.when(minus, F.substring(s, 2, 1 << 30)).otherwise(s)
-    bracket = s.startswith("(") & s.endswith(")")
-    s = F.when(bracket, F.substring(s, F.lit(2), F.length(s) - 2)).otherwise(s)
-    last = F.lower(F.regexp_extract(s, r"(?i)(cr|dr)\s*$", 1))
-    sign = F.when(first == "cr", "+").when((first == "dr") | minus | bracket, "-").when(last == "cr", "+").when(last == "dr", "-").otherwise("")
-    s = F.regexp_replace(F.regexp_replace(s, r"(?i)[₹$£€]|INR|Rs\.?", ""), r"[^\d.]", "")
-    amount = F.abs(F.coalesce(s.try_cast("double"), F.lit(0.0)))
-    blank = raw.isNull() | t.isin("", "-", "--", "nil", "n/a", "nan")
+    """struct(amount, sign): the size of the amount and '+', '-' or '': a mark in front decides, then a minus or brackets, then a mark behind."""
+    sides = {"cr": "+", "dr": "-"}
+    grammar = r"(?is)^\s*(?:(cr|dr)\b\.?\s*)?(-?)(\(?)(.*?)(cr|dr)?(\)?)\s*$"
+    part = lambda k: F.lower(F.regexp_extract(F.trim(raw), grammar, k))
+    side = lambda mark: F.element_at(F.create_map(*(F.lit(x) for s in sides.items() for x in s)), F.nullif(mark, F.lit("")))
+    held = (part(3) != "") & (part(6) != "")
+    less = F.when((part(2) != "") | held, "-")
+    amount = F.coalesce(F.regexp_replace(F.regexp_replace(part(4), r"(?i)[₹$£€]|INR|Rs\.?", ""), r"[^\d.]", "").try_cast("double"), F.lit(0.0))
+    blank = raw.isNull() | F.trim(raw).isin("", "-", "--", "nil", "n/a", "nan")
+    sign = F.when(side(part(1)) == "-", "-").otherwise(F.coalesce(side(part(1)), less, F.when(held | (part(6) == ""), side(part(5))), F.lit("")))
     return F.struct(F.when(blank, 0.0).otherwise(amount).alias("amount"), F.when(blank, "").otherwise(sign).alias("sign"))
