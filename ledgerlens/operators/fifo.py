@@ -26,22 +26,26 @@ def fifo_stretches(ledger: DataFrame) -> DataFrame:
     return rows.withColumn("prior", F.col("l") - F.coalesce(F.lag("l").over(order), F.lit(0).cast(WIDE)))
 
 
-def fifo_allocate(ledger: DataFrame, buckets: int = 16) -> DataFrame:
+def fifo_allocate(ledger: DataFrame) -> DataFrame:
     """(account_id, credit_id, debit_id, allocated); credit_id is null for money from before the first credit.
 
-    Overlaps are found by an equi-join on the account and the parts of its credit total that a stretch touches, so a
-    busy account's credits and debits don't all meet.  A pair is taken in the part where its overlap begins.
+    Credits own stretches that follow each other, and so do debits.  The ends of both cut an account's money into pieces:
+    each belongs to the credit and the debit that end next, at its upper end or above.  One pass from the highest end down
+    sees these, so the work is linear in the account's rows, with nothing joined.  A row without an account, or without
+    debit and credit, allocates nothing.
     """
     rows = fifo_stretches(ledger)
-    width = F.greatest(F.max("c").over(Window.partitionBy("account_id")) / buckets, F.lit(1).cast(WIDE))
-    rows = rows.withColumn("width", width)
-    part = lambda x: F.floor(x / F.col("width")).cast("int")
-    cut = lambda kind, low, high: rows.filter(F.col(kind) > 0).filter(high > low).select("account_id", F.col("leg_id").alias(f"{kind}_id"), low.alias(f"{kind}_low"), high.alias(f"{kind}_high"), "width").withColumn("part", F.explode(F.sequence(part(F.col(f"{kind}_low")), part(F.col(f"{kind}_high")))))
-    credits = cut("credit", F.col("c") - F.col("credit"), F.col("c"))
-    debits = cut("debit", F.col("f") - (F.col("debit") - F.col("prior")), F.col("f")).drop("width")
-    low, high = F.greatest("credit_low", "debit_low"), F.least("credit_high", "debit_high")
-    paid = credits.join(debits, ["account_id", "part"]).filter(high > low).filter(part(low) == F.col("part")).select("account_id", "credit_id", "debit_id", (high - low).cast(WIDE).alias("allocated"))
-    prior = rows.filter("prior > 0").select("account_id", F.lit(None).cast("long").alias("credit_id"), F.col("leg_id").alias("debit_id"), F.col("prior").cast(WIDE).alias("allocated"))
+    ends = F.array(
+        F.when(F.col("credit") > 0, F.struct(F.col("c").alias("at"), F.col("leg_id").alias("credit_id"), F.lit(None).cast("long").alias("debit_id"))),
+        F.when(F.col("debit") > F.col("prior"), F.struct(F.col("f").alias("at"), F.lit(None).cast("long").alias("credit_id"), F.col("leg_id").alias("debit_id"))),
+    )
+    marks = rows.filter("account_id is not null").select("account_id", F.explode(F.array_compact(ends)).alias("mark")).select("account_id", "mark.*")
+    down = Window.partitionBy("account_id").orderBy(F.desc("at"))
+    seen = down.rowsBetween(Window.unboundedPreceding, 0)
+    nearest = lambda c: F.last(c, ignorenulls=True).over(seen).alias(c)
+    pieces = marks.select("account_id", nearest("credit_id"), nearest("debit_id"), (F.col("at") - F.coalesce(F.lead("at").over(down), F.lit(0).cast(WIDE))).cast(WIDE).alias("allocated"))
+    paid = pieces.filter("allocated > 0 and debit_id is not null")
+    prior = rows.filter("account_id is not null and prior > 0").select("account_id", F.lit(None).cast("long").alias("credit_id"), F.col("leg_id").alias("debit_id"), F.col("prior").cast(WIDE).alias("allocated"))
     return paid.unionByName(prior)
 
 

@@ -63,7 +63,7 @@ def layering(edges: DataFrame) -> DataFrame:
     floor = edges.filter("amt > 0").agg(F.percentile(F.col("amt").cast("double"), F.lit(rule["quantile"])).alias("floor"))
     large = edges.crossJoin(F.broadcast(floor)).filter(F.col("amt").cast("double") >= F.col("floor")).drop("floor")
     step = lambda a, t, b, u: (u >= t) & (u - t <= rule["hop_hours"] * 3600) & (b >= a * F.lit(rule["keep"]).cast("decimal(3,2)"))
-    found = [p for k, p in enumerate(iterate_paths(large, rule["max_chain"], step), 1) if k >= rule["min_chain"]]
+    found = [p for k, p in enumerate(iterate_paths(large, rule["max_chain"], step, rule["hop_hours"] * 3600), 1) if k >= rule["min_chain"]]
     return reduce(DataFrame.unionByName, found)
 
 
@@ -96,17 +96,18 @@ def cycles(edges: DataFrame) -> DataFrame:
     amounts = edges.groupBy("src").agg(F.count("*").alias("n"), F.percentile(F.col("amt").cast("double"), F.lit(rule["quantile"])).alias("q"))
     floor = amounts.select("src", F.when(F.col("n") >= rule["floor_from"], F.col("q")).otherwise(0.0).alias("floor"))
     usable = edges.join(floor, "src").filter(F.col("amt").cast("double") >= F.col("floor")).drop("floor")
-    keep = F.lit(rule["keep"]).cast("decimal(3,2)")
+    keep, hop = F.lit(rule["keep"]).cast("decimal(3,2)"), rule["hop_hours"] * 3600
     step = lambda a, t, b, u: (u > t) & (u - t <= rule["hop_hours"] * 3600) & (b >= a * keep)
-    back = usable.select(F.col("src").alias("last"), F.col("dst").alias("first"), F.col("amt").alias("close_amt"), F.col("t").alias("close_t"), F.col("rid").alias("close_rid"))
+    back = usable.select(F.col("src").alias("last"), F.col("dst").alias("first"), F.col("amt").alias("close_amt"), F.col("t").alias("close_t"), F.col("rid").alias("close_rid"), F.floor(F.col("t") / hop).alias("at"))
     found = []
-    for k, open_path in enumerate(iterate_paths(usable, rule["max_hops"] - 1, step), 1):
+    for k, open_path in enumerate(iterate_paths(usable, rule["max_hops"] - 1, step, hop), 1):
         if k >= rule["min_hops"] - 1:
             closing = step(F.element_at("amts", -1), F.element_at("times", -1), F.col("close_amt"), F.col("close_t"))
             seed = F.element_at("amts", 1)
             ratio = (F.col("close_amt") >= seed * F.lit(rule["close_low"]).cast("decimal(3,2)")) & (F.col("close_amt") <= seed * F.lit(rule["close_high"]).cast("decimal(3,2)"))
             whole_days = F.floor((F.col("close_t") - F.element_at("times", 1)) / 86400) <= rule["days"]
-            found.append(open_path.join(back, ["last", "first"]).filter(closing & ratio & whole_days))
+            near = F.floor(F.element_at("times", -1) / hop)
+            found.append(open_path.withColumn("at", F.explode(F.array(near, near + 1))).join(back, ["last", "first", "at"]).filter(closing & ratio & whole_days))
     every = reduce(DataFrame.unionByName, found)
     # One row a rotation: the earliest start of the same transfers' accounts, by time, then ids.
     at = F.array_position("nodes", F.array_min("nodes")).cast("int")

@@ -10,20 +10,25 @@ from pyspark.sql import functions as F
 from .fixpoint import checkpointed
 
 
-def iterate_paths(edges: DataFrame, max_hops: int, step: Callable[[Column, Column, Column, Column], Column], distinct: bool = True) -> Iterator[DataFrame]:
+def iterate_paths(edges: DataFrame, max_hops: int, step: Callable[[Column, Column, Column, Column], Column], within: int, distinct: bool = True) -> Iterator[DataFrame]:
     """Paths of 1, 2, ... max_hops edges over (src, dst, amt, t, rid), as (first, last, nodes, amts, times, rids).
 
     `step` gets the last amount, the last time, the next amount and the next time.  With `distinct` no node comes twice.
-    The step predicate is part of each join, so paths that can't go on never reach the next shuffle.  Each
-    length is written, so that none is computed more than once.
+    A next edge comes 0 to `within` seconds after the last one, which the step predicate may narrow.  Times fall into
+    buckets of that length and are part of the join's key, so a hub's arrivals meet only the departures of their own
+    bucket and the one after.  Paths that can't go on never reach the next shuffle.  Each length is written, so that
+    none is computed more than once.
     """
-    nexts = edges.select(F.col("src").alias("last"), F.col("dst").alias("to"), F.col("amt").alias("next_amt"), F.col("t").alias("next_t"), F.col("rid").alias("next_rid"))
+    bucket = lambda t: F.floor(t / within)
+    nexts = edges.select(F.col("src").alias("last"), F.col("dst").alias("to"), F.col("amt").alias("next_amt"), F.col("t").alias("next_t"), F.col("rid").alias("next_rid"), bucket(F.col("t")).alias("at"))
     paths = edges.select(F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("nodes"), F.array("amt").alias("amts"), F.array("t").alias("times"), F.array("rid").alias("rids"))
     paths, nexts = checkpointed(paths), checkpointed(nexts)
     yield paths
     for _ in range(max_hops - 1):
-        on = step(F.element_at("amts", -1), F.element_at("times", -1), F.col("next_amt"), F.col("next_t"))
-        grown = paths.join(nexts, "last").filter(on)
+        last_t = F.element_at("times", -1)
+        on = step(F.element_at("amts", -1), last_t, F.col("next_amt"), F.col("next_t")) & (F.col("next_t") - last_t).between(0, within)
+        open_ = paths.withColumn("at", F.explode(F.array(bucket(last_t), bucket(last_t) + 1)))
+        grown = open_.join(nexts, ["last", "at"]).filter(on)
         if distinct:
             grown = grown.filter(~F.array_contains("nodes", F.col("to")))
         paths = grown.select("first", F.col("to").alias("last"), F.array_append("nodes", F.col("to")).alias("nodes"), F.array_append("amts", F.col("next_amt")).alias("amts"), F.array_append("times", F.col("next_t")).alias("times"), F.array_append("rids", F.col("next_rid")).alias("rids"))
