@@ -224,8 +224,8 @@ register(
 )
 
 
-def velocity_sums(ledger: DataFrame, days: tuple[int, ...] = (1, 7, 30)) -> DataFrame:
-    """Sums and counts of the account's earlier rows within some days.
+def with_velocity(ledger: DataFrame, days: tuple[int, ...] = (1, 7, 30)) -> DataFrame:
+    """Adds sums and counts of the account's earlier rows within some days (and the columns t, amount, own, own_n).
 
     A range frame holds the rows of the current moment too; those from the current row on are taken off again.
     """
@@ -236,7 +236,11 @@ def velocity_sums(ledger: DataFrame, days: tuple[int, ...] = (1, 7, 30)) -> Data
     for n in days:
         frame = by_account().orderBy("t").rangeBetween(-n * 86400, 0)
         out = out.withColumns({f"sum_{n}d": (F.sum("amount").over(frame) - F.col("own")).cast("double"), f"count_{n}d": F.count("*").over(frame) - F.col("own_n")})
-    return out.select("leg_id", "account_id", *(f"{k}_{n}d" for n in days for k in ("sum", "count")))
+    return out
+
+
+def velocity_sums(ledger: DataFrame, days: tuple[int, ...] = (1, 7, 30)) -> DataFrame:
+    return with_velocity(ledger, days).select("leg_id", "account_id", *(f"{k}_{n}d" for n in days for k in ("sum", "count")))
 
 
 register(
