@@ -154,18 +154,22 @@ register("gr_wcc", lambda s, d: components(_pairs(s, d)).withColumnRenamed("id",
 register("ag_graph_summary", lambda s, d: graph_summary(_pairs(s, d), legs(s, d)))
 
 
-def pagerank(pairs: DataFrame, personal: DataFrame | None = None, damping: float = 0.85, rounds: int = 100) -> DataFrame:
+def pagerank(pairs: DataFrame, personal: DataFrame | None = None, damping: float = 0.85, rounds: int = 100, others: DataFrame | None = None) -> DataFrame:
     """(id, pagerank): weighted by amounts; what dead ends hold is given out by the start weights.
 
-    `personal` is (id, weight); without it all nodes start alike.  Every round is one join on the source and one sum,
+    `personal` is (id, weight); without it, or where all weights are 0, all nodes start alike.  `others` is (id) of nodes
+    that may have no edge.  Every round is one join on the source and one sum,
     combined before the shuffle; ranks stop when they move by less than 1e-9 in sum, or after
     `rounds`, when that sum is below 2 * damping ** rounds, else it is an error.
     """
     links = pairs.join(pairs.groupBy("src").agg(F.sum("total").alias("of")), "src").select("src", "dst", (F.col("total") / F.col("of")).cast("double").alias("share"))
     links = checkpointed(links)
     nodes = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    nodes = nodes if others is None else nodes.union(others.select("id")).distinct()
     weights = nodes.withColumn("w", F.lit(1.0)) if personal is None else nodes.join(personal.select("id", F.col("weight").cast("double").alias("w")), "id", "left").fillna(0.0, ["w"])
-    start = checkpointed(weights.crossJoin(F.broadcast(weights.agg(F.sum("w").alias("all_w")))).select("id", (F.col("w") / F.col("all_w")).alias("p")).join(links.select(F.col("src").alias("id"), F.lit(True).alias("gives")).distinct(), "id", "left"))
+    sums = weights.agg(F.sum("w").alias("all_w"), F.count("*").alias("nodes"))
+    share = F.when(F.col("all_w") > 0, F.try_divide("w", "all_w")).otherwise(1 / F.col("nodes"))
+    start = checkpointed(weights.crossJoin(F.broadcast(sums)).select("id", share.alias("p")).join(links.select(F.col("src").alias("id"), F.lit(True).alias("gives")).distinct(), "id", "left"))
     ranks = start.select("id", F.col("p").alias("rank"))
     for _ in range(rounds):
         inflow = links.join(ranks.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
@@ -183,7 +187,6 @@ def pagerank(pairs: DataFrame, personal: DataFrame | None = None, damping: float
 
 
 register("gr_pagerank_w", lambda s, d: pagerank(account_graph(_edges(s, d)).drop("leg_ids")).select(F.col("id").alias("account_id"), F.round("pagerank", 6).alias("pagerank")))
-register("gr_pagerank_p", lambda s, d: (lambda p: pagerank(p, _seeds(p).withColumn("weight", F.lit(1.0))).select(F.col("id").alias("account_id"), F.round("pagerank", 6).alias("pagerank")))(account_graph(_edges(s, d)).drop("leg_ids")))
 
 
 def communities(pairs: DataFrame, rounds: int = 100) -> DataFrame:

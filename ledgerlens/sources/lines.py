@@ -13,6 +13,8 @@ HEADER_WORDS = ["date", "debit", "credit", "balance", "narration", "description"
 WRAPPED_STOPS = ["Page", "Statement", "Closing Balance", "***", "Generated", "Opening Balance", "STATEMENT OF ACCOUNT", "DATE "]
 REPORT_STOPS = ["Page Total", "Total Credit", "Total Debit", "Closing Balance", "Signature", "Order by", "*", "Date ", "GL."]
 TABLE_STOPS = ["TXN DATE", "VALUE DATE", "DESCRIPTION", "REFERENCE", "STATEMENT OF ACCOUNT", "CUSTOMER ID", "ACCOUNT NO", "PERIOD", "OPENING BALANCE", "CLOSING BALANCE", "PAGE"]
+LISTED_STOPS = ["PAGE", "TOTAL", "CLOSING BALANCE", "OPENING BALANCE", "HELPLINE", "BRANCH", "MICR", "IFSC"]
+DATED_STOPS = ["Id Date", "Total(", "Total ", "Closing Balance", "Manager/", "Date :", "***", "Report for the Period", "Service OutLet"]
 TEXT_STOPS = ["account holder", "ifsc", "page", "statement period", "generated"]
 
 AMOUNT = r"(?i)^[\d,]+\.\d{2}(CR|DR)?$"
@@ -112,18 +114,90 @@ def parse_report(lines: DataFrame) -> DataFrame:
     return one.select("source_file", "line_no", at(F.col("parts"), 1).alias("date"), F.array_join(F.slice("body", F.lit(1), F.col("words")), " ").alias("narration"), F.when(two, amount_of(F.get("amounts", 0))).otherwise(F.col("debit")).alias("debit"), F.when(two, amount_of(F.get("amounts", 1))).otherwise(F.col("credit")).alias("credit"), "balance")
 
 
+def _with_text_before(rows: DataFrame) -> DataFrame:
+    """(source_file, run, before, line, line_no): each line with is_row, and the lines with is_text right before it as one text."""
+    # A run is lines of text and the line that ends them.
+    run = F.coalesce(F.count_if(~F.col("is_text")).over(in_file().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = F.transform(F.sort_array(F.collect_list(F.when(F.col("is_text"), F.struct("line_no", "line")))), lambda x: x["line"])
+    runs = rows.withColumn("run", run).groupBy("source_file", "run").agg(F.array_join(told, " ").alias("before"), F.max(F.when(F.col("is_row"), F.col("line"))).alias("line"), F.max("line_no").alias("line_no"))
+    return runs.filter("line is not null")
+
+
 def parse_table(lines: DataFrame) -> DataFrame:
     """Rows of two dates, a narration, debit, credit and balance on one line; lines of text right before it belong to its narration."""
     pattern = r"^(\d{2}-[A-Z]{3}-\d{4})\s+(\d{2}-[A-Z]{3}-\d{4})\s+(.+?)\s+([\d,]+\.\d{2})\s+([\d,]+\.\d{2})\s+([\d,]+\.\d{2})$"
     rows = lines.withColumn("line", F.trim("line")).filter("line <> ''")
     is_row = F.col("line").rlike(pattern) & ~holds(F.upper("line"), TABLE_STOPS)
     is_text = ~is_row & ~holds(F.upper("line"), TABLE_STOPS) & (F.length("line") > 5) & ~F.col("line").rlike(r"^[\d,]+\.\d{2}") & ~F.col("line").rlike(r"^\d{2}-[A-Z]{3}")
-    rows = rows.withColumns({"is_row": is_row, "is_text": is_text})
-    # A run is lines of text and the line that ends them.
-    run = F.coalesce(F.count_if(~F.col("is_text")).over(in_file().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    runs = rows.withColumn("run", run).groupBy("source_file", "run").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("is_text"), F.struct("line_no", "line")))), lambda x: x["line"]), " ").alias("before"), F.max(F.when(F.col("is_row"), F.col("line"))).alias("line"), F.max("line_no").alias("line_no"))
+    runs = _with_text_before(rows.withColumns({"is_row": is_row, "is_text": is_text}))
     cell = lambda k: F.regexp_extract("line", pattern, k)
-    return runs.filter("line is not null").select("source_file", "line_no", cell(1).alias("date"), F.trim(F.concat("before", F.lit(" "), cell(3))).alias("narration"), cell(4).alias("debit"), cell(5).alias("credit"), cell(6).alias("balance"))
+    return runs.select("source_file", "line_no", cell(1).alias("date"), F.trim(F.concat("before", F.lit(" "), cell(3))).alias("narration"), cell(4).alias("debit"), cell(5).alias("credit"), cell(6).alias("balance"))
+
+
+def parse_listed(lines: DataFrame) -> DataFrame:
+    """Rows of a date, a narration and three amounts or two, below a header; lines of text right before a row belong to its narration.
+
+    With two amounts the first isn't told to be a debit or a credit, so both stay empty and the last is the balance.
+    """
+    three = r"^(\d{2}-\d{2}-\d{2,4})\s+(.+?)\s+([\d,]+\.\d{2})\s+([\d,]+\.\d{2})\s+([\d,]+\.\d{2})(?:Cr|Dr)?$"
+    two = r"^(\d{2}-\d{2}-\d{2,4})\s+(.+?)\s+([\d,]+\.\d{2})(?:Cr|Dr)?\s+([\d,]+\.\d{2})(?:Cr|Dr)?$"
+    line = F.col("line")
+    rows = lines.withColumn("line", F.trim("line")).filter("line <> '' and line not rlike '^-+$'")
+    head = F.contains(line, F.lit("DATE")) & holds(line, ["WITHDRAWAL", "PARTICULARS"])
+    rows = rows.withColumns({"head": head, "below": F.count_if(head).over(in_file()) > 0}).filter(F.col("below") & ~F.col("head") & ~holds(F.upper("line"), LISTED_STOPS))
+    is_row = line.rlike(three) | line.rlike(two)
+    runs = _with_text_before(rows.withColumns({"is_row": is_row, "is_text": ~is_row & ~line.rlike(r"^\d{2}-\d{2}") & (F.length("line") > 3)}))
+    full = line.rlike(three)
+    cell = lambda k, or_two: F.when(full, F.regexp_extract("line", three, k)).otherwise(or_two)
+    of_two = lambda k: F.regexp_extract("line", two, k)
+    told = F.trim(F.concat("before", F.lit(" "), cell(2, of_two(2))))
+    return runs.select("source_file", "line_no", F.substring_index("line", " ", 1).alias("date"), told.alias("narration"), cell(3, "").alias("debit"), cell(4, "").alias("credit"), cell(5, of_two(4)).alias("balance"))
+
+
+def parse_dated(lines: DataFrame) -> DataFrame:
+    """Rows of a date (or two), words, and amounts at the end, the last of which is the balance; it may stand alone on the next line.
+
+    Rows begin below a header, an opening balance, or with the first line that is a row with two amounts.  One amount
+    before the balance is a debit where the balance fell since the row or the opening balance before it; without any
+    before, where the balance is overdrawn.  Of two amounts with signs the first counts, as the second's sign says; without
+    signs the second is the credit.  Letters glued to the date are the reference.
+    """
+    bare, amount = r"(?i)^[\d,]+\.\d{2}\s*(?:CR|DR)?$", r"(?i)^[\d,]+\.\d{2}(?:\(?(?:CR|DR)\)?)?$"
+    row = r"^(\d{2}[-/]\d{2}[-/]\d{2,4})(?:\s+\d{2}[-/]\d{2}[-/]\d{2,4})?(\S*)\s+(.+)$"
+    line, low = F.col("line"), F.lower("line")
+    # A sign in brackets belongs to the amount before it.
+    rows = lines.withColumn("line", F.regexp_replace(F.trim("line"), r"(?i)(\d)\s+(\((?:CR|DR)\))", "$1$2")).filter("line <> ''")
+    opening = F.contains(low, F.lit("opening balance")) | F.contains(low, F.lit("brought forward")) | line.startswith("B/F")
+    tokens = F.split(F.regexp_extract("line", row, 3), r"\s+")
+    words = F.coalesce(F.array_max(F.transform(F.sequence(F.lit(1), F.size("tokens")), lambda k: F.when(~F.get("tokens", k - 1).rlike(amount), k).otherwise(0))), F.lit(0))
+    rows = rows.withColumns({"opening": opening, "tokens": F.when(line.rlike(row), tokens).otherwise(F.array().cast("array<string>"))})
+    rows = rows.withColumn("words", F.when(F.size("tokens") > 0, words).otherwise(0))
+    rows = rows.withColumn("amounts", F.slice("tokens", F.col("words") + 1, F.size("tokens")))
+    stop = starts_with(line, DATED_STOPS) | line.rlike(r"^\.") | F.contains(line, F.lit("Page"))
+    head = F.contains(low, F.lit("date")) & holds(low, ["withdraw", "deposit", "debit", "credit", "amount", "balance", "particular"])
+    begins = head | F.col("opening") | (F.size("amounts") >= 2)
+    next_line = F.lead("line").over(in_file())
+    rows = rows.withColumns({"stop": stop, "below": F.count_if(begins).over(in_file()) > 0, "wrapped": F.when((F.size("amounts") == 1) & next_line.rlike(bare), next_line)})
+    is_row = ~F.col("stop") & ~F.col("opening") & ((F.size("amounts") >= 2) | F.col("wrapped").isNotNull())
+    tail = F.regexp_extract("line", r"(?i)([\d,]+\.\d{2}(?:\(?(?:CR|DR)\)?)?)$", 1)
+    rows = rows.withColumn("is_row", is_row).filter(F.col("below") & (F.col("is_row") | F.col("opening") & (tail != "")))
+    at = lambda k: F.try_element_at("amounts", F.lit(k))
+    n = F.size("amounts") - F.when(F.col("wrapped").isNull(), 1).otherwise(0)
+    rows = rows.withColumns({"balance": F.when(F.col("opening"), tail).otherwise(F.coalesce("wrapped", at(-1))), "n": n})
+    rows = rows.withColumn("balance_value", amount_of(F.col("balance")))
+    before = F.lag("balance_value").over(in_file())
+    overdrawn = F.col("balance").rlike(r"(?i)DR\)?$")
+    signed = lambda c, word: F.coalesce(c.rlike(rf"(?i){word}\)?$"), F.lit(False))
+    first, second = F.when(F.col("wrapped").isNull(), at(-3)).otherwise(at(-2)), F.when(F.col("wrapped").isNull(), at(-2)).otherwise(at(-1))
+    debit = F.when(F.col("n") == 1, F.coalesce(F.col("balance_value") < before - 1e-6, overdrawn)).otherwise(signed(second, "DR"))
+    value = F.when(F.col("n") == 1, amount_of(second)).when(signed(first, "(CR|DR)") | signed(second, "(CR|DR)"), amount_of(first)).otherwise(amount_of(second))
+    rows = rows.withColumns({"is_debit": debit, "value": value}).filter("is_row")
+    code = F.regexp_extract("line", row, 2)
+    told = F.regexp_replace(F.array_join(F.slice("tokens", F.lit(1), F.col("words")), " "), r"(?:(?:^|\s)[.\-])+$", "")
+    return rows.select(
+        "source_file", "line_no", F.regexp_extract("line", row, 1).alias("date"), F.trim(told).alias("narration"), F.when(F.col("is_debit"), F.col("value")).otherwise(0.0).alias("debit"),
+        F.when(F.col("is_debit"), 0.0).otherwise(F.col("value")).alias("credit"), "balance", F.when(code.rlike("^[A-Za-z1-9][A-Za-z0-9]*$"), code).otherwise("").alias("utr_ref"),
+    )
 
 
 def parse_columns(lines: DataFrame) -> DataFrame:
@@ -164,11 +238,13 @@ def parse_text(lines: DataFrame) -> DataFrame:
 KINDS = [
     ("report", r"B/F Balance|Instrmnt"),
     ("table", r"^\s*\d{2}-[A-Z]{3}-\d{4}\s+\d{2}-[A-Z]{3}-\d{4}\s"),
+    ("listed", r"DATE.*(WITHDRAWAL|PARTICULARS)|(WITHDRAWAL|PARTICULARS).*DATE"),
+    ("dated", r"(?i)^\s*B/F\s+\d|brought forward"),
     ("wrapped", r"^\s*\d{2}-\d{2}-\d{4}\b"),
     ("text", r"(?i)date\s{2,}.*(narration|particulars|description)"),
     ("columns", r"^\s*\d{1,2}[-/ ]\d{1,2}[-/ ]\d{2,4}"),
 ]
-PARSERS = {"report": parse_report, "table": parse_table, "wrapped": parse_wrapped, "text": parse_text, "columns": parse_columns}
+PARSERS = {"report": parse_report, "table": parse_table, "listed": parse_listed, "dated": parse_dated, "wrapped": parse_wrapped, "text": parse_text, "columns": parse_columns}
 
 
 def kinds(lines: DataFrame) -> DataFrame:
