@@ -6,6 +6,7 @@ import itertools
 import random
 from decimal import Decimal
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from ledgerlens.operators.graph import communities
 from ledgerlens.operators.intraday import same_day_order
 from ledgerlens.operators.modularity import modular_communities, modularity, symmetric
 from ledgerlens.operators.short_cycles import short_cycles
-from ledgerlens.operators.taint import attributions, both_orders, lifo_allocate, taint_hops, tracked_flow
+from ledgerlens.operators.taint import attributions, both_orders, commingling, commingling_accounts, lifo_allocate, taint_hops, tracked_flow
 
 LEDGER = "leg_id long, account_id string, cp string, debit decimal(18,2), credit decimal(18,2), ts timestamp, utr_ref string, narration string, channel string"
 PAIRS = "src string, dst string, total decimal(18,2)"
@@ -123,6 +124,19 @@ def test_taint(spark, method):
     assert taint_hops(ledger, ledger.limit(0).select("leg_id"), method).count() == 0
 
 
+def test_commingled_shares_at_half_a_tenth(spark):
+    """Shares halfway between two tenths are rounded as SQL rounds doubles, and a mean there doesn't depend on the order of rows."""
+    parts = [("0.09", "20.00"), ("0.37", "20.00"), ("1.39", "20.00"), ("1.23", "20.00"), ("12.34", "56.78")]
+    hops = spark.createDataFrame([("A", f"B{k}", START, Decimal(t), Decimal(n), Decimal(n) - Decimal(t), True, False) for k, (t, n) in enumerate(parts)], "from_account string, to_account string, ts timestamp, tainted decimal(28,2), total decimal(28,2), clean decimal(28,2), is_commingled boolean, is_cycle boolean")
+    got = {r.forwarded_to: r.pct_tainted for r in commingling(hops).collect()}
+    assert got == {f"B{k}": duckdb.execute(f"SELECT round(CAST({t} AS DOUBLE) / CAST({n} AS DOUBLE) * 100, 1)").fetchone()[0] for k, (t, n) in enumerate(parts)}
+    orders = [[79.9, 85.0, 94.8, 97.2, 1.8, 8.6, 29.7, 91.4], [94.8, 8.6, 85.0, 79.9, 91.4, 97.2, 1.8, 29.7]]
+    assert sorted(orders[0]) == sorted(orders[1]) and sum(Decimal(str(x)) for x in orders[0]) / 8 == Decimal("61.05")
+    for order in orders:
+        events = spark.createDataFrame([("A", Decimal(1), Decimal(2), x) for x in order], "account string, tainted_portion decimal(28,2), clean_portion decimal(28,2), pct_tainted double").coalesce(1)
+        assert [tuple(r) for r in commingling_accounts(events).collect()] == [("A", 8, 8.0, 16.0, 61.1)]
+
+
 def test_tracked_sums_are_conserved(spark):
     ledger, rows = small_ledger(spark, n=120)
     hops = tracked_flow(ledger, ledger.filter("credit > 0").select("leg_id"), 5).collect()
