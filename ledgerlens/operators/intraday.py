@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..plans.fixpoint import checkpointed, fixpoint
-from ..sources.ledger_view import BALANCED_SQL, balanced, legs
+from ..sources.ledger_view import BALANCED_SQL, balanced_legs
 
 
 def day_links(ledger: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def same_day_order(ledger: DataFrame) -> DataFrame:
 
 register(
     "wn_intraday",
-    lambda s, d: same_day_order(balanced(legs(s, d))),
+    lambda s, d: same_day_order(balanced_legs(s, d)),
     f"""WITH RECURSIVE {BALANCED_SQL},
 asks AS (SELECT leg_id, account_id, date, balance - credit + debit AS v, row_number() OVER (PARTITION BY account_id, date, balance - credit + debit ORDER BY leg_id) AS k FROM ledger WHERE balance IS NOT NULL),
 gives AS (SELECT leg_id, account_id, date, balance AS v, row_number() OVER (PARTITION BY account_id, date, balance ORDER BY leg_id) AS k FROM ledger WHERE balance IS NOT NULL),
