@@ -2,13 +2,18 @@
 
 import os
 import random
+from datetime import datetime, timedelta
 from decimal import Decimal
 
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.paths import cycles
+from ledgerlens.operators.relations import common_times
+from ledgerlens.operators.scores import PATTERNS, pattern_counts
+from ledgerlens.operators.taint import taint_hops
 from ledgerlens.plans import iterate
 from ledgerlens.plans.fixpoint import checkpointed, fixpoint, shared_folder
+from ledgerlens.sources.ledger_view import balanced, balanced_legs, legs
 
 EDGES = "src string, dst string, amt decimal(18,2), t long, rid long"
 HOUR = 3600
@@ -88,3 +93,52 @@ def test_cycles_meet_in_the_middle(spark, monkeypatch):
     want = closed_walks(rows)
     assert got == want and {x[4] for x in want} >= {3, 4, 5} and any(len(set(x[0].split(">"))) < x[4] for x in want)
     assert longest == [3]
+
+
+LEG = "leg_id long, account_id string, cp string, debit decimal(18,2), credit decimal(18,2), ts timestamp, utr_ref string"
+
+
+def small_ledger(spark, n=120, seed=9):
+    draw, rows = random.Random(seed), []
+    for k in range(n):
+        a, b = draw.sample("abcdefg", 2)
+        amount, at = Decimal(draw.randint(20, 90)), datetime(2024, 1, 1) + timedelta(minutes=draw.randint(0, 9000))
+        rows += [(2 * k, a, b, amount, Decimal(0), at, f"U{k}"), (2 * k + 1, b, a, Decimal(0), amount, at, f"U{k}")]
+    return rows, spark.createDataFrame(rows, LEG)
+
+
+def test_taint_keeps_one_table_a_hop(spark):
+    rows, ledger = small_ledger(spark, 60)
+    seeds = ledger.filter("credit >= 80").select("leg_id")
+    before = rounds(spark)
+    hops = taint_hops(ledger, seeds, max_hops=4)
+    new = [set(spark.read.parquet(f"{shared_folder(spark)}/{r}").columns) for r in rounds(spark) - before]
+    assert sum("ends" in c for c in new) == 3 and sum("path" in c for c in new) == 1 and not any("part" in c and "id" in c for c in new)
+    short = taint_hops(ledger, seeds, max_hops=4, ways=False)
+    assert "way" not in short.columns and hops.count() == short.count() > 50
+    assert sorted(map(str, hops.drop("way").collect())) == sorted(map(str, short.collect()))
+
+
+def test_common_times_ask_with_a_semi_join(spark):
+    rows, ledger = small_ledger(spark)
+    pairs = spark.createDataFrame([(a, b) for a in "abcdefgx" for b in "abcdefgy" if a < b], "a string, b string")
+    got = common_times(ledger, pairs)
+    own = {a: [r for r in rows if r[1] == a] for a in "abcdefg"}
+    near = {(a, b): sum(any(abs(r[5] - s[5]) <= timedelta(hours=2) for s in own.get(b, [])) for r in own.get(a, [])) for a, b in pairs.collect()}
+    assert {(r.a, r.b): r.cooccurrence for r in got.collect()} == {p: round(n / len(own[p[0]]), 6) for p, n in near.items() if n}
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_patterns_are_counted_and_written_one_by_one(spark):
+    before = rounds(spark)
+    pattern_counts(balanced_legs(spark, "/root/testdata/sf0.001")).count()
+    new = [spark.read.parquet(f"{shared_folder(spark)}/{r}") for r in rounds(spark) - before]
+    assert [t.select("account_id").distinct().count() == t.count() for t in new if "pattern" in t.columns] == [True] * (len(PATTERNS) + 1)
+
+
+def test_balances_are_written_without_texts(spark):
+    sf, before = "/root/testdata/sf0.001", rounds(spark)
+    rows, plain = balanced_legs(spark, sf), balanced(legs(spark, sf))
+    assert rows.schema == plain.schema and rows.exceptAll(plain).isEmpty() and plain.exceptAll(rows).isEmpty()
+    (new,) = rounds(spark) - before
+    assert not {"narration", "utr_ref", "leg_id"} & set(spark.read.parquet(f"{shared_folder(spark)}/{new}").columns)
