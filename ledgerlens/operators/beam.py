@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..functions.text import is_merchant
-from ..plans.fixpoint import checkpointed
+from ..plans.fixpoint import checkpointed, dropped
 from ..plans.range_join import range_join
-from ..sources.ledger_view import legs
+from ..sources.ledger_view import written_legs
 from .graph import _PARTY, with_outside
 
 #: Results depend on them.
@@ -44,7 +44,8 @@ def beam_trails(ledger: DataFrame, direction: str = "forward", rules: dict = TRA
 
     Equal seeds go by time and id; equally rated transfers too.  A way never visits an account twice nor goes through a
     merchant.  It ends outside the known accounts, where no transfer leads on, at a way out of the banks (forward), or
-    after the most hops.  Each hop is an equi-join on the account and the bucket of the hop's hours, written once.
+    after the most hops.  Each hop is an equi-join on the account and the bucket of the hop's hours; what follows is picked
+    by a way's short id and then joined to the ways, of which only those that ended and those that go on stay written.
     """
     forward = direction == "forward"
     edges = checkpointed(trail_edges(ledger))
@@ -57,25 +58,31 @@ def beam_trails(ledger: DataFrame, direction: str = "forward", rules: dict = TRA
     ahead = checkpointed(ahead.join(stops, "to", "left"))
     side = "debit" if forward else "credit"
     best = ledger.filter(f"{side} > 0").groupBy("account_id").agg(F.min_by(F.struct(F.col(side).cast("double").alias("amount"), F.unix_timestamp("ts").alias("t"), "utr_ref"), F.struct(-F.col(side), "ts", "leg_id")).alias("seed"))
-    ways = best.select(F.col("account_id").alias("root"), F.col("seed.amount").alias("seed_amount"), F.col("account_id").alias("node"), "seed.amount", "seed.t", F.col("seed.utr_ref").alias("ref"), F.array("account_id").alias("nodes"), F.array().cast("array<bigint>").alias("leg_ids"))
+    own_id = F.monotonically_increasing_id().alias("id")
+    ways = best.select(own_id, F.col("account_id").alias("root"), F.col("seed.amount").alias("seed_amount"), F.col("account_id").alias("node"), "seed.amount", "seed.t", F.col("seed.utr_ref").alias("ref"), F.array("account_id").alias("nodes"), F.array().cast("array<bigint>").alias("leg_ids"))
     ways, ended = checkpointed(ways), []
+    done = [ways, edges, known, stops]
+    shown = ["root", "seed_amount", "nodes", "leg_ids", "amount", F.size("leg_ids").cast("long").alias("hops"), "terminal_type"]
     seconds = rules["hours"] * 3600
     for hop in range(1, rules["hops"] + 1):
-        both = range_join(ways, ahead, ["node"], "t", "next_t", seconds) if forward else range_join(ahead, ways, ["node"], "next_t", "t", seconds)
+        mine = ways.select("id", "node", "amount", "t", "ref", "nodes")
+        both = range_join(mine, ahead, ["node"], "t", "next_t", seconds) if forward else range_join(ahead, mine, ["node"], "next_t", "t", seconds)
         both = both.filter(~F.array_contains("nodes", F.col("to"))).withColumn("ratio", F.col("next_amount") / F.col("amount")).filter(F.col("ratio") >= rules["least_ratio"])
         same = (F.trim("ref") != "") & (F.trim("ref") == F.trim("next_ref"))
         off = F.when(F.col("known"), 0.0).otherwise(PENALTY["external"]) + F.when(same, 0.0).otherwise(PENALTY["reference"]) + F.abs(F.col("next_amount") - F.col("amount")) / F.col("amount") * PENALTY["amount"] + F.abs(F.col("next_t") - F.col("t")) / 3600.0 * PENALTY["hour"]
-        rank = F.row_number().over(Window.partitionBy("root", "leg_ids").orderBy("penalty", "next_t", "leg_id"))
-        went = both.withColumn("penalty", off).withColumn("rank", rank).filter(F.col("rank") <= rules["branches"])
-        reason = F.when(F.col("known").isNull(), "EXTERNAL_ACCOUNT").otherwise(F.col("stop"))
-        went = checkpointed(went.select("root", "seed_amount", F.col("to").alias("node"), F.col("next_amount").alias("amount"), F.col("next_t").alias("t"), F.col("next_ref").alias("ref"), F.array_append("nodes", F.col("to")).alias("nodes"), F.col("leg_ids").alias("came"), F.array_append("leg_ids", F.col("leg_id")).alias("leg_ids"), reason.alias("terminal_type")))
-        if hop > 1:
-            ended.append(ways.join(went.select("root", F.col("came").alias("leg_ids")).distinct(), ["root", "leg_ids"], "left_anti").withColumn("terminal_type", F.lit("dead_end")))
-        ended.append(went.filter("terminal_type is not null"))
-        ways = went.filter("terminal_type is null").drop("came", "terminal_type")
-    ended.append(ways.withColumn("terminal_type", F.lit("max_hops_reached")))
-    shown = ["root", "seed_amount", "nodes", "leg_ids", "amount", F.size("leg_ids").cast("long").alias("hops"), "terminal_type"]
-    return reduce(DataFrame.unionByName, (e.select(shown) for e in ended))
+        rank = F.row_number().over(Window.partitionBy("id").orderBy("penalty", "next_t", "leg_id"))
+        rated = both.select("id", "to", "next_amount", "next_t", "next_ref", "leg_id", "known", "stop", off.alias("penalty"))
+        picked = checkpointed(rated.withColumn("rank", rank).filter(F.col("rank") <= rules["branches"]).drop("rank", "penalty"))
+        found = F.col("to").isNotNull()
+        reason = F.when(~found, "dead_end").when(F.col("known").isNull(), "EXTERNAL_ACCOUNT").otherwise(F.col("stop"))
+        went = ways.drop("node", "t", "ref").join(picked, "id", "left" if hop > 1 else "inner")
+        went = checkpointed(went.select(own_id, "root", "seed_amount", F.col("to").alias("node"), F.when(found, F.col("next_amount")).otherwise(F.col("amount")).alias("amount"), F.col("next_t").alias("t"), F.col("next_ref").alias("ref"), F.when(found, F.array_append("nodes", F.col("to"))).otherwise(F.col("nodes")).alias("nodes"), F.when(found, F.array_append("leg_ids", F.col("leg_id"))).otherwise(F.col("leg_ids")).alias("leg_ids"), reason.alias("terminal_type")))
+        ended.append(checkpointed(went.filter("terminal_type is not null").select(shown)))
+        for table in (*done, picked):
+            dropped(table)
+        ways, done = went.filter("terminal_type is null").drop("terminal_type"), [went]
+    ended.append(ways.withColumn("terminal_type", F.lit("max_hops_reached")).select(shown))
+    return reduce(DataFrame.unionByName, ended)
 
 
 #: In the queries a few narrations name a way out.
@@ -108,7 +115,7 @@ ended AS (SELECT root, seed_amount, nodes, leg_ids, amount, hop AS hops, CASE WH
 
 
 def _beam(s, d, direction):
-    return beam_trails(with_outside(legs(s, d)).withColumn("narration", F.expr(_TOLD)), direction)
+    return beam_trails(with_outside(written_legs(s, d)).withColumn("narration", F.expr(_TOLD)), direction)
 
 
 for _name, _direction in (("tr_bfs_fwd", "forward"), ("tr_bfs_bwd", "backward")):

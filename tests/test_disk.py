@@ -2,17 +2,20 @@
 
 import os
 import random
+import time
 from datetime import datetime, timedelta
 from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.beam import beam_trails
 from ledgerlens.operators.paths import cycles
 from ledgerlens.operators.relations import common_times
 from ledgerlens.operators.scores import PATTERNS, pattern_counts
 from ledgerlens.operators.taint import taint_hops
 from ledgerlens.plans import iterate
 from ledgerlens.plans.fixpoint import checkpointed, fixpoint, shared_folder
+from ledgerlens.sources.files import parse_delimited
 from ledgerlens.sources.ledger_view import balanced, balanced_legs, legs
 
 EDGES = "src string, dst string, amt decimal(18,2), t long, rid long"
@@ -142,3 +145,21 @@ def test_balances_are_written_without_texts(spark):
     assert rows.schema == plain.schema and rows.exceptAll(plain).isEmpty() and plain.exceptAll(rows).isEmpty()
     (new,) = rounds(spark) - before
     assert not {"narration", "utr_ref", "leg_id"} & set(spark.read.parquet(f"{shared_folder(spark)}/{new}").columns)
+
+
+def test_a_long_file_is_parsed_in_proportion_to_its_lines(spark):
+    head = "A bank\n\nTxn Date,Particulars,Ref No.,Debit,Credit\n"
+    body = "".join(f'2024-01-01,"a ""x"", {k}",U{k},1.00,0.00\n' for k in range(8000))
+    texts = spark.createDataFrame([("a.csv", head + body + "cut off"), ("b.csv", "date debit credit\n1\n2"), ("c.csv", None)], "source_file string, content string")
+    began = time.time()
+    rows = parse_delimited(texts).collect()
+    assert time.time() - began < 30 and len(rows) == 8000 and {r.source_file for r in rows} == {"a.csv"}
+    assert (rows[7].narration, rows[7].utr_ref, rows[7].line_no) == ('a "x", 7', "U7", 10)
+
+
+def test_trails_join_by_short_ids(spark):
+    rows, ledger = small_ledger(spark)
+    before = rounds(spark)
+    trails = beam_trails(ledger.withColumn("narration", F.col("utr_ref")))
+    plan = trails._jdf.queryExecution().optimizedPlan().toString()
+    assert trails.count() > 7 and "Join" not in plan and len(rounds(spark) - before) == 1 + 8 + 1
