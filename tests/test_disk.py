@@ -8,7 +8,9 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from ledgerlens import catalog
 from ledgerlens.operators.beam import beam_trails
+from ledgerlens.operators.inferred import told
 from ledgerlens.operators.paths import cycles
 from ledgerlens.operators.relations import common_times
 from ledgerlens.operators.scores import PATTERNS, pattern_counts
@@ -163,3 +165,12 @@ def test_trails_join_by_short_ids(spark):
     trails = beam_trails(ledger.withColumn("narration", F.col("utr_ref")))
     plan = trails._jdf.queryExecution().optimizedPlan().toString()
     assert trails.count() > 7 and "Join" not in plan and len(rounds(spark) - before) == 1 + 8 + 1
+
+
+def test_written_texts_are_deleted_once_read(spark):
+    held = lambda: {f for f in os.listdir(shared_folder(spark).removeprefix("file:")) if f.startswith("printed-")}
+    before = held()
+    cells, headers, shares = told(spark, "/root/testdata/sf0.001")
+    assert cells.count() > 6 * 11000 and headers.count() == shares.select("file").distinct().count() == 40
+    assert catalog.QUERIES["snk_ingest"](spark, "/root/testdata/sf0.001").count() == 2
+    assert held() == before
