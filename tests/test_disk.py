@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ledgerlens import catalog
 from ledgerlens.operators.beam import beam_trails
+from ledgerlens.operators.clean import as_copies, copied, raw
 from ledgerlens.operators.inferred import told
+from ledgerlens.operators.outputs import clean
 from ledgerlens.operators.paths import cycles
 from ledgerlens.operators.relations import common_times
 from ledgerlens.operators.scores import PATTERNS, pattern_counts
@@ -174,3 +176,11 @@ def test_written_texts_are_deleted_once_read(spark):
     assert cells.count() > 6 * 11000 and headers.count() == shares.select("file").distinct().count() == 40
     assert catalog.QUERIES["snk_ingest"](spark, "/root/testdata/sf0.001").count() == 2
     assert held() == before
+
+
+def test_copies_are_written_without_texts(spark):
+    sf, before = "/root/testdata/sf0.001", rounds(spark)
+    folder = f"{shared_folder(spark)}/outputs-test"
+    clean(folder, raw(spark, sf), as_copies(checkpointed(copied(spark, sf))), balanced_legs(spark, sf))
+    new = [spark.read.parquet(f"{shared_folder(spark)}/{r}").columns for r in rounds(spark) - before]
+    assert len(new) == 2 and not any("narration" in c for c in new)
